@@ -1,0 +1 @@
+"""strataforge.functions"""
