@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import pii, quality
+from strataforge.llm import lang_id, pii, quality
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op4_pii, op7_quality]
+    found = [op1_near_dedup, op3_lang_id, op4_pii, op7_quality]
     return {f.__name__: f for f in found}
 
 
