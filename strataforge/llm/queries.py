@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import lang_id, pii, quality
+from strataforge.llm import lang_id, pii, quality, repeats
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -27,8 +27,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op3_lang_id, op4_pii, op7_quality]
+    found = [op1_near_dedup, op3_lang_id, op4_pii, op7_quality, op9_repeats]
     return {f.__name__: f for f in found}
 
 
