@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import lang_id, pii, quality, repeats
+from strataforge.llm import contamination, lang_id, pii, quality, repeats
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -23,6 +23,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op3_lang_id, op4_pii, op7_quality, op9_repeats]
+    found = [op1_near_dedup, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats]
     return {f.__name__: f for f in found}
 
 
