@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, lang_id, pii, quality, repeats
+from strataforge.llm import contamination, lang_id, mixing, pii, quality, repeats
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -15,6 +15,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.held_out_languages(table(spark, sf_dir, "documents"))
 
@@ -36,7 +40,7 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats]
+    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats]
     return {f.__name__: f for f in found}
 
 
