@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, lang_id, mixing, pii, quality, repeats
+from strataforge.llm import contamination, lang_id, mixing, pii, quality, repeats, toxicity
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -39,8 +39,12 @@ def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats]
+    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats, op10_toxicity]
     return {f.__name__: f for f in found}
 
 
