@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, lang_id, mixing, pii, quality, repeats, toxicity
+from strataforge.llm import contamination, html_extract, lang_id, mixing, pii, quality, repeats, token_counts, toxicity
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -31,10 +32,18 @@ def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -44,8 +53,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op7_quality, op9_repeats, op10_toxicity]
-    return {f.__name__: f for f in found}
+    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity]
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
