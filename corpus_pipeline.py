@@ -28,13 +28,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Prototypes are learned from all documents with a lang.
     """
-    found = identify(docs, keep(learn(docs), "prototypes"))
-    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("doc_id", F.col("lang_pred").alias("lang")).dropDuplicates(["doc_id"])
-    return docs.drop("lang").join(judged, "doc_id").select(*COLUMNS)
+    found = identify(docs, keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars"))
+    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return judged.select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), F.col("own_source").alias("source"), F.col("own_n_chars").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates."""
+    """Keeps the document with the least id of each group of near-duplicates; rows without an id can't be named and go."""
     kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 

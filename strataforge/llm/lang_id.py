@@ -119,13 +119,14 @@ def _judge(langs: list[str], prototypes: np.ndarray):
                     k = int(np.argmax(cosine))
                     best.append(langs[k])
                     score.append(min(1.0, max(0.0, float(cosine[k]))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(held)), pa.array(best, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                same = [batch.column(k).slice(start, len(held)) for k in (0, *range(2, batch.num_columns))]
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(best, pa.string()), pa.array(score, pa.float64()), *same[1:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
 
     return run
 
 
-def identify(docs: DataFrame, prototypes: DataFrame) -> DataFrame:
-    """doc_id, lang_pred and score (the cosine, 0 to 1) for each row of docs (doc_id, text).
+def identify(docs: DataFrame, prototypes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score (the cosine, 0 to 1) for each row of docs (doc_id, text), and the columns in carry as `own_` and their name.
 
     A text that is null or has no letter gets `und` and 0; so does every text if there is no prototype.
     Ties go to the language that comes first by code point. The prototypes, a row of fixed size for each
@@ -134,7 +135,9 @@ def identify(docs: DataFrame, prototypes: DataFrame) -> DataFrame:
     rows = sorted(prototypes.collect())
     langs = [r["lang"] for r in rows]
     matrix = np.array([r["prototype"] for r in rows]) if rows else np.zeros((0, DIMENSIONS))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_judge(langs, matrix), "doc_id long, lang_pred string, score double")
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"own_{c}") for c in carry))
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"{f.name} {f.dataType.simpleString()}" for f in rows_in.schema.fields[2:])])
+    return rows_in.mapInArrow(_judge(langs, matrix), schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
