@@ -15,14 +15,16 @@ from strataforge.storage import keep
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Common function words of four languages.
-COMMON_WORDS = (
-    "the of and to in a is that it for was on are with as be at by",
-    "der die und in den von zu das mit sich des auf für ist im dem nicht ein",
-    "de la le et les des en un du une que est pour qui dans par plus pas",
-    "que el y los se del las por con no para su al lo como más o pero",
-)
-#: Characters outside each class are taken out and the rest counted.
-CLASSES = ("a-z", "A-Z", "0-9", "\\x20\\x09-\\x0D", ".,;:!?'\"()-", "#*$%&|<>@=+~^_/\\\\{}\\[\\]`")
+COMMON_WORDS = tuple(sorted(set((
+    "the of and to in a is that it for was on are with as be at by "
+    "der die und in den von zu das mit sich des auf für ist im dem nicht ein "
+    "de la le et les des en un du une que est pour qui dans par plus pas "
+    "que el y los se del las por con no para su al lo como más o pero"
+).split())))
+#: Classes of characters beside white space: what is outside each is taken out and the rest counted.
+CLASSES = ("a-z", "A-Z", "0-9", ".,;:!?'\"()-", "#*$%&|<>@=+~^_/\\\\{}\\[\\]`")
+#: Bins of the histogram of common words, and bits for a place in a text's words.
+WORD_BINS, PLACE_BITS = 16, 24
 MIN_WORDS = 50
 #: Texts with fewer words than this are not judged by their words.
 MIN_WORDS_HISTOGRAM = 100
@@ -34,39 +36,51 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE), lambda w: w != "")
 
 
-def repeated_words(hashes: Column) -> Column:
-    """How many words lie in runs of three words that occur twice or more, from an array of word hashes."""
-    n = F.size(hashes)
-    pairs = F.zip_with(hashes, F.slice(hashes, 2, n), lambda a, b: F.xxhash64(a, b))
-    triples = F.slice(F.zip_with(pairs, F.slice(hashes, 3, n), lambda ab, c: F.xxhash64(ab, c)), 1, F.greatest(n - 2, F.lit(0)))
-    placed = F.array_sort(F.transform(triples, lambda t, k: F.struct(t.alias("t"), k.alias("k"))))
-    beside = F.zip_with(
-        F.zip_with(placed, F.slice(placed, 2, n), lambda x, y: F.struct(x.alias("x"), y["t"].alias("after"))),
-        F.concat(F.array(F.lit(None).cast("bigint")), F.transform(placed, lambda x: x["t"])),
-        lambda xy, before: F.struct(xy["x"].alias("x"), (F.coalesce(xy["x"]["t"] == xy["after"], F.lit(False)) | F.coalesce(xy["x"]["t"] == before, F.lit(False))).alias("twice")),
-    )
-    at = F.sort_array(F.transform(F.filter(beside, lambda b: b["twice"]), lambda b: b["x"]["k"]))
+def repeated_words(table: DataFrame) -> DataFrame:
+    """table (with hashes, an array of word hashes) with n_repeat_words: how many words lie in runs of three that occur twice or more.
+
+    Run hashes are sorted as longs whose low bits hold the place. Neighbours that agree in the high
+    bits may be repeats; only these few are then compared in full.
+    """
+    n = F.size("hashes")
+    pairs = F.zip_with("hashes", F.slice("hashes", 2, n), lambda a, b: F.xxhash64(a, b))
+    triples = F.slice(F.zip_with(pairs, F.slice("hashes", 3, n), lambda ab, c: F.xxhash64(ab, c)), 1, F.greatest(n - 2, F.lit(0)))
+    table = table.withColumn("triples", triples)
+    high, low = F.lit(-(1 << PLACE_BITS)), F.lit((1 << PLACE_BITS) - 1)
+    packed = F.sort_array(F.transform("triples", lambda t, k: t.bitwiseAND(high).bitwiseOR(k.cast("long").bitwiseAND(low))))
+    table = table.withColumn("packed", packed)
+    alike = lambda a, b: F.shiftright(a.bitwiseXOR(b), PLACE_BITS) == 0
+    left = F.zip_with("packed", F.slice("packed", 2, F.size("packed")), lambda a, b: F.when(alike(a, b), a))
+    right = F.zip_with("packed", F.slice("packed", 2, F.size("packed")), lambda a, b: F.when(alike(a, b), b))
+    maybe = F.array_distinct(F.filter(F.concat(left, right), lambda x: x.isNotNull()))
+    # a text of 2**PLACE_BITS words or more is compared in full
+    places = F.when(F.size("triples") < (1 << PLACE_BITS), F.transform(maybe, lambda x: x.bitwiseAND(low).cast("int"))).otherwise(F.sequence(F.lit(0), F.size("triples") - 1))
+    table = table.withColumn("places", places)
+    placed = F.array_sort(F.transform("places", lambda k: F.struct(F.get("triples", k).alias("t"), k.alias("k"))))
+    after = F.zip_with(placed, F.slice(placed, 2, F.size("places")), lambda x, y: F.when(x["t"] == y["t"], F.array(x["k"], y["k"])))
+    at = F.array_sort(F.array_distinct(F.flatten(F.filter(after, lambda k: k.isNotNull()))))
     # a window covers three words, less what the next one covers too
-    cover = F.zip_with(at, F.slice(at, 2, n), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
-    return F.when(F.size(F.array_distinct(triples)) == F.size(triples), F.lit(0)).otherwise(F.aggregate(cover, F.lit(0), lambda total, c: total + c))
+    cover = F.zip_with(at, F.slice(at, 2, F.size("places")), lambda a, b: F.coalesce(F.least(b - a, F.lit(3)), F.lit(3)))
+    counted = F.when(F.size("places") == 0, F.lit(0)).otherwise(F.aggregate(cover, F.lit(0), lambda total, c: total + c))
+    return table.withColumn("n_repeat_words", counted.cast("long")).drop("triples", "packed", "places")
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and the counts of each document: the base ones, chars (by class) and words (by common word)."""
-    common = list(dict.fromkeys(w for line in COMMON_WORDS for w in line.split()))
+    """doc_id, lang and the counts of each document: the base ones, chars (by class) and words (by bins of common words)."""
     texts = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     split = texts.withColumns({"words": _words(F.col("text")), "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))})
-    hashed = split.withColumns({
-        "hashes": F.transform("words", lambda w: F.xxhash64(w)),
-        "hits": F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(common)),
-    })
-    n_hits = lambda w: F.size(F.filter("hits", lambda hit: hit == w)).cast("long")
-    n_words = F.size("words").cast("long")
+    lower = F.transform("words", lambda w: F.lower(w))
+    # binned by their hashes: what each language uses most falls into bins in its own proportions
+    bins = F.transform(F.filter(lower, lambda w: w.isin(*COMMON_WORDS)), lambda w: F.pmod(F.xxhash64(w), F.lit(WORD_BINS)).cast("int"))
+    hashed = repeated_words(split.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "bins": bins}))
+    n_words, n_chars = F.size("words").cast("long"), F.length("text").cast("long")
+    word_chars = F.length(F.array_join("words", "")).cast("long")
+    in_bin = lambda k: F.size(F.filter("bins", lambda b: b == k)).cast("long")
     count = lambda c: F.length(F.regexp_replace("text", f"[^{c}]+", "")).cast("long")
     return hashed.select(
-        "doc_id", "lang", n_words.alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), count("#*$%&|<>").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), repeated_words(F.col("hashes")).cast("long").alias("n_repeat_words"),
-        F.array(F.length("text").cast("long"), *(count(c) for c in CLASSES)).alias("chars"), F.array(n_words, *(n_hits(w) for w in common)).alias("words"),
+        "doc_id", "lang", n_words.alias("n_words"), word_chars.alias("word_chars"), count("#*$%&|<>").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
+        F.array(n_chars, n_chars - word_chars, *(count(c) for c in CLASSES)).alias("chars"), F.array(n_words, *(in_bin(k) for k in range(WORD_BINS))).alias("words"),
     )
 
 
@@ -95,7 +109,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """
     found = keep(measure(docs), "measures")
     judged = found.filter(F.col("n_words") >= MIN_WORDS)
-    widths = {"chars": len(CLASSES) + 1, "words": 1 + len({w for line in COMMON_WORDS for w in line.split()})}
+    widths = {"chars": len(CLASSES) + 2, "words": WORD_BINS + 1}
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c, n in widths.items() for k in range(n)]
     arrays = [F.array(*(F.coalesce(f"{c}_{k}", F.lit(0)) for k in range(n))).alias(f"{c}_of") for c, n in widths.items()]
     by_lang = judged.groupBy("lang").agg(*sums).select("lang", *arrays)
