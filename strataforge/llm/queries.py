@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, html_extract, lang_id, mixing, pii, quality, repeats, token_counts, toxicity
+from strataforge.llm import contamination, html_extract, lang_id, mixing, oracles, pii, quality, repeats, token_counts, toxicity
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
