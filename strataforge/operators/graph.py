@@ -57,3 +57,12 @@ def chain_members(pointers: DataFrame, starts: DataFrame, most: int = 1000) -> D
             break
         out = out.unionByName(step.drop("way"))
     return out
+
+
+def call_lines(tree: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
+    """(root, line): each node of a call tree as a JSON line with its name, depth, cycle and sorted callees."""
+    inside = tree.select("root", F.col("node").alias("target"))
+    calls = tree.join(edges.select(F.col("source").alias("node"), "target").distinct(), "node").join(inside, ["root", "target"])
+    named = calls.join(names.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").groupBy("root", "node").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
+    full = tree.join(names.select(F.col("id").alias("node"), "name"), "node").join(named, ["root", "node"], "left")
+    return full.select("root", F.to_json(F.struct("name", "depth", "cycle", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))).alias("line"))

@@ -113,3 +113,35 @@ def upsert(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
 def skill_summary(content: Column) -> Column:
     """The first line of the trimmed text, 200 characters of it at most."""
     return F.left(F.substring_index(trimmed(content), "\n", 1), F.lit(200))
+
+
+def load_messages(messages: DataFrame, session_id: int) -> DataFrame:
+    """A session's messages in order; those without content, calls and an answered call are left out."""
+    there = (F.coalesce("content", F.lit("")) != "") | F.col("tool_calls").isNotNull() | F.col("tool_call_id").isNotNull()
+    return messages.filter((F.col("session_id") == session_id) & there).orderBy("timestamp", "id")
+
+
+def latest_root(sessions: DataFrame) -> DataFrame:
+    """(chat_id, id): each chat's newest session without a parent."""
+    return sessions.filter("parent_session_id is null").groupBy("chat_id").agg(F.max("id").alias("id"))
+
+
+def old_roots(sessions: DataFrame) -> DataFrame:
+    """(chat_id, id): each chat's sessions without a parent but for the newest."""
+    return sessions.filter("parent_session_id is null").select("chat_id", "id").join(latest_root(sessions), ["chat_id", "id"], "left_anti")
+
+
+def children(sessions: DataFrame, parent: int) -> DataFrame:
+    return sessions.filter(F.col("parent_session_id") == parent).orderBy("id")
+
+
+def render_list(tasks: DataFrame) -> DataFrame:
+    """(list_id, text): each list as lines `n. [status] goal`."""
+    line = F.concat((F.col("order_index") + 1).cast("string"), F.lit(". ["), F.col("status"), F.lit("] "), F.col("goal"))
+    rows = tasks.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("order_index", "id", line.alias("line")))).alias("rows"))
+    return rows.select("list_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+
+
+def migrated(lists: DataFrame, old: int, new: int) -> DataFrame:
+    """Lists with those of one session moved to another."""
+    return lists.withColumn("session_id", F.when(F.col("session_id") == old, F.lit(new)).otherwise(F.col("session_id")))

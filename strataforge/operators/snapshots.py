@@ -61,3 +61,14 @@ def directories(files: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     return files.filter(F.size(parts) > 1).select(F.explode(above).alias("directory")).groupBy("directory").agg(F.count("*").alias("n_files"))
+
+
+def new_blobs(files: DataFrame, blobs: DataFrame) -> DataFrame:
+    """(blob_id, content) of files (path, content) that the store doesn't have yet."""
+    return files.select(blob_id(F.col("content")).alias("blob_id"), "content").dropDuplicates(["blob_id"]).join(blobs.select("blob_id"), "blob_id", "left_anti")
+
+
+def moved_head(commits: DataFrame, heads: DataFrame) -> DataFrame:
+    """(id, head): each head moved to its parent, as undo does; a head without a parent stays. Redo is the head before."""
+    parents = commits.select(F.col("id").alias("head"), "parent")
+    return heads.join(parents, "head", "left").select("id", F.coalesce("parent", "head").alias("head"))

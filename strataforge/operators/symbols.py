@@ -268,3 +268,34 @@ def dependency_report(files: DataFrame, functions: DataFrame, variables: DataFra
     text = sections.select("file_id", "section", F.concat("label", F.lit(":\n  - "), F.array_join("names", "\n  - ")).alias("text"))
     reports = text.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda s: s["text"]), "\n").alias("report"))
     return files.select(F.col("id").alias("file_id"), "path").join(reports, "file_id").select("path", "report")
+
+
+def find_location(functions: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """(kind, id, file_id, start_line, end_line): the function of that name, one in a class first, or else the class."""
+    f = by_name(functions, name).select(F.lit(0).alias("o"), F.lit("function").alias("kind"), F.when(F.col("parent_type") == "class", 0).otherwise(1).alias("p"), "id", "file_id", "start_line", "end_line")
+    c = by_name(classes, name).select(F.lit(1).alias("o"), F.lit("class").alias("kind"), F.lit(0).alias("p"), "id", "file_id", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    return f.unionByName(c).orderBy("o", "p", "id").limit(1).drop("o", "p")
+
+
+def implementation(functions: DataFrame, classes: DataFrame, files: DataFrame, suggestions: DataFrame, name: str) -> DataFrame:
+    """(kind, text): the source of a symbol, or the names of ranked suggestions if there is none of that name."""
+    found = find_location(functions, classes, name)
+    source = found.join(files.select(F.col("id").alias("file_id"), "content"), "file_id").select("kind", source_lines(F.col("content"), F.coalesce("start_line", F.lit(1)), F.coalesce("end_line", F.lit(1 << 20))).alias("text"))
+    none = suggestions.agg(F.lit("suggestions").alias("kind"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("text"))
+    return source.unionByName(none.join(found.select(F.lit(True).alias("there")), how="left_anti"))
+
+
+def export_json(files: DataFrame, functions: DataFrame, classes: DataFrame, variables: DataFrame) -> DataFrame:
+    """(path, document): one JSON document for each file, with its functions, classes with their methods and variables, and variables.
+
+    Methods and variables whose class is missing are left out.
+    """
+    sorted_names = lambda t, key: t.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list("name")).alias("names"))
+    methods = sorted_names(functions.filter("parent_type = 'class'"), "parent_id").withColumnRenamed("names", "methods")
+    own = sorted_names(variables.filter("parent_type = 'class'"), "parent_id").withColumnRenamed("names", "own")
+    empty = F.array().cast("array<string>")
+    full = classes.join(methods, "id", "left").join(own, "id", "left").select("file_id", F.struct("name", F.coalesce("methods", empty).alias("methods"), F.coalesce("own", empty).alias("variables")).alias("c"))
+    by_file = full.groupBy(F.col("file_id").alias("id")).agg(F.array_sort(F.collect_list("c")).alias("classes"))
+    free = lambda t, name: sorted_names(t.filter("parent_id is null"), "file_id").withColumnRenamed("names", name)
+    every = files.select("id", "path", "language").join(free(functions, "functions"), "id", "left").join(by_file, "id", "left").join(free(variables, "variables"), "id", "left")
+    return every.select("path", F.to_json(F.struct("path", "language", F.coalesce("functions", empty).alias("functions"), F.coalesce("classes", F.array().cast("array<struct<name:string,methods:array<string>,variables:array<string>>>")).alias("classes"), F.coalesce("variables", empty).alias("variables"))).alias("document"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.operators import graph, sessions, snapshots, symbols, text
+from strataforge.sources import files
 from strataforge.plans.standins import SELECTS, standin, with_standins
 from strataforge.storage import table
 
@@ -176,6 +177,42 @@ _add("fetch_truncate", lambda p: p.select("page_id", text.fetched(F.col("html"),
 _add("html_text", text.html_text, "pages", None)
 _add("list_dir", lambda w: text.listing(w, 1), "working", "SELECT DISTINCT split_part(path, '/', 1) AS entry, 'directory' AS kind FROM working")
 
+# more of the index
+_add("find_location", lambda f, c: symbols.find_location(f, c, "blue anvil").select("kind", "id", "file_id"), "functions classes", "SELECT 'function' AS kind, id, file_id FROM functions WHERE name = 'blue anvil' ORDER BY CASE WHEN parent_type = 'class' THEN 0 ELSE 1 END, id LIMIT 1")
+_add(
+    "implementation", lambda f, c, a, v: symbols.implementation(f, c, a, symbols.search_symbols(_kinds(f, c, v), "anvil"), "blue anvil").unionByName(symbols.implementation(f, c, a, symbols.search_symbols(_kinds(f, c, v), "zzz"), "zzz")), "functions classes files variables",
+    "SELECT 'function' AS kind, array_to_string(string_split(g.content, chr(10))[f.start_line:f.end_line], chr(10)) AS text FROM (SELECT * FROM functions WHERE name = 'blue anvil' ORDER BY CASE WHEN parent_type = 'class' THEN 0 ELSE 1 END, id LIMIT 1) f JOIN files g ON g.id = f.file_id UNION ALL SELECT 'suggestions', ''",
+)
+_add(
+    "export_json_totals", lambda a, f, c, v: symbols.export_json(a, f, c, v).select("path", F.size(F.from_json("document", "functions array<string>")["functions"]).cast("long").alias("n_functions"), F.size(F.from_json("document", "classes array<struct<name string>>")["classes"]).cast("long").alias("n_classes")), "files functions classes variables",
+    "SELECT path, (SELECT count(*) FROM functions f WHERE f.file_id = g.id AND f.parent_id IS NULL) AS n_functions, (SELECT count(*) FROM classes c WHERE c.file_id = g.id) AS n_classes FROM files g",
+)
+_add("call_tree_lines", lambda e, f: graph.call_lines(graph.call_tree(e, f.filter("id <= 5").select(F.col("id").alias("node")), 2), f, e).groupBy("root").agg(F.count("*").alias("n_lines")), "edges functions", "SELECT source AS root, count(DISTINCT target) FILTER (target <> source) + 1 AS n_lines FROM edges WHERE source <= 5 GROUP BY source")
+_add("snippet_first_line", lambda a: a.select("id", symbols.snippet(F.col("content"), F.lit(1)).alias("snippet")), "files", None)
+_add("method_calls", lambda d: _two(symbols.dependencies(d, source=12, kind="method_call")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'method_call'")
+_add("class_references", lambda d: _two(symbols.dependencies(d, source=12, kind="class_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'class_reference'")
+_add("variable_references", lambda d: _two(symbols.dependencies(d, source=12, kind="variable_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'variable_reference'")
+_add("change_detection", lambda s, k: files.changes(s, k), "scanned known", "SELECT coalesce(s.path, k.path) AS path, CASE WHEN k.path IS NULL THEN 'new' WHEN s.path IS NULL THEN 'deleted' WHEN s.mtime = k.mtime THEN 'same' WHEN s.content_hash = k.content_hash THEN 'touched' ELSE 'changed' END AS change FROM scanned s FULL JOIN known k ON s.path = k.path")
+_add("deleted_files", lambda s, k: files.changes(s, k).filter("change = 'deleted'").select("path"), "scanned known", "SELECT path FROM known WHERE path NOT IN (SELECT path FROM scanned)")
+# more of sessions and snapshots
+_add("load_messages", lambda m: sessions.load_messages(m.select("session_id", F.col("turn").alias("id"), F.col("turn").alias("timestamp"), F.col("text").alias("content"), F.lit(None).cast("string").alias("tool_calls"), F.lit(None).cast("string").alias("tool_call_id")), 3).select("id", "content"), "messages", "SELECT turn AS id, text AS content FROM messages WHERE session_id = 3 AND text <> ''")
+_add("latest_session", sessions.latest_root, "sessions", "SELECT chat_id, max(id) AS id FROM sessions WHERE parent_session_id IS NULL GROUP BY chat_id")
+_add("old_sessions", sessions.old_roots, "sessions", "SELECT chat_id, id FROM sessions s WHERE parent_session_id IS NULL AND id < (SELECT max(id) FROM sessions t WHERE t.chat_id = s.chat_id AND t.parent_session_id IS NULL)")
+_add("child_sessions", lambda s: sessions.children(s, 8).select("id", "chat_id"), "sessions", "SELECT id, chat_id FROM sessions WHERE parent_session_id = 8")
+_add(
+    "root_session", lambda s: graph.chain_ends(s.select("id", F.col("parent_session_id").alias("next"))).select("id", F.col("last").alias("root"), F.col("hops").alias("depth")), "sessions",
+    "WITH w AS (SELECT id, id AS root, parent_session_id AS up, 0 AS depth FROM sessions UNION ALL SELECT w.id, s.id, s.parent_session_id, w.depth + 1 FROM w JOIN sessions s ON s.id = w.up) SELECT id, root, CAST(depth AS BIGINT) AS depth FROM w WHERE up IS NULL",
+)
+_add("todo_text", sessions.render_list, "tasks", "SELECT list_id, string_agg((order_index + 1) || '. [' || status || '] ' || goal, chr(10) ORDER BY order_index, id, status, goal) AS text FROM tasks GROUP BY list_id")
+_add("migrated_lists", lambda t: sessions.migrated(t, 7, 8).groupBy("session_id").agg(F.count("*").alias("n")), "lists", "SELECT CASE WHEN session_id = 7 THEN 8 ELSE session_id END AS session_id, count(*) AS n FROM lists GROUP BY 1")
+_add("changes_by_session", lambda c: c.filter("session_id = 5").orderBy("timestamp", "id").select("id", "change_type"), "changes", "SELECT id, change_type FROM changes WHERE session_id = 5")
+_add(
+    "commit_log", lambda c: graph.chain_members(c.select("id", F.col("parent").alias("next")), c.filter("id > 14900").select("id"), 10).select("start", "id", F.col("hop").cast("long").alias("hop")), "commits",
+    "WITH w AS (SELECT id AS start, id, parent, 0 AS hop FROM commits WHERE id > 14900 UNION ALL SELECT w.start, c.id, c.parent, w.hop + 1 FROM w JOIN commits c ON c.id = w.parent WHERE w.hop < 10) SELECT start, id, CAST(hop AS BIGINT) AS hop FROM w",
+)
+_add("undo_heads", lambda c: snapshots.moved_head(c, c.groupBy(F.col("o_custkey").alias("id")).agg(F.max("id").alias("head"))), "commits", "SELECT o_custkey AS id, coalesce(arg_max(parent, id), max(id)) AS head FROM commits GROUP BY o_custkey")
+_add("new_blobs", lambda w, s: snapshots.new_blobs(w, _ids(s)).select("blob_id"), "working snapshot", f"SELECT DISTINCT {_BLOB} AS blob_id FROM working WHERE content NOT IN (SELECT content FROM snapshot)")
+
 
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in _FOUND.items()}

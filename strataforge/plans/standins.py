@@ -33,6 +33,10 @@ SELECTS = {
         "SELECT l_orderkey AS list_id, l_linenumber AS order_index, l_partkey * 1000 + l_suppkey AS id, CASE l_returnflag WHEN 'R' THEN 'in_progress' WHEN 'N' THEN 'pending' ELSE 'completed' END AS status, CAST(l_partkey AS STRING) AS goal FROM {lineitem}"
     ),
     "changes": "SELECT event_id AS id, ts AS timestamp, user_id AS session_id, event_type AS change_type, props FROM {events}",
+    "sessions": "SELECT o_orderkey AS id, o_custkey AS chat_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS parent_session_id FROM {orders}",
+    "commits": "SELECT o_orderkey AS id, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent, o_custkey FROM {orders}",
+    "scanned": "SELECT doc_id AS path, n_chars % 3 AS mtime, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS content_hash FROM {documents} WHERE doc_id % 7 <> 0",
+    "known": "SELECT doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN n_chars % 3 ELSE 9 END AS mtime, lang AS content_hash FROM {documents} WHERE doc_id % 11 <> 0",
     "working": "SELECT source || '/' || CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END AS content FROM {documents} WHERE doc_id % 7 <> 0",
     "snapshot": "SELECT source || '/' || CAST(doc_id AS STRING) AS path, text AS content FROM {documents} WHERE doc_id % 11 <> 0",
 }
