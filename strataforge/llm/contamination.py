@@ -15,12 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.storage import drop_kept, keep
+from strataforge.operators.bitmap import bitmap, fills
+from strataforge.storage import keep
 
 WINDOW = 10
 SHINGLE = 3
-#: Longs in the bitmap: of fixed size, whatever the benchmark's. A fuller bitmap lets more places through to the join.
-BITMAP = 1 << 15
 _NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,23 +45,6 @@ def _shingles(h: Column, width: int) -> Column:
     return F.slice(out, 1, F.greatest(n - (width - 1), F.lit(0)))
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(64 * BITMAP))
-
-
-def _bitmap(keys: DataFrame) -> Column:
-    """Which slots the column key fills: BITMAP longs, as a literal."""
-    word = F.shiftright(_slot(F.col("key")), 6).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("key", F.lit(64)).cast("int"))
-    longs = dict(keys.groupBy(word.alias("k")).agg(F.bit_or(bit).alias("v")).collect())
-    return F.split(F.lit(",".join(str(longs.get(k, 0)) for k in range(BITMAP))), ",").cast("array<bigint>")
-
-
-def _fills(bits: Column, key: Column) -> Column:
-    word = F.get(bits, F.shiftright(_slot(key), 6).cast("int"))
-    return F.getbit(word, F.pmod(key, F.lit(64)).cast("int")) == 1
-
-
 def _windows(items: DataFrame) -> DataFrame:
     """item_id and window (an array of word hashes), all distinct."""
     n = F.size("h")
@@ -78,16 +60,16 @@ def _matches(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """
     parts = windows.select("id", F.posexplode(_shingles(F.col("window"), width)).alias("offset", "shingle"))
     parts = keep(parts, "parts")
-    bits = _bitmap(parts.select(F.col("shingle").alias("key")))
-    inside = docs.select(F.explode(F.filter(_shingles(F.col("h"), width), lambda s: _fills(bits, s))).alias("shingle"))
+    bits = bitmap(parts, F.col("shingle"))
+    inside = docs.select(F.explode(F.filter(_shingles(F.col("h"), width), lambda s: fills(bits, s))).alias("shingle"))
     held = inside.join(parts.select("shingle").distinct(), "shingle").groupBy("shingle").agg(F.count("*").alias("places"))
     rarest = parts.join(held, "shingle", "left").groupBy("id").agg(F.min_by(F.struct("shingle", "offset"), F.struct(F.coalesce("places", F.lit(0)), "shingle", "offset")).alias("p"))
     # a window whose rarest shingle is nowhere in the corpus is not there either
     prefixes = keep(rarest.select("id", "p.*").join(held.select("shingle"), "shingle").join(windows, "id"), "prefixes")
-    first = _bitmap(prefixes.select(F.col("shingle").alias("key")))
+    first = bitmap(prefixes, F.col("shingle"))
     reach = WINDOW - width
     low = lambda at: F.greatest(at - reach, F.lit(0))
-    placed = F.filter(F.transform(_shingles(F.col("h"), width), lambda s, at: F.struct(s.alias("shingle"), at.alias("at"))), lambda x: _fills(first, x["shingle"]))
+    placed = F.filter(F.transform(_shingles(F.col("h"), width), lambda s, at: F.struct(s.alias("shingle"), at.alias("at"))), lambda x: fills(first, x["shingle"]))
     around = F.transform(placed, lambda x: F.struct(x["shingle"].alias("shingle"), x["at"].alias("at"), F.slice(F.col("h"), low(x["at"]) + 1, 2 * reach + width).alias("near")))
     found = keep(docs.select("key", "print", F.size("h").cast("long").alias("n_words"), around.alias("places")), "places")
     place = found.select("key", "print", F.explode("places").alias("x")).select("key", "print", "x.*").join(prefixes, "shingle")
