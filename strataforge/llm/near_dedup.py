@@ -3,21 +3,24 @@
 A document's set holds its distinct shingles of consecutive words. Documents with equal sets form a
 class. Each class has a MinHash signature and is posted under (coordinate, value) pairs:
 
-* prefix merging: links agree in at least `matches` of the coordinates, so two linked classes share
-  one of the first `coordinates - matches + 1` of each other, in any order common to all. Values that
-  many classes share come last in that order, so common passages fill no posting list.
+* prefix merging: links agree in at least `matches` of the coordinates. Coordinates are taken two by
+  two, so that classes that share a common passage only seldom meet; linked classes agree in most of
+  these pairs, and one of the first few is shared for certain. Only these are posted.
 * star pass: in each list, every class is compared with the class whose values are shared most.
-* skip merging: lists whose classes are by now in one component are skipped; of the rest, only pairs
-  from different components are compared, in blocks of bounded size, and each pair in the first list
-  that it shares only.
+* skip merging: lists whose classes are by now in one component are skipped. Of the rest, long ones
+  (a common passage fills them) are split by the next pair in which linked classes can agree,
+  and skipped again. Then only pairs from different components are compared, in blocks of bounded
+  size, and each pair in one of its lists only.
 
-Pairs with enough collisions are confirmed on the full sets.
+Pairs with enough collisions are confirmed on the full sets, in the second pass within their block,
+where only links that join components come out: rows never grow with the square of a list.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +28,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.words import mix, shingle_set, slices
+from strataforge.operators.bitmap import may_be_in
 from strataforge.operators.components import components
 from strataforge.storage import drop_kept, keep
 
 COORDINATES = 64
+PAIRS = COORDINATES // 2
 #: Standard deviations below the mean number of matches at the threshold: about 1 link in 50,000 at the very threshold is missed.
 SIGMAS = 4.4
-#: A value shared by more classes is common: it comes last in the order of coordinates.
-COMMON = 64
+#: A longer list is split by further pairs of coordinates, up to so many in all.
+COMMON, LEVELS = 4096, 2
 #: Classes of a posting list in one block.
 BLOCK = 256
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64)
@@ -94,49 +99,84 @@ def _confirm(percent: int):
     return run
 
 
-def _blocks(percent: int, matches: int):
-    """Pairs of different components within sorted groups (key, i, j) that agree in enough coordinates."""
-    prefix = COORDINATES - matches + 1
-
-    def pairs(key: int, left: tuple, right: tuple, same: bool):
-        (node_a, label_a, n_a, sign_a, front_a), (node_b, label_b, n_b, sign_b, front_b) = left, right
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups (key, i, j) of rows that are sorted by them, wherever batches end."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        ids = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
+        limits = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1)]
+        for low, high in zip(limits[:-1], limits[1:]):
+            yield table.slice(low, high - low)
+        rest = table.slice(limits[-1])
+    if rest is not None:
+        yield rest
+
+
+def _alike(percent: int, matches: int):
+    """For each group of classes: those that agree with classes of other components in enough coordinates, and with which."""
+
+    def partners(first: list[int], left: tuple, right: tuple, same: bool) -> dict[int, list[int]]:
+        (node_a, label_a, n_a, sign_a), (node_b, label_b, n_b, sign_b) = left, right
+        found: dict[int, list[int]] = {}
         for k in range(len(node_a)):
             start = k + 1 if same else 0
             fit = (label_b[start:] != label_a[k]) & (100 * np.minimum(n_b[start:], n_a[k]) >= percent * np.maximum(n_b[start:], n_a[k]))
-            for at in np.flatnonzero(fit) + start:
-                equal = sign_b[at] == sign_a[k]
-                # the pair counts in the least key of both prefixes only
-                if equal.sum() >= matches and np.intersect1d(front_a[k], front_b[at]).min() == key:
-                    yield min(node_a[k], node_b[at]), max(node_a[k], node_b[at])
-
-    def group(table: pa.Table) -> list[tuple[int, int]]:
-        key, i, j = (int(table.column(c)[0].as_py()) for c in ("key", "i", "j"))
-        sign = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        front = table.column("front").combine_chunks().flatten().to_numpy().reshape(-1, prefix)
-        cols = [table.column(c).to_numpy() for c in ("node", "label", "n")] + [sign, front]
-        mine = table.column("block").to_numpy()
-        left, right = (tuple(c[mine == b] for c in cols) for b in (i, j))
-        return list(pairs(key, left, right, i == j))
+            at = np.flatnonzero(fit) + start
+            equal = sign_b[at] == sign_a[k]
+            for x in np.flatnonzero(equal.sum(axis=1) >= matches):
+                # of all lists that it shares, a pair counts in that of the first pairs of coordinates in which it agrees
+                if np.flatnonzero(equal[x].reshape(PAIRS, 2).all(axis=1))[: len(first)].tolist() == first:
+                    found.setdefault(int(node_a[k]), []).append(int(node_b[at[x]]))
+                    found.setdefault(int(node_b[at[x]]), [])
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
+        for table in _groups(batches):
+            if table.num_rows < 2:
+                continue
+            ids = [table.column(c)[0].as_py() for c in ("key", "i", "j")]
+            sign = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+            cols = [table.column(c).to_numpy() for c in ("node", "label", "n")] + [sign]
+            mine = table.column("block").to_numpy()
+            left, right = (tuple(c[mine == b] for c in cols) for b in ids[1:])
+            found = partners(table.column("at")[0].as_py(), left, right, ids[1] == ids[2])
+            if found:
+                label = dict(zip(cols[0].tolist(), cols[1].tolist()))
+                same = [pa.array([x] * len(found), pa.int64()) for x in ids]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(list(found), pa.int64()), pa.array([label[x] for x in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "i", "j", "node", "label", "partners"])
 
-        def cut(table: pa.Table, last: bool) -> tuple[list, pa.Table | None]:
-            ids = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")])
-            limits = [0, *(np.flatnonzero((ids[:, 1:] != ids[:, :-1]).any(axis=0)) + 1), table.num_rows]
-            found = []
-            for a, b in zip(limits[:-1], limits[1:] if last else limits[1:-1]):
-                if b - a > 1:
-                    found += group(table.slice(a, b - a))
-            return found, None if last else table.slice(limits[-2])
+    return run
 
-        for batch in batches:
-            if batch.num_rows:
-                table = pa.Table.from_batches([batch])
-                found, rest = cut(pa.concat_tables([rest, table]) if rest is not None else table, False)
-                yield _edges(found)
-        if rest is not None:
-            yield _edges(cut(rest, True)[0])
+
+def _linked(percent: int):
+    """Of groups of classes with their sets: links that join different components, no more than join them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            node, partners = table.column("node").to_pylist(), table.column("partners").to_pylist()
+            label = dict(zip(node, table.column("label").to_pylist()))
+            sets = {x: np.frombuffer(s.as_buffer(), np.uint64) for x, s in zip(node, table.column("shingles"))}
+            root = {x: x for x in label.values()}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            links = []
+            for a, others in zip(node, partners):
+                for b in others:
+                    one, two = find(label[a]), find(label[b])
+                    if one != two:
+                        both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
+                        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                            root[one] = two
+                            links.append((a, b))
+            yield _edges(links)
 
     return run
 
@@ -145,6 +185,12 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings (node, key, at) of lists with two classes or more, with the list's size."""
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    return keep(postings.join(sizes, "key"), "lists")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of percent / 100 or more.
 
@@ -156,56 +202,65 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     gives an empty result.
     """
     matches = least_matches(percent)
+    # each coordinate in which a link differs spoils one pair at most
     prefix = COORDINATES - matches + 1
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = keep(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, print_a long, print_b long, signature array<int>"), "sketch")
-    classes = keep(
-        sketch.filter("n_shingles > 0").groupBy("n_shingles", "print_a", "print_b").agg(F.min("doc_id").alias("node"), F.any_value("signature").alias("signature")).withColumnRenamed("n_shingles", "n"), "classes"
-    )
-    nodes = classes.filter("node is not null")
-    # shiftleft keeps the coordinate above the 32 bits of its value
-    keyed = nodes.select("node", "n", "signature", F.transform("signature", lambda v, k: F.shiftleft(k.cast("long"), 32).bitwiseOR(v.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("keys"))
-    shared = keep(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
-    common = shared.filter(F.col("size") > COMMON).select(F.col("key").alias("common_key"))
-    posted = keyed.select("node", F.explode("keys").alias("key"))
-    order = F.array_sort(F.collect_list(F.struct(F.col("common_key").isNotNull().alias("late"), "key")))
-    fronts = posted.join(common, posted.key == common.common_key, "left").groupBy("node").agg(F.slice(order, 1, prefix)["key"].alias("front"))
-    fronts = keep(fronts, "fronts")
-    postings = keep(fronts.select("node", F.explode("front").alias("key")).join(shared, "key"), "postings")
-    lists = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    postings_now = keep(postings.select("key", "node").join(lists, "key"), "lists")
-    drop_kept(shared, postings)
-
-    weight = postings_now.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = postings_now.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    star = postings_now.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    sides = nodes.select("node", "n", "signature")
+    prints = ["n_shingles", "print_a", "print_b"]
+    least = sketch.filter("n_shingles > 0").groupBy(prints).agg(F.min("doc_id").alias("node"))
+    own = sketch.filter("doc_id is not null").dropDuplicates(["doc_id", *prints])
+    nodes = keep(least.join(own.withColumnRenamed("doc_id", "node"), ["node", *prints]).select("node", F.col("n_shingles").alias("n"), "signature"), "nodes")
+
+    value = lambda c: F.struct(F.get("signature", 2 * c), F.get("signature", 2 * c + 1))
+    postings = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(prefix - 1))).alias("c"))
+    lists = _shared(postings.select("node", F.xxhash64("c", value(F.col("c"))).alias("key"), F.array("c").alias("at")))
+    weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
+    centre = lists.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    star = lists.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
     fit = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= matches
     close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    seen = star.join(sides.toDF("a", "na", "sa"), "a").join(sides.toDF("b", "nb", "sb"), "b").filter(close).filter(fit).select("a", "b")
-
-    wanted = postings_now.select(F.col("node").alias("doc_id")).distinct()
-    sets = keep(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        return full.mapInArrow(_confirm(percent), "a long, b long")
-
-    links = keep(confirmed(seen), "links")
+    seen = star.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b").filter(close).filter(fit).select("a", "b")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the documents in wanted (node)."""
+        names = wanted.select(F.col("node").alias("doc_id")).distinct()
+        few = texts.filter(may_be_in(names, "doc_id"))
+        return keep(few.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
+
+    seen = keep(seen, "seen")
+    sets = sets_of(seen.select(F.col("a").alias("node")).union(seen.select("b")))
+    full = seen.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    links = keep(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
     first = components(links)
     label = F.coalesce("component", "node")
-    labelled = keep(postings_now.join(first, "node", "left").select("key", "node", "size", label.alias("label")), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    n_blocks = F.ceil(F.col("size") / BLOCK)
-    rest = labelled.join(mixed, "key").join(sides, "node").join(fronts, "node").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.hash("node").cast("long"), F.col("blocks")))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "signature", "front")
-    more = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_blocks(percent, matches), "a long, b long")
-    found = keep(confirmed(more), "more")
+
+    def mixed(found: DataFrame) -> DataFrame:
+        """The lists that hold more than one component, with their classes' labels."""
+        named = found.join(first, "node", "left").select(*found.columns, label.alias("label"))
+        ends = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        return named.join(ends.filter("low != high").select("key"), "key")
+
+    rest = keep(mixed(lists), "mixed")
+    small = [rest.filter(F.col("size") <= COMMON)]
+    for level in range(1, LEVELS):
+        # a common value says little: its list is split by the next pair in which two linked classes can agree
+        long = rest.filter(F.col("size") > COMMON).join(nodes.select("node", "signature"), "node")
+        split = long.withColumn("c", F.explode(F.sequence(F.element_at("at", -1) + 1, F.lit(prefix - 1 + level))))
+        lists_now = _shared(split.select("node", F.xxhash64("key", "c", value(F.col("c"))).alias("key"), F.concat("at", F.array("c")).alias("at")))
+        rest = keep(mixed(lists_now), "mixed")
+        small.append(rest if level == LEVELS - 1 else rest.filter(F.col("size") <= COMMON))
+    left = reduce(DataFrame.unionByName, small).join(nodes, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "label", "n", "signature")
+    ids = ["key", "i", "j"]
+    alike = left.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_alike(percent, matches), "key long, i long, j long, node long, label long, partners array<long>")
+    alike = keep(alike, "alike")
+    rows = alike.join(sets_of(alike), "node").select(*ids, "node", "label", "partners", "shingles")
+    found = keep(rows.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_linked(percent), "a long, b long"), "more")
     final = components(links.union(found)) if not found.isEmpty() else first
 
-    member = classes.join(final, "node", "left").select(F.col("n").alias("n_shingles"), "print_a", "print_b", label.alias("component"))
-    drop_kept(labelled, fronts, postings_now, sets)
-    out = sketch.drop("signature").join(member, ["n_shingles", "print_a", "print_b"], "left")
+    member = least.join(final, "node", "left").select(*prints, label.alias("component"))
+    drop_kept(lists)
+    out = sketch.drop("signature").join(member, prints, "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
