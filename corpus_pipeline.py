@@ -19,17 +19,18 @@ from strataforge.llm.pii import redact
 from strataforge.storage import keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is no language's if even the nearest prototype is further than this.
-LEAST_SCORE = 0.05
+#: A document is no language's if even the nearest prototype is further than this; shorter texts say too little to be rejected so.
+LEAST_SCORE, LEAST_JUDGED = 0.05, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those that are like none of the languages; lang becomes the one found.
+    """Drops documents without a letter, and those of LEAST_JUDGED characters or more that are like none of the languages; lang becomes the one found.
 
     Prototypes are learned from all documents with a lang.
     """
     found = identify(docs, keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars"))
-    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    near = (F.col("score") >= LEAST_SCORE) | (F.length("own_text") < LEAST_JUDGED)
+    judged = found.filter((F.col("lang_pred") != UNKNOWN) & near)
     return judged.select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), F.col("own_source").alias("source"), F.col("own_n_chars").alias("n_chars"))
 
 
