@@ -130,7 +130,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     classes = keep(classes.select("seq_a", "seq_b", "name.key", "name.print", "copies", "anchors"), "classes")
 
     seeds = classes.select("key", F.explode("anchors").alias("anchor"))
-    shared = seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    # written first: with two plain exchanges below it, Spark can split the join of a very common anchor
+    shared = keep(seeds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "shared")
     met = seeds.join(shared, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     unique = texts.select(*name, "text").join(classes.drop("anchors").join(met, "key"), name)
     found = keep(unique.select("seq_a", "seq_b", *name, "copies", "anchors", "text"), "met")
@@ -151,7 +152,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     cut = found.filter("copies = 1").join(ranges, name).select("seq_a", "seq_b", "text", "ranges").mapInArrow(_cut, "seq_a long, seq_b long, n_cut long, cut_sha256 string")
     copied = classes.filter("copies > 1").select("seq_a", "seq_b", F.lit(-1).cast("long").alias("n_cut"), F.sha2(F.lit(""), 256).alias("cut_sha256"))
     changed = keep(cut.union(copied), "changed")
-    drop_kept(classes, found, runs, spans, windows)
+    drop_kept(shared, classes, found, runs, spans, windows)
     out = scan.drop("anchors").join(changed, ["seq_a", "seq_b"], "left")
     removed = F.when(F.col("n_cut") < 0, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0).cast("long")))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))
