@@ -3,7 +3,8 @@
 Each source's documents, in a shuffled order, are laid on a line of words and cut into blocks of equal
 size. Slots of the mix are points of the golden-ratio sequence; a point falls into one source's share
 of the cumulative weights, so that any stretch of slots holds the sources in their proportions. The
-r-th slot of a source takes the r-th block of its line, and begins again after the last.
+r-th slot of a source takes the r-th block of its line, and begins again after the last. Slots that a
+source has beyond its aim are left out, and those that it lacks follow the last slot.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ MOST = 3
 WEIGHTS = (1, 2, 3)
 #: Slots of the schedule aimed at, as long as blocks don't get longer than LONGEST words.
 SLOTS, LONGEST = 1 << 19, 1024
-#: The golden ratio's fraction on a circle of 2**31 points.
-STEP, CIRCLE = 1327217885, 1 << 31
+#: Each source has blocks enough that its target takes so many of them, as far as it has words.
+LEAST = 64
+#: The golden ratio's fraction of a circle of 2**62 points, in two halves of 31 bits: the points stay golden over 2**32 slots.
+STEP, HALF = 2850178704830799621, 1 << 31
 #: Parts of a source's shuffled line that are summed apart, so that no task holds a whole source.
 PARTS = 1024
 
@@ -50,27 +53,34 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(common * F.col("weight")).alias("target"))
 
 
+def point(slot: Column) -> Column:
+    """Where a slot below 2**32 lies on the circle, from 0 to under 1. Whole numbers only, none over 2**63, and 52 bits of the product are kept."""
+    high = slot * (STEP // HALF) % HALF * HALF
+    return F.shiftright((high + slot * (STEP % HALF) % (HALF * HALF)) % (HALF * HALF), 10) / F.lit(float(1 << 52))
+
+
 def schedule(sources: DataFrame) -> DataFrame:
-    """(slot, source_key, turn, block): which block each slot takes. sources: one row a source (source_key, blocks, slots, low, high, total).
+    """(slot, source_key, turn, block): which block each slot takes. sources: one row a source (source_key, blocks, aim, low, high, total).
 
     Turns count a source's slots from 0, by slices of the schedule, so that no task ranks a whole source.
-    A source's slots after MOST rounds of its blocks are left out.
+    Each source has as many slots as its aim; those that its share of the circle lacks come last.
     """
     spark = sources.sparkSession
     n = sources.agg(F.max("total")).first()[0] or 0
-    point = (F.col("id") % CIRCLE * STEP % CIRCLE) / F.lit(float(CIRCLE))
-    span = 1 << 14
-    slots = spark.range(n).select(F.col("id").alias("slot"), point.alias("x"), F.shiftright("id", 14).alias("slice"))
+    slots = spark.range(n).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"), F.shiftright("id", 14).alias("slice"))
     # cells of equal width turn the search of an interval into an equality
     cells = 1 << 10
-    cut = sources.select("source_key", "low", "high", "blocks", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
+    cut = sources.select("source_key", "low", "high", "blocks", "aim", F.explode(F.sequence(F.floor(F.col("low") * cells), F.floor(F.col("high") * cells))).alias("cell"))
     dealt = slots.withColumn("cell", F.floor(F.col("x") * cells)).join(cut, "cell").filter((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
-    counts = dealt.groupBy("source_key", "slice").agg(F.count("*").alias("n"))
+    counts = keep(dealt.groupBy("source_key", "slice").agg(F.count("*").alias("n")), "slices")
     earlier = Window.partitionBy("source_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("source_key", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     turn = F.col("base") + F.row_number().over(Window.partitionBy("source_key", "slice").orderBy("slot")) - 1
-    ranked = dealt.join(base, ["source_key", "slice"]).select("slot", "source_key", turn.alias("turn"), "blocks")
-    return ranked.filter(F.col("turn") < MOST * F.col("blocks")).select("slot", "source_key", "turn", (F.col("turn") % F.col("blocks")).alias("block"))
+    ranked = dealt.join(base, ["source_key", "slice"]).select("slot", "source_key", turn.alias("turn"), "blocks", "aim").filter(F.col("turn") < F.col("aim"))
+    have = sources.join(counts.groupBy("source_key").agg(F.sum("n").alias("n")), "source_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    lacking = have.filter(F.col("n") < F.col("aim")).select("source_key", F.explode(F.sequence("n", F.col("aim") - 1)).alias("turn"), "blocks", "aim")
+    last = lacking.select((F.row_number().over(Window.orderBy("turn", "source_key")) - 1 + n).alias("slot"), "source_key", "turn", "blocks", "aim")
+    return ranked.unionByName(last).select("slot", "source_key", "turn", (F.col("turn") % F.col("blocks")).alias("block"))
 
 
 def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
@@ -88,13 +98,16 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     aims = keep(targets(sized).withColumn("source_key", key), "targets")
     total = aims.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, min(LONGEST, total // SLOTS))
-    blocks = F.greatest(F.lit(1), F.floor(F.col("source_size") / block))
+    # a slot more or less is a small part of any source's target, however long the others' blocks
+    fine = F.when(F.col("target") > 0, F.ceil(LEAST * F.col("source_size") / F.col("target"))).otherwise(0)
+    blocks = F.greatest(F.lit(1), F.least("source_size", F.greatest(F.floor(F.col("source_size") / block), fine)))
     slots = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
     planned = aims.select("source_key", "source_size", blocks.alias("blocks"), slots.alias("slots"))
+    aim = F.least(F.round("slots").cast("long"), MOST * F.col("blocks"))
     every = F.sum("slots").over(Window.partitionBy())
     line = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
     high = F.sum("slots").over(line)
-    planned = planned.select("source_key", "source_size", "blocks", ((high - F.col("slots")) / every).alias("low"), (high / every).alias("high"), F.round(every).cast("long").alias("total"))
+    planned = planned.select("source_key", "source_size", "blocks", aim.alias("aim"), ((high - F.col("slots")) / every).alias("low"), (high / every).alias("high"), F.round(every).cast("long").alias("total"))
     planned = keep(planned.filter("source_size > 0"), "plan")
     taken = schedule(planned).groupBy("source_key", "block").agg(F.count("*").alias("times"))
 
