@@ -12,25 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataforge.llm.contamination import contamination
-from strataforge.llm.lang_id import UNKNOWN, identify, learn
+from strataforge.llm.lang_id import UNKNOWN, identify, learn, usual
 from strataforge.llm.mixing import mix
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.llm.pii import redact
 from strataforge.storage import keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is no language's if even the nearest prototype is further than this; shorter texts say too little to be rejected so.
-LEAST_SCORE, LEAST_JUDGED = 0.05, 100
+#: A document is no language's if less than this share of its runs of three letters is usual in any. Own documents of check_l have 0.45 and more (short ones with keys or addresses least), five or more random words of any script under 0.3.
+LEAST_KNOWN = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those of LEAST_JUDGED characters or more that are like none of the languages; lang becomes the one found.
+    """Drops documents without a letter, and those of any length that are like none of the languages; lang becomes the one found.
 
-    Prototypes are learned from all documents with a lang.
+    Prototypes and usual runs of letters are learned from all documents with a lang.
     """
-    found = identify(docs, keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars"))
-    near = (F.col("score") >= LEAST_SCORE) | (F.length("own_text") < LEAST_JUDGED)
-    judged = found.filter((F.col("lang_pred") != UNKNOWN) & near)
+    found = identify(docs, keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars", "lang"), frequent=keep(usual(docs), "usual"))
+    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
     return judged.select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), F.col("own_source").alias("source"), F.col("own_n_chars").alias("n_chars"))
 
 

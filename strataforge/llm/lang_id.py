@@ -25,6 +25,10 @@ SLICE_CHARS = 1 << 19
 #: Letters are told apart by so many classes of code points; Latin and other small alphabets don't meet.
 LETTERS = 1 << 10
 UNKNOWN = "und"
+#: A run of letters is usual in a language if at least this part of the language's runs, and so many of them, are it.
+USUAL, USUAL_LEAST = 3e-5, 3
+#: A language with fewer runs than this can't tell what is unusual in it.
+LEAST_GRAMS = 10_000
 
 
 @cache
@@ -94,7 +98,55 @@ def learn(docs: DataFrame) -> DataFrame:
     return sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("prototype"))
 
 
-def _judge(langs: list[str], prototypes: np.ndarray):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each run occurs in (text, lang) rows, summed by language within the partition."""
+    total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        langs = batch.column(1).to_pylist()
+        for start, held in _parts(batch.column(0)):
+            by_lang: dict[str, list] = {}
+            for k, letters in enumerate(held):
+                by_lang.setdefault(langs[start + k], []).append(grams(letters))
+            for lang, found in by_lang.items():
+                codes, counts = np.unique(np.concatenate(found), return_counts=True)
+                if lang in total:
+                    codes, place = np.unique(np.concatenate((total[lang][0], codes)), return_inverse=True)
+                    counts = np.bincount(place, weights=np.concatenate((total[lang][1], counts)), minlength=len(codes)).astype(np.int64)
+                total[lang] = codes, counts
+    for lang, (codes, counts) in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], names=["lang", "code", "n"])
+
+
+def usual(docs: DataFrame) -> DataFrame:
+    """(lang, least, total, codes): the runs usual in each language of docs (text, lang), each with its count, from all rows whose lang is not null.
+
+    At most 1 / USUAL runs a language; total counts all of the language's runs, and least of them make one usual.
+    """
+    counts = keep(docs.filter("lang is not null").select("text", "lang").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("least", F.greatest(F.lit(float(USUAL_LEAST)), USUAL * F.col("total")))
+    found = counts.join(F.broadcast(totals), "lang").filter("n >= least").groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("codes"))
+    return totals.join(found, "lang", "left")
+
+
+def _tables(frequent: DataFrame) -> dict[str, tuple[float, int, np.ndarray, np.ndarray]]:
+    """By language: least, total, and the usual runs in order with their counts."""
+    out = {}
+    for r in frequent.collect():
+        pairs = np.array(sorted(r["codes"] or []), dtype=np.int64).reshape(-1, 2)
+        out[r["lang"]] = r["least"], r["total"], pairs[:, 0], pairs[:, 1]
+    return out
+
+
+def _often(tables: dict, codes: np.ndarray) -> dict[str, np.ndarray]:
+    """For each language the counts of these runs, 0 where a run isn't usual."""
+    out = {}
+    for lang, (_, _, usual_codes, counts) in tables.items():
+        at = np.minimum(np.searchsorted(usual_codes, codes), max(len(usual_codes) - 1, 0))
+        out[lang] = np.where(usual_codes[at] == codes, counts[at], 0) if len(usual_codes) else np.zeros(len(codes), dtype=np.int64)
+    return out
+
+
+def _judge(langs: list[str], prototypes: np.ndarray, tables: dict | None = None):
     unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)
     # what all languages share doesn't tell them apart
     centre = unit.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
@@ -107,37 +159,52 @@ def _judge(langs: list[str], prototypes: np.ndarray):
                 each = [np.unique(grams(x), return_counts=True) for x in held]
                 codes = np.unique(np.concatenate([c for c, _ in each]))
                 vectors = bound(codes)
-                best, score = [], []
-                for own, counts in each:
+                often = _often(tables or {}, codes)
+                own_lang = batch.column(batch.schema.names.index("own_lang")).slice(start, len(held)).to_pylist() if "own_lang" in batch.schema.names else [None] * len(held)
+                best, score, known = [], [], []
+                for (own, counts), lang in zip(each, own_lang):
                     if not len(own) or not langs:
                         best.append(UNKNOWN)
                         score.append(0.0)
+                        known.append(0.0)
                         continue
-                    profile = counts.astype(np.float32) @ vectors[np.searchsorted(codes, own)]
+                    place = np.searchsorted(codes, own)
+                    profile = counts.astype(np.float32) @ vectors[place]
                     profile = profile / max(float(np.linalg.norm(profile)), 1e-9) - centre
                     cosine = profile @ target / max(float(np.linalg.norm(profile)), 1e-9)
                     k = int(np.argmax(cosine))
                     best.append(langs[k])
                     score.append(min(1.0, max(0.0, float(cosine[k]))))
+                    if tables is None or langs[k] not in tables or tables[langs[k]][1] < LEAST_GRAMS:
+                        known.append(1.0)
+                    else:
+                        # a text doesn't make its own runs usual
+                        known.append(max(float(counts[often[x][place] - (counts if x == lang else 0) >= tables[x][0]].sum()) for x in tables) / float(counts.sum()))
                 same = [batch.column(k).slice(start, len(held)) for k in (0, *range(2, batch.num_columns))]
-                yield pa.RecordBatch.from_arrays([same[0], pa.array(best, pa.string()), pa.array(score, pa.float64()), *same[1:]], names=["doc_id", "lang_pred", "score", *batch.schema.names[2:]])
+                share = {} if tables is None else {"known": pa.array(known, pa.float64())}
+                yield pa.RecordBatch.from_arrays([same[0], pa.array(best, pa.string()), pa.array(score, pa.float64()), *share.values(), *same[1:]], names=["doc_id", "lang_pred", "score", *share, *batch.schema.names[2:]])
 
     return run
 
 
-def identify(docs: DataFrame, prototypes: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, prototypes: DataFrame, carry: tuple[str, ...] = (), frequent: DataFrame | None = None) -> DataFrame:
     """doc_id, lang_pred and score (the cosine, 0 to 1) for each row of docs (doc_id, text), and the columns in carry as `own_` and their name.
 
     A text that is null or has no letter gets `und` and 0; so does every text if there is no prototype.
     Ties go to the language that comes first by code point. The prototypes, a row of fixed size for each
     language name, come to the driver and go to all tasks.
+
+    With frequent (from usual(), over the same languages) there is also known: the share of the text's runs
+    of letters that are usual in the language that knows most of them, not counting the text itself if lang
+    is carried. It is 0 without a letter, and 1 if the language found is too small to tell.
     """
     rows = sorted(prototypes.collect())
     langs = [r["lang"] for r in rows]
     matrix = np.array([r["prototype"] for r in rows]) if rows else np.zeros((0, DIMENSIONS))
     rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"own_{c}") for c in carry))
-    schema = ", ".join(["doc_id long, lang_pred string, score double", *(f"{f.name} {f.dataType.simpleString()}" for f in rows_in.schema.fields[2:])])
-    return rows_in.mapInArrow(_judge(langs, matrix), schema)
+    tables = None if frequent is None else _tables(frequent)
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *([] if tables is None else ["known double"]), *(f"{f.name} {f.dataType.simpleString()}" for f in rows_in.schema.fields[2:])])
+    return rows_in.mapInArrow(_judge(langs, matrix, tables), schema)
 
 
 def fold(doc_id: Column, parts: int) -> Column:
