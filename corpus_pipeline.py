@@ -50,8 +50,26 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def emitted(mixed: DataFrame) -> DataFrame:
+    """The mixed corpus from mixture()'s rows: each document as often as the mix takes it, without those that it doesn't take.
+
+    Each copy (0, 1, ...) is a row with the whole text; the last is cut to its first words where the mix
+    takes only these. words says how many a row has, so that they add up to taken.
+    """
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    copies = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
+    words = F.least("size", F.col("taken") - F.col("copy") * F.col("size"))
+    rows = copies.withColumn("words", words)
+    # each piece is a word and the white space behind it; white space before the first word is a piece of its own
+    pieces = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
+    lead = F.when(F.col("text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
+    cut = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), ""), "[\\x20\\x09-\\x0D]+$", "")
+    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*mixed.columns, "copy", "words")
+
+
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, with how many words of each the mix takes."""
+    """The documents, with how many words of each the mix takes; emitted() makes the mixed corpus of them."""
     taken = mix(docs).dropDuplicates(["doc_id"])
     return docs.join(taken, "doc_id").select(*COLUMNS, "size", "source_size", "target", "taken")
 
@@ -68,8 +86,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents below sf_dir."""
+    """Applies all stages to the documents below sf_dir, and emits the documents as the mix takes them."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = keep(stage(spark, docs, sf_dir), name)
-    return docs
+    return emitted(docs)
