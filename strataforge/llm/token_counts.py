@@ -1,14 +1,23 @@
-"""Token counts of a unigram tokenizer without its pieces: a Viterbi pass that only counts.
+"""Token counts without tokens: a pass over a text that carries only the best way's end and number of pieces.
 
-An Aho-Corasick automaton over the vocabulary gives all pieces that end at each place of a text. Going
-from left to right, each place keeps the best score of a way to it and that way's number of pieces.
-Ties and unknown characters follow the tokenizer: of equal ways the one whose last piece begins
-first; a character that is no piece costs the least score less 10 and falls back to its bytes.
+An Aho-Corasick automaton over the vocabulary gives all pieces that end at each place of a text, and
+dynamic programming from left to right keeps, for each place, how many pieces the tokenizer makes of
+the text up to it. Which of the pieces that end there counts, the tokenizer's own rule says:
+
+* unigram vocabularies: the way with the best sum of scores (Viterbi); of equal ones that whose last
+  piece begins first; a character that is no piece costs the least score less 10.
+* BPE vocabularies, in which scores only order the merges: the tokens of a text's beginning are the
+  tokens of the whole up to there, and a row of tokens is the tokenizer's if each two neighbours are
+  what it makes of the two. So exactly one piece that ends at a place fits the last piece before it.
+
+Pieces that stand for bytes, control or unknown text are never matched. Characters that are no piece
+fall back to their bytes if the vocabulary has them, and else neighbours make one unknown piece.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
@@ -18,85 +27,167 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Segments of text whose counts a worker remembers; then it begins anew.
-REMEMBERED = 300_000
+#: Bytes of segments, and pairs of pieces, whose counts a worker remembers; then it begins anew.
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 16 << 20, 500_000
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """Pieces that can be matched with their scores, whether characters fall back to bytes, and the tokenizer's rule."""
+
+    pieces: dict[str, float]
+    bytes: bool
+    merges: bool
 
 
-def read_vocabulary(path: str) -> list[tuple[str, float]]:
-    """The pieces of a model file with their scores, by id."""
+def read_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a model file. Only a BPE model's scores, which are ranks, are all whole numbers."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(model.id_to_piece(k), model.get_score(k)) for k in range(model.get_piece_size())]
+    ids = range(model.get_piece_size())
+    pieces = {model.id_to_piece(k): model.get_score(k) for k in ids if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))}
+    merges = all(score.is_integer() for score in pieces.values())
+    return Vocabulary(pieces, any(model.is_byte(k) for k in ids), merges)
 
 
 class Counter:
     """Counts the pieces of texts; built once for each task."""
 
-    def __init__(self, vocabulary: list[tuple[str, float]]):
+    def __init__(self, vocabulary: Vocabulary):
         self.automaton = ahocorasick.Automaton()
-        self.bytes = {f"<0x{k:02X}>" for k in range(256)} <= {piece for piece, _ in vocabulary}
-        for piece, score in vocabulary:
+        self.vocabulary, self.pieces = vocabulary, vocabulary.pieces
+        for piece, score in self.pieces.items():
             if piece:
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
-        self.unknown = min(score for _, score in vocabulary) - UNKNOWN_PENALTY
+        self.unknown = min(self.pieces.values(), default=0.0) - UNKNOWN_PENALTY
+        # texts are cut before spaces, if no piece goes on from other text into a space
+        self.cuts = not any(SPACE in piece.lstrip(SPACE) for piece in self.pieces)
+        self.segment: Callable[[str], int] = self.by_merges if vocabulary.merges else self.by_scores
         self.known: dict[str, int] = {}
+        self.held = 0
+        self.fitting: dict[tuple[str, str], bool] = {}
 
-    def segment(self, text: str) -> int:
+    def ends(self, text: str) -> Iterator[tuple[int, int, float]]:
+        """(end, start, score) of all pieces in a text, by end, of those with the same end the longest first."""
+        for last, (length, score) in self.automaton.iter(text):
+            yield last + 1, last + 1 - length, score
+
+    def fallback(self, char: str, joined: bool) -> int:
+        """Pieces of a character that is none; joined if the one before it is none either."""
+        return len(char.encode("utf-8", "surrogatepass")) if self.vocabulary.bytes else 1 - joined
+
+    def by_scores(self, text: str) -> int:
         n = len(text)
         best: list[float | None] = [0.0] + [None] * n
-        count = [0] * (n + 1)
-        single, unknown = bytearray(n), bytearray(n + 1)  # ends of pieces of one character; of ways that end in unknown ones
+        count, single, unknown = [0] * (n + 1), bytearray(n + 1), bytearray(n + 1)
         settled = 0
 
-        def settle(k: int) -> None:
-            """What ends with character k: an unknown character comes last, as it begins last."""
-            way = best[k] + self.unknown
-            if best[k + 1] is None or way > best[k + 1]:
-                # unknown neighbours make one piece together, if there are no bytes to fall back to
-                count[k + 1] = count[k] + (len(text[k].encode("utf-8", "surrogatepass")) if self.bytes else 1 - unknown[k])
-                best[k + 1], unknown[k + 1] = way, 1
-
-        # by end, and of those with the same end the longest first
-        for end, (length, score) in self.automaton.iter(text):
+        def settle(end: int) -> None:
+            """Up to a place: an unknown character comes last of what ends with it, as it begins last."""
+            nonlocal settled
             while settled < end:
-                if not single[settled]:
-                    settle(settled)
+                if not single[settled + 1]:
+                    way = best[settled] + self.unknown
+                    if best[settled + 1] is None or way > best[settled + 1]:
+                        count[settled + 1] = count[settled] + self.fallback(text[settled], bool(unknown[settled]))
+                        best[settled + 1], unknown[settled + 1] = way, 1
                 settled += 1
-            start = end + 1 - length
+
+        for end, start, score in self.ends(text):
+            settle(end - 1)
             way = best[start] + score
-            if best[end + 1] is None or way > best[end + 1]:
-                best[end + 1], count[end + 1] = way, count[start] + 1
-            if length == 1:
-                single[end] = 1
-        for k in range(settled, n):
-            if not single[k]:
-                settle(k)
+            if best[end] is None or way > best[end]:
+                best[end], count[end] = way, count[start] + 1
+            single[end] |= end - start == 1
+        settle(n)
         return count[n]
 
+    def by_merges(self, text: str) -> int:
+        n = len(text)
+        last: list[str | None] = [None] * (n + 1)  # the last piece of the text up to each place, "" where it is unknown
+        last[0] = ""
+        count, unknown = [0] * (n + 1), bytearray(n + 1)
+        settled = 0
+
+        def settle(end: int) -> None:
+            nonlocal settled
+            while settled < end:
+                if last[settled + 1] is None:
+                    count[settled + 1] = count[settled] + self.fallback(text[settled], bool(unknown[settled]))
+                    last[settled + 1], unknown[settled + 1] = "", 1
+                settled += 1
+
+        for end, start, _ in self.ends(text):
+            settle(end - 1)
+            if last[end] is None and last[start] is not None:
+                piece = text[start:end]
+                if self.fits(last[start], piece):
+                    last[end], count[end] = piece, count[start] + 1
+        settle(n)
+        return count[n]
+
+    def fits(self, left: str, right: str) -> bool:
+        """Whether the tokenizer makes just these two pieces (left may be empty) of the text that they make up."""
+        found = self.fitting.get((left, right))
+        if found is None:
+            if len(self.fitting) >= REMEMBERED_PAIRS:
+                self.fitting.clear()
+            found = self.fitting[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+        return found
+
+    def merged(self, text: str) -> list[str]:
+        """The pieces of two pieces' text, by merging: of all neighbours that make up a piece those with the best score first, of equal ones the first."""
+        parts, scores = list(text), self.pieces
+        while True:
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                score = scores.get(parts[k] + parts[k + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, k
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
     def count(self, text: str) -> int:
-        """Pieces of a whole text. A space begins a new segment, as does the text."""
+        """Pieces of a whole text, which begins with a space for the tokenizer."""
         if not text:
             return 0
-        marked = text.replace(" ", SPACE)
-        total = 0
-        for word in (marked if marked.startswith(SPACE) else SPACE + marked).split(SPACE)[1:]:
-            n = self.known.get(word)
-            if n is None:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                n = self.known[word] = self.segment(SPACE + word)
-            total += n
-        return total
+        marked = SPACE + text.replace(" ", SPACE) if self.vocabulary.merges or not text.startswith((" ", SPACE)) else text.replace(" ", SPACE)
+        if not self.cuts:
+            return self.segment(marked)
+        total, at, spaces = 0, 0, ""
+        # of a run of spaces the BPE keeps all with the word behind them, as they may merge; a unigram word has one
+        for word in marked.split(SPACE)[1:]:
+            if self.vocabulary.merges and not word:
+                spaces += SPACE
+                continue
+            total += self.remembered(spaces + SPACE + word)
+            spaces = ""
+        return total + (self.remembered(spaces) if spaces else 0)
+
+    def remembered(self, segment: str) -> int:
+        n = self.known.get(segment)
+        if n is None:
+            n = self.segment(segment)
+            if self.held >= REMEMBERED_BYTES:
+                self.known.clear()
+                self.held = 0
+            size = 100 + 4 * len(segment)
+            if size < REMEMBERED_BYTES:
+                self.known[segment] = n
+                self.held += size
+        return n
 
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_chars and n_tokens for each row of docs (doc_id, text); other columns are ignored.
 
-    The vocabulary is a file of fixed size that the driver reads and sends to each task once. A null or
-    empty text has no tokens. Texts of any length are counted whole, segment by segment. An empty table
-    gives an empty result.
+    n_tokens is what the tokenizer of the vocabulary file makes of the whole text, without special tokens.
+    The vocabulary has a fixed size; the driver reads it and sends it to each task once. A null or empty
+    text has no tokens, a null doc_id stays null, rows that repeat are counted each. Texts of any length
+    are counted whole, in time in proportion to it. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
