@@ -1,19 +1,23 @@
 """MinHash near-duplicate detection by a signature-coordinate inverted join.
 
 A document's set holds its distinct shingles of consecutive words. Documents with equal sets form a
-class. Each class has a MinHash signature and is posted under (coordinate, value) pairs:
-
-* prefix merging: links agree in at least `matches` of the coordinates. Coordinates are taken two by
-  two, so that classes that share a common passage only seldom meet; linked classes agree in most of
-  these pairs, and one of the first few is shared for certain. Only these are posted.
-* star pass: in each list, every class is compared with the class whose values are shared most.
-* skip merging: lists whose classes are by now in one component are skipped. Of the rest, long ones
-  (a common passage fills them) are split by the next pair in which linked classes can agree,
-  and skipped again. Then only pairs from different components are compared, in blocks of bounded
-  size, and each pair in one of its lists only.
-
-Pairs with enough collisions are confirmed on the full sets, in the second pass within their block,
-where only links that join components come out: rows never grow with the square of a list.
+class. Each class has a MinHash signature and is posted under each of its (coordinate, value) pairs:
+links are classes that collide in at least `matches` of the lists. These collisions are counted with
+
+* prefix merging: of a class's lists that hold another class too, shortest first, all but the last
+  matches - 1 are merged; two classes that collide often enough meet in one of these. A class that
+  has fewer than `matches` such lists has no link. What many documents share lies in long lists, which
+  come last and so are merged only for classes that have little else.
+* skip merging: the lists that aren't merged are skipped; for a pair that met, their collisions are
+  counted by looking up the one's values in the other's signature. A pair counts in the first list
+  that both merge. Lists whose classes are by now in one component are skipped as well: first, in each
+  list, all classes are compared with the one that shares most (the star pass), which joins most copies.
+
+Lists that then still hold several components are merged if they are short. Classes of longer ones are
+posted once more, under the necessary prefix of their shingles, rarest first (an exact filter that needs
+no luck), and what is long even then is compared in blocks: the classes of a list's largest component are
+taken once for each block of the others, not for each other. Pairs with enough collisions are confirmed on
+the full sets, in their block, where only links that join components come out.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.words import mix, shingle_set, slices
@@ -33,22 +37,27 @@ from strataforge.operators.components import components
 from strataforge.storage import drop_kept, keep
 
 COORDINATES = 64
-PAIRS = COORDINATES // 2
-#: Standard deviations below the mean number of matches at the threshold: about 1 link in 50,000 at the very threshold is missed.
+#: Standard deviations below the mean number of matches at the threshold: about 1 link in 50,000 at the very threshold is missed, far fewer above it.
 SIGMAS = 4.4
-#: A longer list is split by further pairs of coordinates, up to so many in all.
-COMMON, LEVELS = 4096, 2
-#: Classes of a posting list in one block.
-BLOCK = 256
+#: Classes of a list that is merged in one task; longer lists are split.
+BLOCK = 1024
 _SEEDS = np.random.default_rng(7).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64)
 _XOR, _ODD = _SEEDS[0], _SEEDS[1] | np.uint64(1)
+_PRINTS = ("n_shingles", "print_a", "print_b")
 
 
 def least_matches(percent: int) -> int:
+    """The collisions that a link has for certain, but for SIGMAS."""
     p = percent / 100
     return max(1, math.floor(COORDINATES * p - SIGMAS * math.sqrt(COORDINATES * p * (1 - p))))
 
 
+def recall(percent: int, similarity: float) -> float:
+    """The share of links of a similarity that have enough collisions to be found by their own signatures."""
+    least = least_matches(percent)
+    return sum(math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(least, COORDINATES + 1))
+
+
 def signature(shingle: np.ndarray) -> np.ndarray:
     """The high 32 bits of the least value under each of the hash functions, of a set that is not empty."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -57,21 +66,26 @@ def signature(shingle: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def _prints(found: np.ndarray) -> tuple[int, int, int]:
+    """A set's size and two hashes of it."""
+    return len(found), int(found.sum(dtype=np.uint64)), int(mix(found + np.uint64(1)).sum(dtype=np.uint64))
+
+
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
+
+
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), lower=True):
-                sizes, prints, signs = [], [], []
+            for part in slices(batch.column(3), lower=True):
+                prints, signs = [], []
                 for a, b in zip(part.first[:-1], part.first[1:]):
                     found = shingle_set(part.hash[a:b], width)
-                    sizes.append(len(found))
-                    prints.append((int(found.sum(dtype=np.uint64)), int(mix(found + np.uint64(1)).sum(dtype=np.uint64))))
+                    prints.append(_prints(found))
                     signs.append(signature(found) if len(found) else None)
-                two = np.array(prints, dtype=np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.rows.start, len(part.rows)), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), pa.array(signs, pa.list_(pa.int32()))],
-                    names=["doc_id", "n_shingles", "print_a", "print_b", "signature"],
-                )
+                same = [batch.column(k).slice(part.rows.start, len(part.rows)) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, *(_signed([p[k] for p in prints]) for k in range(3)), pa.array(signs, pa.list_(pa.int32()))], names=["doc_id", "key", "print", *_PRINTS, "signature"])
 
     return run
 
@@ -79,21 +93,27 @@ def _sketch(width: int):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1), lower=True):
-                found = [shingle_set(part.hash[a:b], width).tobytes() for a, b in zip(part.first[:-1], part.first[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.rows.start, len(part.rows)), pa.array(found, pa.binary())], names=["node", "shingles"])
+            for part in slices(batch.column(0), lower=True):
+                found = [shingle_set(part.hash[a:b], width) for a, b in zip(part.first[:-1], part.first[1:])]
+                prints = [_prints(x) for x in found]
+                yield pa.RecordBatch.from_arrays([*(_signed([p[k] for p in prints]) for k in range(3)), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))], names=[*_PRINTS, "shingles"])
 
     return run
 
 
+def _set_of(value: pa.ListScalar) -> np.ndarray:
+    return value.values.to_numpy().view(np.uint64)
+
+
+def _linked_sets(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    both = np.intersect1d(one, two, assume_unique=True).size
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                one, two = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.intersect1d(one, two, assume_unique=True).size
-                hits.append(100 * both >= percent * (len(one) + len(two) - both))
+            hits = [_linked_sets(_set_of(x), _set_of(y), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
     return run
@@ -117,49 +137,41 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _alike(percent: int, matches: int):
-    """For each group of classes: those that agree with classes of other components in enough coordinates, and with which."""
-
-    def partners(first: list[int], left: tuple, right: tuple, same: bool) -> dict[int, list[int]]:
-        (node_a, label_a, n_a, sign_a), (node_b, label_b, n_b, sign_b) = left, right
-        found: dict[int, list[int]] = {}
-        for k in range(len(node_a)):
-            start = k + 1 if same else 0
-            fit = (label_b[start:] != label_a[k]) & (100 * np.minimum(n_b[start:], n_a[k]) >= percent * np.maximum(n_b[start:], n_a[k]))
-            at = np.flatnonzero(fit) + start
-            equal = sign_b[at] == sign_a[k]
-            for x in np.flatnonzero(equal.sum(axis=1) >= matches):
-                # of all lists that it shares, a pair counts in that of the first pairs of coordinates in which it agrees
-                if np.flatnonzero(equal[x].reshape(PAIRS, 2).all(axis=1))[: len(first)].tolist() == first:
-                    found.setdefault(int(node_a[k]), []).append(int(node_b[at[x]]))
-                    found.setdefault(int(node_b[at[x]]), [])
-        return found
+    """For each group of classes: those that collide with classes of other components often enough, and with which."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             if table.num_rows < 2:
                 continue
-            ids = [table.column(c)[0].as_py() for c in ("key", "i", "j")]
+            key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
             sign = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            cols = [table.column(c).to_numpy() for c in ("node", "label", "n")] + [sign]
-            mine = table.column("block").to_numpy()
-            left, right = (tuple(c[mine == b] for c in cols) for b in ids[1:])
-            found = partners(table.column("at")[0].as_py(), left, right, ids[1] == ids[2])
+            node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
+            merged = [x.values.to_numpy() for x in table.column("merged")]
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            found: dict[int, list[int]] = {}
+            for place, a in enumerate(left):
+                other = right[place + 1 :] if i == j else right
+                other = other[(label[other] != label[a]) & (100 * np.minimum(n[other], n[a]) >= percent * np.maximum(n[other], n[a]))]
+                for b in other[(sign[other] == sign[a]).sum(axis=1) >= matches]:
+                    # both are in order of the lists' sizes, so this is the first of either
+                    if merged[a][np.isin(merged[a], merged[b])][0] == key:
+                        found.setdefault(int(a), []).append(int(node[b]))
+                        found.setdefault(int(b), [])
             if found:
-                label = dict(zip(cols[0].tolist(), cols[1].tolist()))
-                same = [pa.array([x] * len(found), pa.int64()) for x in ids]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(list(found), pa.int64()), pa.array([label[x] for x in found], pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "i", "j", "node", "label", "partners"])
+                rows, same = list(found), [pa.array([x] * len(found), pa.int64()) for x in (key, i, j)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(label[rows]), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "i", "j", "node", "label", "partners"])
 
     return run
 
 
-def _linked(percent: int):
+def _joining(percent: int):
     """Of groups of classes with their sets: links that join different components, no more than join them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
             node, partners = table.column("node").to_pylist(), table.column("partners").to_pylist()
             label = dict(zip(node, table.column("label").to_pylist()))
-            sets = {x: np.frombuffer(s.as_buffer(), np.uint64) for x, s in zip(node, table.column("shingles"))}
+            sets = dict(zip(node, map(_set_of, table.column("shingles"))))
             root = {x: x for x in label.values()}
 
             def find(x: int) -> int:
@@ -171,24 +183,151 @@ def _linked(percent: int):
             for a, others in zip(node, partners):
                 for b in others:
                     one, two = find(label[a]), find(label[b])
-                    if one != two:
-                        both = np.intersect1d(sets[a], sets[b], assume_unique=True).size
-                        if 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
-                            root[one] = two
-                            links.append((a, b))
-            yield _edges(links)
+                    if one != two and _linked_sets(sets[a], sets[b], percent):
+                        root[one] = two
+                        links.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return run
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+def _prefixes(postings: DataFrame, least: Column) -> DataFrame:
+    """(node, merged): of each node's lists with other nodes, shortest first, all but least - 1; nodes with fewer than least are left out.
 
-
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings (node, key, at) of lists with two classes or more, with the list's size."""
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    return keep(postings.join(sizes, "key"), "lists")
+    postings: node, key, n. A node's lists, a row each, are no more than its coordinates or shingles.
+    """
+    # written first: the join then has two plain exchanges below it, and Spark can split a very common list
+    shared = keep(postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
+    held = postings.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists"), F.first("n").alias("n"))
+    few = held.filter(F.size("lists") >= least).select("node", F.slice("lists", F.lit(1), F.size("lists") - least + 1)["key"].alias("merged"))
+    out = keep(few, "merged")
+    drop_kept(shared)
+    return out
+
+
+class _Merge:
+    """The links found so far between some nodes (node, n, signature, key), and how more are found."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
+        self.nodes, self.texts, self.width, self.percent, self.matches = nodes, texts, width, percent, least_matches(percent)
+        self.links: list[DataFrame] = []
+        self.labels: DataFrame | None = None
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the nodes in wanted (node)."""
+        names = keep(self.nodes.select("node", "key").join(wanted.select("node").distinct(), "node", "left_semi").select("key"), "names")
+        few = self.texts.filter(may_be_in(names, "key")).join(names, "key", "left_semi")
+        found = few.select("text").mapInArrow(_sets(self.width), "n_shingles long, print_a long, print_b long, shingles array<long>")
+        out = keep(found.select(F.xxhash64(*_PRINTS).alias("node"), "shingles").dropDuplicates(["node"]), "sets")
+        drop_kept(names)
+        return out
+
+    def add(self, links: DataFrame) -> None:
+        self.links.append(links)
+        self.labels = components(reduce(DataFrame.union, self.links))
+
+    def several(self, lists: DataFrame) -> DataFrame:
+        """Of lists (node, key): those that hold more than one component, with labels, sizes and the label that most nodes of a list have."""
+        label = F.col("node") if self.labels is None else F.coalesce("component", "node")
+        named = lists if self.labels is None else lists.join(self.labels, "node", "left")
+        named = keep(named.select("node", "key", label.alias("label")), "named")
+        counts = named.groupBy("key", "label").agg(F.count("*").alias("size"))
+        ends = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("size"), F.max_by("label", F.struct("size", "label")).alias("most"))
+        ends = keep(ends.filter("labels > 1").drop("labels"), "ends")
+        out = keep(named.join(ends, "key"), "several")
+        drop_kept(named, ends)
+        return out
+
+    def stars(self, lists: DataFrame) -> None:
+        """Compares all nodes of a list with the one whose lists are longest together."""
+        sizes = keep(lists.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        held = keep(lists.join(sizes, "key"), "held")
+        weight = held.groupBy("node").agg(F.sum("size").alias("weight"))
+        centre = keep(held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre")), "centres")
+        star = held.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        signs = self.nodes.select("node", "n", "signature")
+        equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= self.matches
+        close = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        seen = keep(star.join(signs.toDF("a", "na", "sa"), "a").join(signs.toDF("b", "nb", "sb"), "b").filter(close).filter(equal).select("a", "b"), "seen")
+        sets = self.sets(seen.select(F.col("a").alias("node")).union(seen.select("b")))
+        full = seen.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+        self.add(keep(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links"))
+        drop_kept(sizes, held, centre, seen, sets)
+
+    def compare(self, blocked: DataFrame, merged: DataFrame) -> None:
+        """Compares the nodes of each group (key, i, j; node, label, block) with those of other labels, block i with block j."""
+        ids = ["key", "i", "j"]
+        rows = blocked.join(self.nodes.select("node", "n", "signature"), "node").join(merged, "node")
+        alike = keep(rows.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_alike(self.percent, self.matches), "key long, i long, j long, node long, label long, partners array<long>"), "alike")
+        sets = self.sets(alike)
+        full = alike.join(sets, "node").select(*ids, "node", "label", "partners", "shingles")
+        found = keep(full.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_joining(self.percent), "a long, b long"), "more")
+        drop_kept(alike, sets)
+        if not found.isEmpty():
+            self.add(found)
+
+    def merge(self, merged: DataFrame) -> DataFrame:
+        """The star pass and the merging of short lists; returns the lists that are left."""
+        lists = merged.select("node", F.explode("merged").alias("key"))
+        self.stars(lists)
+        rest = self.several(lists)
+        short = rest.filter(F.col("size") <= BLOCK)
+        none = F.lit(0).cast("long")
+        self.compare(short.select("key", none.alias("i"), none.alias("j"), "node", "label", none.alias("block")), merged)
+        return rest.filter(F.col("size") > BLOCK)
+
+    def split(self, merged: DataFrame) -> None:
+        """Merges the lists that are long still, block by block."""
+        rest = self.several(merged.select("node", F.explode("merged").alias("key"))).filter(F.col("size") > BLOCK)
+        blocks = lambda n: F.ceil(n / BLOCK)
+        main = F.col("label") == F.col("most")
+        sizes = keep(rest.groupBy("key").agg(F.count_if(main).alias("n_main"), F.count_if(~main).alias("n_other")).select("key", blocks(F.col("n_main")).alias("mains"), blocks(F.col("n_other")).alias("others")), "sizes")
+        placed = rest.join(sizes, "key")
+        # blocks of the largest component come first and meet all others; the others meet each other too
+        block = F.when(main, F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others"))
+        first = F.when(main, F.col("mains")).otherwise(F.lit(0).cast("long"))
+        each = placed.select("key", "node", "label", block.alias("block"), F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)).alias("other"))
+        self.compare(each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block"), merged)
+
+    def exact(self, long: DataFrame) -> DataFrame:
+        """(node, merged) for the nodes of long, by the necessary prefixes of their shingles."""
+        sets = self.sets(long)
+        postings = sets.select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("key"))
+        # a link's sets share this many of a set's shingles
+        out = _prefixes(postings, F.ceil(F.lit(self.percent) * F.col("n") / 100).cast("int"))
+        drop_kept(sets)
+        return out
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row, with names of the row (key, print) and of the row that stands for its component (keep_key, keep_print)."""
+    print_of = F.xxhash64("text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), print_of).alias("key"), print_of.alias("print"), "text")
+    sketch = keep(texts.mapInArrow(_sketch(width), "doc_id long, key long, print long, n_shingles long, print_a long, print_b long, signature array<int>"), "sketch")
+    full = sketch.filter("n_shingles > 0")
+    # of a class's rows the one with the least id; those without come last
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "print")).alias("least")
+    classes = keep(full.groupBy(*_PRINTS).agg(least, F.any_value("signature").alias("signature")).withColumn("node", F.xxhash64(*_PRINTS)), "classes")
+    nodes = classes.select("node", F.col("n_shingles").alias("n"), "signature", F.col("least.key").alias("key"))
+
+    merge = _Merge(nodes, texts.select("key", "text"), width, percent)
+    value = F.get("signature", F.col("c")).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    postings = nodes.select("node", "n", "signature", F.explode(F.sequence(F.lit(0), F.lit(COORDINATES - 1))).alias("c")).select("node", "n", F.shiftleft(F.col("c").cast("long"), 32).bitwiseOR(value).alias("key"))
+    merged = _prefixes(postings, F.lit(merge.matches))
+    long = merge.merge(merged)
+    if not long.isEmpty():
+        again = merge.exact(long)
+        if not merge.merge(again).isEmpty():
+            merge.split(again)
+
+    member = classes.drop("signature") if merge.labels is None else classes.drop("signature").join(merge.labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
+    member = keep(member.select(*_PRINTS, "node", "least"), "member")
+    stands = keep(member.groupBy("node").agg(F.count("*").alias("n"), F.min("least").alias("stands")).filter("n > 1").drop("n"), "stands")
+    member = keep(member.join(stands, "node", "left").select(*_PRINTS, F.coalesce("stands", "least").alias("of")), "named")
+    drop_kept(classes, merged, stands)
+    out = sketch.drop("signature").join(member, list(_PRINTS), "left")
+    own = lambda name, other: F.when(F.col("of").isNull(), F.col(name)).otherwise(F.col(f"of.{name}")).alias(other)
+    return out.select("doc_id", "n_shingles", own("doc_id", "component_id"), "key", "print", own("key", "keep_key"), own("print", "keep_print"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -197,70 +336,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     docs needs doc_id and text; other columns are ignored. Returns doc_id, n_shingles, component_id
     (least doc_id reachable over links, its own included) and kept (doc_id = component_id), one row
     for each input row. A null or blank text has an empty set, is linked with nothing and keeps its own
-    id. Rows that repeat a doc_id are one node. A row without doc_id gets the component of the rows
-    with its set, is never kept, and has no component if none of these has a doc_id. An empty table
-    gives an empty result.
+    id. Rows that repeat a doc_id are linked by their own texts. A row without doc_id gets the component
+    of the rows it is linked with, is never kept, and has no component if none of these has a doc_id. An
+    empty table gives an empty result.
+    """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100, not {percent}")
+    found = _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id")
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs of which one stands for each component: that with the least doc_id, or where no row has one, with the least hash of its text.
+
+    All rows without a word stay that differ in doc_id or text. Of rows that agree in doc_id and text one stays.
     """
-    matches = least_matches(percent)
-    # each coordinate in which a link differs spoils one pair at most
-    prefix = COORDINATES - matches + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = keep(texts.mapInArrow(_sketch(width), "doc_id long, n_shingles long, print_a long, print_b long, signature array<int>"), "sketch")
-    prints = ["n_shingles", "print_a", "print_b"]
-    least = sketch.filter("n_shingles > 0").groupBy(prints).agg(F.min("doc_id").alias("node"))
-    own = sketch.filter("doc_id is not null").dropDuplicates(["doc_id", *prints])
-    nodes = keep(least.join(own.withColumnRenamed("doc_id", "node"), ["node", *prints]).select("node", F.col("n_shingles").alias("n"), "signature"), "nodes")
-
-    value = lambda c: F.struct(F.get("signature", 2 * c), F.get("signature", 2 * c + 1))
-    postings = nodes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(prefix - 1))).alias("c"))
-    lists = _shared(postings.select("node", F.xxhash64("c", value(F.col("c"))).alias("key"), F.array("c").alias("at")))
-    weight = lists.groupBy("node").agg(F.sum("size").alias("weight"))
-    centre = lists.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"))
-    star = lists.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-    fit = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= matches
-    close = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    seen = star.join(nodes.toDF("a", "na", "sa"), "a").join(nodes.toDF("b", "nb", "sb"), "b").filter(close).filter(fit).select("a", "b")
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(node, shingles) of the documents in wanted (node)."""
-        names = wanted.select(F.col("node").alias("doc_id")).distinct()
-        few = texts.filter(may_be_in(names, "doc_id"))
-        return keep(few.join(names, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(width), "node long, shingles binary"), "sets")
-
-    seen = keep(seen, "seen")
-    sets = sets_of(seen.select(F.col("a").alias("node")).union(seen.select("b")))
-    full = seen.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    links = keep(full.mapInArrow(_confirm(percent), "a long, b long"), "links")
-    first = components(links)
-    label = F.coalesce("component", "node")
-
-    def mixed(found: DataFrame) -> DataFrame:
-        """The lists that hold more than one component, with their classes' labels."""
-        named = found.join(first, "node", "left").select(*found.columns, label.alias("label"))
-        ends = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        return named.join(ends.filter("low != high").select("key"), "key")
-
-    rest = keep(mixed(lists), "mixed")
-    small = [rest.filter(F.col("size") <= COMMON)]
-    for level in range(1, LEVELS):
-        # a common value says little: its list is split by the next pair in which two linked classes can agree
-        long = rest.filter(F.col("size") > COMMON).join(nodes.select("node", "signature"), "node")
-        split = long.withColumn("c", F.explode(F.sequence(F.element_at("at", -1) + 1, F.lit(prefix - 1 + level))))
-        lists_now = _shared(split.select("node", F.xxhash64("key", "c", value(F.col("c"))).alias("key"), F.concat("at", F.array("c")).alias("at")))
-        rest = keep(mixed(lists_now), "mixed")
-        small.append(rest if level == LEVELS - 1 else rest.filter(F.col("size") <= COMMON))
-    left = reduce(DataFrame.unionByName, small).join(nodes, "node").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    left = left.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "at", "node", "label", "n", "signature")
-    ids = ["key", "i", "j"]
-    alike = left.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_alike(percent, matches), "key long, i long, j long, node long, label long, partners array<long>")
-    alike = keep(alike, "alike")
-    rows = alike.join(sets_of(alike), "node").select(*ids, "node", "label", "partners", "shingles")
-    found = keep(rows.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_linked(percent), "a long, b long"), "more")
-    final = components(links.union(found)) if not found.isEmpty() else first
-
-    member = least.join(final, "node", "left").select(*prints, label.alias("component"))
-    drop_kept(lists)
-    out = sketch.drop("signature").join(member, prints, "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    found = _grouped(docs, width, percent)
+    names = keep(found.filter("key = keep_key and print = keep_print").select(F.col("key").alias("_key"), F.col("print").alias("_print")).distinct(), "survivors")
+    print_of = F.xxhash64("text")
+    named = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), print_of), "_print": print_of})
+    return named.join(names, ["_key", "_print"], "left_semi").dropDuplicates(["_key", "_print"]).drop("_key", "_print")

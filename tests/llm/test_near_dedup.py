@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from strataforge.llm.near_dedup import least_matches, near_duplicates
+from strataforge.llm import near_dedup
+from strataforge.llm.near_dedup import least_matches, near_duplicates, recall, survivors
 
 SCHEMA = "doc_id long, text string"
 
@@ -32,7 +33,7 @@ def brute(rows, width, percent):
     return {i: (len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
-@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80), (3, 50), (2, 60), (3, 70)])
 def test_equals_brute_force(spark, width, percent):
     rng = random.Random(width)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -64,6 +65,58 @@ def test_chains_and_one_large_group(spark):
     assert got == {i: c for i, (_, c, _) in brute(rows, 3, 85).items()}
 
 
+def test_lists_longer_than_a_block(spark, monkeypatch):
+    """Lists are split by shingles and by blocks, and no link is lost: variants that only link to some of the others."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng, rows = random.Random(6), []
+    common = [f"w{k}" for k in range(200)]
+    for k in range(150):  # alike, most under the threshold, in chains of which neighbours link
+        own = list(common)
+        for at in range(3 * (k % 50), 3 * (k % 50) + 12):
+            own[at] = f"x{k // 50}_{at}"
+        own[199 - k % 7] = f"y{rng.randrange(3)}"
+        rows.append((k, " ".join(own)))
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    assert got == {i: c for i, (_, c, _) in brute(rows, 3, 85).items()}
+
+
+def test_sharers_without_links_cost_rows_in_proportion(spark, monkeypatch):
+    """Documents that share most of their words but aren't linked: no step's rows grow with the square of their number."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    written = []
+    keep = near_dedup.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(near_dedup, "keep", counted)
+    most = {}
+    for n in (100, 400):
+        written.clear()
+        common = " ".join(f"w{k}" for k in range(150))
+        rows = [(k, common + " " + " ".join(f"x{k}_{j}" for j in range(60))) for k in range(n)]
+        assert near_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).filter("kept").count() == n
+        most[n] = max(c for _, c in written)
+    assert most[400] <= 5 * most[100], written
+
+
+def test_survivors(spark):
+    rows = [(1, "a b c d", "p"), (1, "a b c d", "p"), (1, "e f g h", "q"), (None, "a b c d", "p"), (None, "alone here now", "x"), (None, "alone here now", "x"), (3, None, None), (4, "", "z")]
+    table = spark.createDataFrame(rows, SCHEMA + ", key string")
+    got = sorted((tuple(r) for r in survivors(table).collect()), key=str)
+    assert got == sorted([(1, "a b c d", "p"), (1, "e f g h", "q"), (None, "alone here now", "x"), (3, None, None), (4, "", "z")], key=str)
+    assert survivors(table.limit(0)).count() == 0
+
+
+def test_recall_of_signatures():
+    """What the README states: links at and above the threshold that have too few collisions."""
+    for percent in (50, 60, 70, 80, 85, 90):
+        assert recall(percent, percent / 100) > 1 - 1 / 10_000
+        assert recall(percent, percent / 100 + 0.05) > 1 - 1 / 1_000_000
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A B c d"), (None, "a b c d"), (None, "alone here now"), (3, None)]
     table = spark.createDataFrame([(*r, "x") for r in rows], SCHEMA + ", node string")
@@ -71,3 +124,6 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False), (None, None, False), (3, 3, True)], key=str)
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert least_matches(85) == 41
+    for percent in (0, 101):
+        with pytest.raises(ValueError):
+            near_duplicates(table, 3, percent)
