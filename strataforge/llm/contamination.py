@@ -15,8 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.operators.bitmap import bitmap, fills
-from strataforge.storage import keep
+from strataforge.operators.bitmap import Bitmap
+from strataforge.storage import drop_kept, keep
 
 WINDOW = 10
 SHINGLE = 3
@@ -60,16 +60,17 @@ def _matches(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     """
     parts = windows.select("id", F.posexplode(_shingles(F.col("window"), width)).alias("offset", "shingle"))
     parts = keep(parts, "parts")
-    bits = bitmap(parts, F.col("shingle"))
-    inside = docs.select(F.explode(F.filter(_shingles(F.col("h"), width), lambda s: fills(bits, s))).alias("shingle"))
-    held = inside.join(parts.select("shingle").distinct(), "shingle").groupBy("shingle").agg(F.count("*").alias("places"))
+    bits = Bitmap(parts, F.col("shingle"))
+    # counted before it is joined: a common shingle is a row for each partition, not for each of its places
+    inside = docs.select(F.explode(F.filter(_shingles(F.col("h"), width), bits.fills)).alias("shingle")).groupBy("shingle").agg(F.count("*").alias("places"))
+    held = keep(inside.join(parts.select("shingle").distinct(), "shingle"), "held")
     rarest = parts.join(held, "shingle", "left").groupBy("id").agg(F.min_by(F.struct("shingle", "offset"), F.struct(F.coalesce("places", F.lit(0)), "shingle", "offset")).alias("p"))
     # a window whose rarest shingle is nowhere in the corpus is not there either
     prefixes = keep(rarest.select("id", "p.*").join(held.select("shingle"), "shingle").join(windows, "id"), "prefixes")
-    first = bitmap(prefixes, F.col("shingle"))
+    first = Bitmap(prefixes, F.col("shingle"))
     reach = WINDOW - width
     low = lambda at: F.greatest(at - reach, F.lit(0))
-    placed = F.filter(F.transform(_shingles(F.col("h"), width), lambda s, at: F.struct(s.alias("shingle"), at.alias("at"))), lambda x: fills(first, x["shingle"]))
+    placed = F.filter(F.transform(_shingles(F.col("h"), width), lambda s, at: F.struct(s.alias("shingle"), at.alias("at"))), lambda x: first.fills(x["shingle"]))
     around = F.transform(placed, lambda x: F.struct(x["shingle"].alias("shingle"), x["at"].alias("at"), F.slice(F.col("h"), low(x["at"]) + 1, 2 * reach + width).alias("near")))
     found = keep(docs.select("key", "print", F.size("h").cast("long").alias("n_words"), around.alias("places")), "places")
     place = found.select("key", "print", F.explode("places").alias("x")).select("key", "print", "x.*").join(prefixes, "shingle")
@@ -79,7 +80,9 @@ def _matches(docs: DataFrame, windows: DataFrame, width: int) -> DataFrame:
     fits = (start >= 0) & (begins >= 0) & (begins + n <= F.size("near"))
     equal = place.filter(fits).filter(F.slice("near", F.greatest(begins, F.lit(0)) + 1, n) == F.col("window"))
     starts = equal.groupBy("key", "print").agg(F.collect_set(F.struct(start.alias("start"), n.alias("n"), F.col("id"))).alias("starts"))
-    return found.select("key", "print", "n_words").distinct().join(starts, ["key", "print"], "left")
+    out = keep(found.select("key", "print", "n_words").distinct().join(starts, ["key", "print"], "left"), "starts")
+    drop_kept(parts, held, prefixes, found)
+    return out
 
 
 def _covered(starts: Column) -> Column:
@@ -93,29 +96,46 @@ def _covered(starts: Column) -> Column:
     return F.aggregate(F.array_sort(starts), zero, add, lambda state: state["total"].cast("long"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Which words of docs (doc_id, text) are inside windows of benchmark (item_id, text).
-
-    Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row for each row of
-    docs; other columns of either table are ignored. Null or empty texts have no words, items without
-    words no windows. An item without item_id makes hits but is not counted or named; rows that repeat
-    an item_id are one item. An empty benchmark hits nothing; empty docs give an empty result.
-    """
+def _judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """contamination() with a name of each row: key and print."""
     own = F.xxhash64("text").alias("print")
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own, "text").withColumn("key", F.coalesce("doc_id", "print"))
     hashed = _hashed(named, "key", "print")
     held = keep(_windows(_hashed(benchmark, "item_id")).withColumn("id", F.xxhash64("window")), "windows")
     windows = held.select("id", "window").distinct()
     short, long = F.size("window") < SHINGLE, F.size("window") >= SHINGLE
-    found = _matches(hashed, windows.filter(long), SHINGLE)
+    first = found = _matches(hashed, windows.filter(long), SHINGLE)
     if not windows.filter(short).isEmpty():
         more = _matches(hashed, windows.filter(short), 1).select("key", "print", F.col("starts").alias("more"))
         none = F.array().cast("array<struct<start:int,n:int,id:bigint>>")
         found = found.join(more, ["key", "print"], "left").withColumn("starts", F.concat(F.coalesce("starts", none), F.coalesce("more", none))).drop("more")
     found = keep(found, "found")
+    drop_kept(first)
     items = found.select("key", "print", F.explode(F.array_distinct(F.col("starts")["id"])).alias("id")).join(held.select("id", "item_id"), "id")
     items = items.groupBy("key", "print").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    out = named.select("doc_id", "key", "print").join(found.join(items, ["key", "print"], "left"), ["key", "print"], "left")
+    # written first: a text that many rows repeat is then split over tasks
+    told = keep(found.join(items, ["key", "print"], "left"), "told")
+    drop_kept(held, found)
+    out = named.select("doc_id", "key", "print").join(told, ["key", "print"], "left")
     n_hit = F.coalesce(_covered(F.col("starts")), F.lit(0).cast("long"))
     names = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    return out.select("doc_id", "key", "print", "n_words", n_hit.alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Which words of docs (doc_id, text) are inside windows of benchmark (item_id, text).
+
+    Returns doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row for each row of
+    docs; other columns of either table are ignored. Null or empty texts have no words, items without
+    words no windows. An item without item_id makes hits but is not counted or named; rows that repeat
+    an item_id are one item. An empty benchmark hits nothing; empty docs give an empty result.
+    """
+    return _judged(docs, benchmark).drop("key", "print")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a hit, with all their columns; rows without doc_id or text among them."""
+    hit = keep(_judged(docs, benchmark).filter("contaminated").select(F.col("key").alias("_key"), F.col("print").alias("_print")).distinct(), "hit")
+    print_of = F.xxhash64("text")
+    named = docs.withColumns({"_key": F.coalesce(F.col("doc_id").cast("long"), print_of), "_print": print_of})
+    return named.join(hit, ["_key", "_print"], "left_anti").drop("_key", "_print")
