@@ -28,7 +28,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of segments, and pairs of pieces, whose counts a worker remembers; then it begins anew.
-REMEMBERED_BYTES, REMEMBERED_PAIRS = 16 << 20, 500_000
+REMEMBERED_BYTES, REMEMBERED_PAIRS = 64 << 20, 500_000
 
 
 @dataclass(frozen=True)
@@ -57,9 +57,9 @@ class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.automaton = ahocorasick.Automaton()
         self.vocabulary, self.pieces = vocabulary, vocabulary.pieces
-        for piece, score in self.pieces.items():
-            if piece:
-                self.automaton.add_word(piece, (len(piece), score))
+        self.names = ["", *filter(None, self.pieces)]
+        for k, piece in enumerate(self.names[1:], 1):
+            self.automaton.add_word(piece, (len(piece), self.pieces[piece], k))
         self.automaton.make_automaton()
         self.unknown = min(self.pieces.values(), default=0.0) - UNKNOWN_PENALTY
         # texts are cut before spaces, if no piece goes on from other text into a space
@@ -67,12 +67,7 @@ class Counter:
         self.segment: Callable[[str], int] = self.by_merges if vocabulary.merges else self.by_scores
         self.known: dict[str, int] = {}
         self.held = 0
-        self.fitting: dict[tuple[str, str], bool] = {}
-
-    def ends(self, text: str) -> Iterator[tuple[int, int, float]]:
-        """(end, start, score) of all pieces in a text, by end, of those with the same end the longest first."""
-        for last, (length, score) in self.automaton.iter(text):
-            yield last + 1, last + 1 - length, score
+        self.fitting: dict[int, bool] = {}
 
     def fallback(self, char: str, joined: bool) -> int:
         """Pieces of a character that is none; joined if the one before it is none either."""
@@ -95,46 +90,47 @@ class Counter:
                         best[settled + 1], unknown[settled + 1] = way, 1
                 settled += 1
 
-        for end, start, score in self.ends(text):
-            settle(end - 1)
+        # by end, and of those with the same end the longest first
+        for k, (length, score, _) in self.automaton.iter(text):
+            end, start = k + 1, k + 1 - length
+            settle(k)
             way = best[start] + score
             if best[end] is None or way > best[end]:
                 best[end], count[end] = way, count[start] + 1
-            single[end] |= end - start == 1
+            single[end] |= length == 1
         settle(n)
         return count[n]
 
     def by_merges(self, text: str) -> int:
         n = len(text)
-        last: list[str | None] = [None] * (n + 1)  # the last piece of the text up to each place, "" where it is unknown
-        last[0] = ""
+        # the last piece of the text up to each place, by its number; 0 at the start and where a character is none
+        last: list[int | None] = [0] + [None] * n
         count, unknown = [0] * (n + 1), bytearray(n + 1)
-        settled = 0
-
-        def settle(end: int) -> None:
-            nonlocal settled
-            while settled < end:
-                if last[settled + 1] is None:
-                    count[settled + 1] = count[settled] + self.fallback(text[settled], bool(unknown[settled]))
-                    last[settled + 1], unknown[settled + 1] = "", 1
+        settled, fitting, many = 0, self.fitting, len(self.names)
+        for k, (length, _, piece) in self.automaton.iter(text):
+            while settled < k:
                 settled += 1
-
-        for end, start, _ in self.ends(text):
-            settle(end - 1)
-            if last[end] is None and last[start] is not None:
-                piece = text[start:end]
-                if self.fits(last[start], piece):
-                    last[end], count[end] = piece, count[start] + 1
-        settle(n)
+                if last[settled] is None:
+                    last[settled], unknown[settled] = 0, 1
+                    count[settled] = count[settled - 1] + self.fallback(text[settled - 1], bool(unknown[settled - 1]))
+            if last[k + 1] is None:
+                start = k + 1 - length
+                pair = last[start] * many + piece
+                fits = fitting.get(pair)
+                if fits if fits is not None else self.fits(pair):
+                    last[k + 1], count[k + 1] = piece, count[start] + 1
+        for k in range(settled + 1, n + 1):
+            if last[k] is None:
+                last[k], unknown[k] = 0, 1
+                count[k] = count[k - 1] + self.fallback(text[k - 1], bool(unknown[k - 1]))
         return count[n]
 
-    def fits(self, left: str, right: str) -> bool:
-        """Whether the tokenizer makes just these two pieces (left may be empty) of the text that they make up."""
-        found = self.fitting.get((left, right))
-        if found is None:
-            if len(self.fitting) >= REMEMBERED_PAIRS:
-                self.fitting.clear()
-            found = self.fitting[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+    def fits(self, pair: int) -> bool:
+        """Whether the tokenizer makes just these two pieces (the left one may be none) of the text that they make up."""
+        left, right = self.names[pair // len(self.names)], self.names[pair % len(self.names)]
+        if len(self.fitting) >= REMEMBERED_PAIRS:
+            self.fitting.clear()
+        found = self.fitting[pair] = self.merged(left + right) == ([left, right] if left else [right])
         return found
 
     def merged(self, text: str) -> list[str]:
