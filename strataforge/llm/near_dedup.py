@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -136,6 +135,21 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield rest
 
 
+def _earlier(merged: pa.ChunkedArray, key: int) -> np.ndarray:
+    """For each row's lists (in the order in which all rows have them) which of those before key it has; lists that only one row has are left out."""
+    lists = merged.combine_chunks()
+    values, start = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
+    row = np.repeat(np.arange(len(lists)), np.diff(start))
+    place = np.arange(len(values)) - start[row]
+    at = np.full(len(lists), np.iinfo(np.int64).max)
+    at[row[values == key]] = place[values == key]
+    first = place < at[row]
+    keys, which, counts = np.unique(values[first], return_inverse=True, return_counts=True)
+    out = np.zeros((len(lists), len(keys)), dtype=bool)
+    out[row[first], which] = True
+    return out[:, counts > 1]
+
+
 def _alike(percent: int, matches: int):
     """For each group of classes: those that collide with classes of other components often enough, and with which."""
 
@@ -146,17 +160,27 @@ def _alike(percent: int, matches: int):
             key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
             sign = table.column("signature").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             node, label, n, block = (table.column(c).to_numpy() for c in ("node", "label", "n", "block"))
-            merged = [x.values.to_numpy() for x in table.column("merged")]
+            before = _earlier(table.column("merged"), key)
             left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            if i == j:
+                # pairs inside the largest component need no look: its classes come last and only meet those before them
+                names, counts = np.unique(label, return_counts=True)
+                main = label == names[counts.argmax()]
+                left = right = np.r_[np.flatnonzero(~main), np.flatnonzero(main)]
+                looked = int((~main).sum())
+            else:
+                left, right = sorted((left, right), key=len)
+                looked = len(left)
             found: dict[int, list[int]] = {}
-            for place, a in enumerate(left):
+            for place, a in enumerate(left[:looked]):
                 other = right[place + 1 :] if i == j else right
                 other = other[(label[other] != label[a]) & (100 * np.minimum(n[other], n[a]) >= percent * np.maximum(n[other], n[a]))]
+                # a pair that also meets in a list before this one counts there
+                shared = np.flatnonzero(before[a])
+                other = other[~before[np.ix_(other, shared)].any(axis=1)] if len(shared) else other
                 for b in other[(sign[other] == sign[a]).sum(axis=1) >= matches]:
-                    # both are in order of the lists' sizes, so this is the first of either
-                    if merged[a][np.isin(merged[a], merged[b])][0] == key:
-                        found.setdefault(int(a), []).append(int(node[b]))
-                        found.setdefault(int(b), [])
+                    found.setdefault(int(a), []).append(int(node[b]))
+                    found.setdefault(int(b), [])
             if found:
                 rows, same = list(found), [pa.array([x] * len(found), pa.int64()) for x in (key, i, j)]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(node[rows]), pa.array(label[rows]), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["key", "i", "j", "node", "label", "partners"])
@@ -210,7 +234,6 @@ class _Merge:
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
         self.nodes, self.texts, self.width, self.percent, self.matches = nodes, texts, width, percent, least_matches(percent)
-        self.links: list[DataFrame] = []
         self.labels: DataFrame | None = None
 
     def sets(self, wanted: DataFrame) -> DataFrame:
@@ -223,8 +246,17 @@ class _Merge:
         return out
 
     def add(self, links: DataFrame) -> None:
-        self.links.append(links)
-        self.labels = components(reduce(DataFrame.union, self.links))
+        """Labels with these links too; of the labels so far only those that the new links join are gone through again."""
+        if self.labels is None:
+            self.labels = components(links)
+            return
+        was, label = self.labels, lambda name, x: self.labels.select(F.col("node").alias(name), F.col("component").alias(x))
+        named = links.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left")
+        joined = keep(components(named.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))).withColumnRenamed("component", "to"), "joined")
+        moved = was.join(joined.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        fresh = joined.join(was, "node", "left_anti").select("node", F.col("to").alias("component"))
+        self.labels = keep(moved.union(fresh).distinct(), "labels")
+        drop_kept(was, joined)
 
     def several(self, lists: DataFrame) -> DataFrame:
         """Of lists (node, key): those that hold more than one component, with labels, sizes and the label that most nodes of a list have."""
@@ -258,6 +290,8 @@ class _Merge:
         """Compares the nodes of each group (key, i, j; node, label, block) with those of other labels, block i with block j."""
         ids = ["key", "i", "j"]
         rows = blocked.join(self.nodes.select("node", "n", "signature"), "node").join(merged, "node")
+        if blocked.isEmpty():
+            return
         alike = keep(rows.repartition(*ids).sortWithinPartitions(*ids).mapInArrow(_alike(self.percent, self.matches), "key long, i long, j long, node long, label long, partners array<long>"), "alike")
         sets = self.sets(alike)
         full = alike.join(sets, "node").select(*ids, "node", "label", "partners", "shingles")
