@@ -139,20 +139,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     place = F.xxhash64(*name, "start")
     spans = keep(runs.groupBy("anchor", "span").agg(F.min(place).alias("one"), F.max(place).alias("two")), "spans")
-    differ = spans.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low != high").select("anchor")
-    whole = runs.select(*name, "anchor", "span", "start", F.size("windows").alias("n")).join(spans.filter("one != two").select("anchor", "span"), ["anchor", "span"]).select(*name, "start", "n")
+    differ = keep(spans.groupBy("anchor").agg(F.min("span").alias("low"), F.max("span").alias("high")).filter("low != high").select("anchor"), "differ")
+    repeated = keep(spans.filter("one != two").select("anchor", "span"), "repeated")
+    whole = runs.select(*name, "anchor", "span", "start", F.size("windows").alias("n")).join(repeated, ["anchor", "span"]).select(*name, "start", "n")
     # runs that differ around one anchor may share some of their windows; one run stands for all equal ones
-    apart = runs.join(spans.join(differ, "anchor"), ["anchor", "span"]).filter(place == F.col("one"))
-    windows = keep(apart.select(*name, "start", (F.col("one") == F.col("two")).alias("once"), F.posexplode("windows").alias("k", "window")), "windows")
+    several = keep(spans.join(differ, "anchor"), "several")
+    apart = runs.join(several, ["anchor", "span"]).filter(place == F.col("one"))
+    windows = keep(apart.select(*name, "anchor", "start", (F.col("one") == F.col("two")).alias("once"), F.posexplode("windows").alias("k", "window")), "windows")
     at = F.xxhash64(*name, F.col("start") + F.col("k"))
-    twice = windows.groupBy("window").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low != high").select("window")
-    single = windows.filter("once").join(twice, "window").select(*name, (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
+    # equal windows have equal anchors, so the two hashes together name a window; written first, as shared
+    twice = keep(windows.groupBy("anchor", "window").agg(F.min(at).alias("low"), F.max(at).alias("high")).filter("low != high").select("anchor", "window"), "twice")
+    single = windows.filter("once").join(twice, ["anchor", "window"]).select(*name, (F.col("start") + F.col("k")).alias("start"), F.lit(1).alias("n"))
     ranges = whole.union(single).groupBy(*name).agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
 
     cut = found.filter("copies = 1").join(ranges, name).select("seq_a", "seq_b", "text", "ranges").mapInArrow(_cut, "seq_a long, seq_b long, n_cut long, cut_sha256 string")
     copied = classes.filter("copies > 1").select("seq_a", "seq_b", F.lit(-1).cast("long").alias("n_cut"), F.sha2(F.lit(""), 256).alias("cut_sha256"))
     changed = keep(cut.union(copied), "changed")
-    drop_kept(shared, classes, found, runs, spans, windows)
+    drop_kept(shared, classes, found, runs, spans, differ, repeated, several, windows, twice)
     out = scan.drop("anchors").join(changed, ["seq_a", "seq_b"], "left")
     removed = F.when(F.col("n_cut") < 0, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0).cast("long")))
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.coalesce("cut_sha256", "kept_sha256").alias("kept_sha256"))

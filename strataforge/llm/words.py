@@ -2,6 +2,10 @@
 
 Words are maximal runs of bytes other than space and \\x09-\\x0D; these bytes never occur inside a
 longer UTF-8 sequence, so the split is the same on bytes and on code points.
+
+A word's hash sums a finalised 64-bit value for each byte and its place in the word (not a polynomial,
+for which colliding strings are known) and finalises the sum. Among n different words or shingles two
+share a hash by chance with a probability of about n**2 / 2**65.
 """
 
 from __future__ import annotations
@@ -15,7 +19,6 @@ import pyarrow as pa
 _RNG = np.random.default_rng(20240521)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _Q = np.uint64(0xD6E8FEB86659FD93)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -32,13 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 .. base**n, modulo 2**64."""
-    out = np.full(n + 1, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 @dataclass
 class Slice:
     """Some rows of a batch: row numbers, bytes, and the words' limits and hashes; words first[i]:first[i+1] are of row i."""
@@ -73,9 +69,12 @@ def _slice(rows: range, data: np.ndarray, offsets: np.ndarray, lower: bool) -> S
     before[1:], after[:-1] = word[:-1], word[1:]
     start = np.flatnonzero(word & (~before | edge[:n]))
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[data] * powers(_P, n)[:n], out=total[1:], dtype=np.uint64)
-    hashes = mix((total[end] - total[start]) * powers(_P_INV, n)[start] + (end - start).astype(np.uint64))
+    length = end - start
+    last = np.cumsum(length)
+    within = np.arange(last[-1] if len(last) else 0) - np.repeat(last - length, length)
+    total = np.zeros(len(within) + 1, dtype=np.uint64)
+    np.cumsum(mix(_BYTE[data[word]] + within.astype(np.uint64) * _P), out=total[1:], dtype=np.uint64)
+    hashes = mix(total[last] - total[last - length] + length.astype(np.uint64))
     return Slice(rows, data, start, end, hashes, np.searchsorted(start, offsets))
 
 
