@@ -9,6 +9,7 @@ language whose prototype has the largest cosine with its profile.
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,6 +28,8 @@ LETTERS = 1 << 10
 UNKNOWN = "und"
 #: A run of letters is usual in a language if at least this part of the language's runs, and so many of them, are it.
 USUAL, USUAL_LEAST = 3e-5, 3
+#: Languages learned at most, those with most rows: what comes to the driver and goes to all tasks then has a fixed bound, whatever is in lang.
+MOST_LANGUAGES = 1000
 #: A language with fewer runs than this can't tell what is unusual in it.
 LEAST_GRAMS = 10_000
 
@@ -35,7 +38,7 @@ LEAST_GRAMS = 10_000
 def _letters() -> np.ndarray:
     """For each code point: the class (1 or more) of its lower-case letter, or 0 if it is none."""
     out = np.zeros(0x110000, dtype=np.uint16)
-    for point in range(0x30000):
+    for point in range(len(out)):
         if unicodedata.category(chr(point))[0] == "L":
             out[point] = 1 + ord(chr(point).lower()[0]) % (LETTERS - 1)
     return out
@@ -77,10 +80,12 @@ def _parts(texts: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Profiles of (text, lang) rows, summed by language within the partition."""
+    """Profiles of (text, lang) rows, summed by language within the partition; the last number of each is that of its rows."""
     total: dict[str, np.ndarray] = {}
+    rows_of: Counter[str] = Counter()
     for batch in batches:
         langs = batch.column(1).to_pylist()
+        rows_of.update(langs)
         for start, held in _parts(batch.column(0)):
             by_lang: dict[str, list] = {}
             for k, letters in enumerate(held):
@@ -88,14 +93,15 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, found in by_lang.items():
                 codes, counts = np.unique(np.concatenate(found), return_counts=True)
                 total[lang] = total.get(lang, 0) + (counts.astype(np.float64) @ bound(codes) if len(codes) else np.zeros(DIMENSIONS))
-    rows = [(lang, k, float(x)) for lang, v in total.items() for k, x in enumerate(v)]
+    rows = [(lang, k, float(x)) for lang, v in total.items() for k, x in enumerate([*v, rows_of[lang]])]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.float64())], names=["lang", "k", "x"])
 
 
 def learn(docs: DataFrame) -> DataFrame:
-    """(lang, prototype) from all rows of docs (text, lang) whose lang is not null: one row for each language."""
+    """(lang, prototype) from all rows of docs (text, lang) whose lang is not null: one row for each of the MOST_LANGUAGES languages with most rows, ties by name."""
     sums = docs.filter("lang is not null").select("text", "lang").mapInArrow(_sum, "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    return sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("prototype"))
+    whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("v"))
+    return whole.orderBy(F.desc(F.element_at("v", -1)), "lang").limit(MOST_LANGUAGES).select("lang", F.slice("v", 1, DIMENSIONS).alias("prototype"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +130,7 @@ def usual(docs: DataFrame) -> DataFrame:
     """
     counts = keep(docs.filter("lang is not null").select("text", "lang").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("least", F.greatest(F.lit(float(USUAL_LEAST)), USUAL * F.col("total")))
+    totals = totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES)
     found = counts.join(F.broadcast(totals), "lang").filter("n >= least").groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("codes"))
     return totals.join(found, "lang", "left")
 

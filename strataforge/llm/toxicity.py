@@ -2,7 +2,8 @@
 
 A token's score is the log-odds of its rate in toxic against other documents, each smoothed by a
 Dirichlet prior with the rates of both together. A linear scan finds all maximal-scoring segments of a
-document. Chance alone makes segments whose scores follow an extreme-value law; each document's
+document. Chance alone makes segments whose scores follow an extreme-value law: its location and scale
+are fitted on segments of labelled documents that aren't toxic and weren't learned from. Each document's
 significant segments add up to one measure of evidence, which a logistic curve turns into a score.
 """
 
@@ -18,18 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataforge.llm.lang_id import fold
-from strataforge.storage import keep
+from strataforge.storage import drop_kept, keep
 
 #: Labelled documents learned from at most, those with the least hash of their id; and tokens in the model at most.
 MOST_LABELLED, MOST_TOKENS = 40_000, 20_000
-#: Strength of the Dirichlet prior, as a share of all tokens learned from.
-PRIOR = 0.01
-#: Tokens whose log-odds are within so many standard deviations of 0 score as any other token.
-Z = 3.0
+#: The Dirichlet prior of a token: a share of its own documents and a part of one, which keeps what is in one class only from counting as unknown.
+PRIOR, FLOOR = 0.01, 0.25
+#: Tokens whose log-odds are within so many standard deviations of 0 score as any other token. With FLOOR, the best of 12 settings by cross-validation within the rows learned from.
+Z = 2.0
 #: Segments with a larger expected number by chance in their document are not evidence.
 MOST_EXPECTED = 0.5
-#: The constant of the law for the number of chance segments, and the least that any other token loses.
-K, LEAST_LOSS = 0.1, 0.05
+#: The least that any other token loses.
+LEAST_LOSS = 0.05
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -77,62 +78,63 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield told()
 
 
-def learn(labelled: DataFrame) -> tuple[dict[str, float], float, float]:
-    """From rows (text, toxic): log-odds of the tokens that tell toxic texts, the score of any other token, and the scale of chance scores."""
+def learn(labelled: DataFrame) -> tuple[dict[str, float], float]:
+    """From rows (text, toxic): log-odds of the tokens that tell toxic texts, and the score of any other token."""
     share = lambda toxic: F.sum(F.when(F.col("toxic") == toxic, F.col("n")).otherwise(0))
     counts = keep(labelled.select("text", "toxic").mapInArrow(_counts, "token string, toxic int, n long").groupBy("token").agg(share(1).alias("t"), share(0).alias("c")), "tokens")
-    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    total = counts.agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.count("*").alias("n")).first()
     n_t, n_c = total["t"] or 0, total["c"] or 0
     if not n_t or not n_c:
-        return {}, -1.0, 1.0
-    prior = PRIOR * (n_t + n_c)
-    a, b = F.col("t") + PRIOR * (F.col("t") + F.col("c")), F.col("c") + PRIOR * (F.col("t") + F.col("c"))
+        drop_kept(counts)
+        return {}, -1.0
+    prior = PRIOR * (n_t + n_c) + FLOOR * total["n"]
+    own = PRIOR * (F.col("t") + F.col("c")) + FLOOR
+    a, b = F.col("t") + own, F.col("c") + own
     odds = F.log(a / (n_t + prior - a)) - F.log(b / (n_c + prior - b))
     told = counts.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (n_c + prior)).alias("rate")).filter(F.col("z") >= Z)
     rows = told.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+    drop_kept(counts)
     # other tokens lose twice what telling tokens gain in texts that are not toxic, so that segments end
-    loss = max(LEAST_LOSS, 2 * sum(r["odds"] * r["rate"] for r in rows))
-    return {r["token"]: r["odds"] for r in rows}, -loss, scale([(r["odds"], r["rate"]) for r in rows], loss)
+    return {r["token"]: r["odds"] for r in rows}, -max(LEAST_LOSS, 2 * sum(r["odds"] * r["rate"] for r in rows))
 
 
-def scale(telling: list[tuple[float, float]], loss: float) -> float:
-    """The positive x at which the mean of exp(x * score) over tokens of texts that are not toxic is 1."""
-    if not telling:
-        return 1.0
-    rest = 1 - sum(rate for _, rate in telling)
+def _segments(model: dict[str, float], rest: float):
+    """(rows of doc_id, text) to (doc_id, n_words, scores): the scores of each document's segments."""
 
-    def mean(x: float) -> float:
-        return rest * math.exp(-x * loss) + sum(rate * math.exp(min(700.0, x * odds)) for odds, rate in telling)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [tokens(text.as_py()) for text in batch.column(1)]
+            scores = [[x for _, _, x in segments([model.get(w, rest) for w in each])] for each in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(scores, pa.list_(pa.float64()))], names=["doc_id", "n_words", "scores"])
 
-    low, high = 0.0, 1.0
-    while mean(high) < 1:
-        low, high = high, 2 * high
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if mean(middle) < 1 else (low, middle)
-    return high
+    return run
 
 
-def _evidence(model: dict[str, float], rest: float, lam: float):
-    """(rows of doc_id, text) to (doc_id, evidence, passages)."""
+def fit_law(clean: DataFrame) -> tuple[float, float]:
+    """(k, scale) of the law for chance segments, from rows (n_words, scores) of texts that are not toxic.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, count = [], []
-            for text in batch.column(1):
-                words = tokens(text.as_py())
-                scores = [model.get(w, rest) for w in words]
-                evidence, n = 0.0, 0
-                for _, _, score in segments(scores):
-                    # Karlin and Altschul: expected segments of this score by chance
-                    expected = K * len(words) * math.exp(-min(700.0, lam * score))
-                    if expected <= MOST_EXPECTED:
-                        evidence, n = evidence - math.log(max(expected, 1e-300)), n + 1
-                total.append(math.log1p(evidence))
-                count.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.float64()), pa.array(count, pa.int64())], names=["doc_id", "evidence", "passages"])
+    A text of n words has k * n * exp(-scale * x) segments of score x or more by chance, and its largest
+    score so follows a Gumbel law with location log(k * n) / scale. Above their median, scores exceed it
+    by 1 / scale on average; one segment that exceeds it by 1 is added, so that few give a fit too.
+    """
+    each = clean.select(F.explode("scores").alias("x"))
+    median = each.agg(F.percentile_approx("x", 0.5, 10_000)).first()[0] or 0.0
+    over = each.filter(F.col("x") >= median).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("x") - median), F.lit(0.0)).alias("more")).first()
+    words = clean.agg(F.sum("n_words")).first()[0] or 1
+    scale = (over["n"] + 1) / (over["more"] + 1)
+    return (over["n"] + 1) / max(words, 1) * math.exp(min(700.0, scale * median)), scale
 
-    return run
+
+def evidence(scores: Column, n_words: Column, k: float, scale: float) -> Column:
+    """log(1 + the sum, over a document's significant segments, of how unlikely each is by chance)."""
+    surprise = lambda x: F.lit(scale) * x - F.log(F.lit(k) * n_words)
+    least = -math.log(MOST_EXPECTED)
+    return F.log1p(F.aggregate(scores, F.lit(0.0), lambda total, x: total + F.when(surprise(x) >= least, surprise(x)).otherwise(0.0)))
+
+
+def passages(scores: Column, n_words: Column, k: float, scale: float) -> Column:
+    """How many significant segments a document has."""
+    return F.size(F.filter(scores, lambda x: F.lit(scale) * x - F.log(F.lit(k) * n_words) >= -math.log(MOST_EXPECTED))).cast("long")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -161,14 +163,19 @@ def score(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     chosen = keep(chosen, "labelled")
     # the bound on labelled rows is a bound on what is broadcast
     sample = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4))), "sample")
-    run = _evidence(*learn(sample.filter("part > 0")))
-    schema = "doc_id long, evidence double, passages long"
-    rows = sample.filter("part = 0").select("doc_id", "text").mapInArrow(run, schema).join(F.broadcast(chosen), "doc_id").select("evidence", "toxic").collect()
+    run = _segments(*learn(sample.filter("part > 0")))
+    schema = "doc_id long, n_words long, scores array<double>"
+    held = keep(sample.filter("part = 0").select("doc_id", "text").mapInArrow(run, schema).join(F.broadcast(chosen), "doc_id"), "calibration")
+    k, scale = fit_law(held.filter("toxic = 0"))
+    told = lambda f: f(F.col("scores"), F.col("n_words"), k, scale)
+    rows = held.select(told(evidence).alias("evidence"), "toxic").collect()
+    drop_kept(sample, held)
     x, y = np.array([r["evidence"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
     slope, base = _logistic(x, y) if len(rows) else (0.0, -5.0)
     p = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(base))))
-    told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema).withColumn("score", p)
-    return told.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    found = found.select("doc_id", told(evidence).alias("evidence"), told(passages).alias("passages")).withColumn("score", p)
+    return found.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "passages")
 
 
 def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
