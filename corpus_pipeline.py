@@ -1,93 +1,5 @@
-"""A corpus from raw documents: language, near-duplicates, benchmark leaks, personal data, mixture.
+"""A corpus from raw documents in five stages. The stages are in strataforge.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns documents; its result is written as Parquet and
-read again as the next stage's docs.
-"""
+from strataforge.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, decontaminate, emitted, language, mixture, near_dedup, private, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from strataforge.llm.contamination import contamination
-from strataforge.llm.lang_id import UNKNOWN, identify, learn, usual
-from strataforge.llm.mixing import mix
-from strataforge.llm.near_dedup import near_duplicates
-from strataforge.llm.pii import redact
-from strataforge.storage import keep, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is no language's if less than this share of its runs of three letters is usual in any. Own documents of check_l have 0.45 and more (short ones with keys or addresses least), five or more random words of any script under 0.3.
-LEAST_KNOWN = 0.4
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, and those of any length that are like none of the languages; lang becomes the one found.
-
-    Prototypes and usual runs of letters are learned from all documents with a lang.
-    """
-    found = identify(docs, keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars", "lang"), frequent=keep(usual(docs), "usual"))
-    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
-    return judged.select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), F.col("own_source").alias("source"), F.col("own_n_chars").alias("n_chars"))
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near-duplicates; rows without an id can't be named and go."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    hit = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
-
-
-def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the kind in brackets for each span of personal data."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def emitted(mixed: DataFrame) -> DataFrame:
-    """The mixed corpus from mixture()'s rows: each document as often as the mix takes it, without those that it doesn't take.
-
-    Each copy (0, 1, ...) is a row with the whole text; the last is cut to its first words where the mix
-    takes only these. words says how many a row has, so that they add up to taken.
-    """
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    copies = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
-    words = F.least("size", F.col("taken") - F.col("copy") * F.col("size"))
-    rows = copies.withColumn("words", words)
-    # each piece is a word and the white space behind it; white space before the first word is a piece of its own
-    pieces = F.split("text", "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])")
-    lead = F.when(F.col("text").rlike("^[\\x20\\x09-\\x0D]"), 1).otherwise(0)
-    cut = F.regexp_replace(F.array_join(F.slice(pieces, F.lit(1), (F.col("words") + lead).cast("int")), ""), "[\\x20\\x09-\\x0D]+$", "")
-    rows = rows.withColumn("text", F.when(F.col("words") < F.col("size"), cut).otherwise(F.col("text")))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*mixed.columns, "copy", "words")
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, with how many words of each the mix takes; emitted() makes the mixed corpus of them."""
-    taken = mix(docs).dropDuplicates(["doc_id"])
-    return docs.join(taken, "doc_id").select(*COLUMNS, "size", "source_size", "target", "taken")
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language", language),
-    ("near_dedup", near_dedup),
-    ("decontaminate", decontaminate),
-    ("private", private),
-    ("mixture", mixture),
-]
-#: No SQL: language profiles and MinHash links are not SQL's to express. The tests hold each stage against brute force.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to the documents below sf_dir, and emits the documents as the mix takes them."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
-    return emitted(docs)
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "decontaminate", "emitted", "language", "mixture", "near_dedup", "private", "run"]

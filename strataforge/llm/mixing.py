@@ -83,15 +83,9 @@ def schedule(sources: DataFrame) -> DataFrame:
     return ranked.unionByName(last).select("slot", "source_key", "turn", (F.col("turn") % F.col("blocks")).alias("block"))
 
 
-def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    docs needs doc_id, text and source; other columns are ignored. Returns doc_id, size, source_size,
-    target and taken (repeats counted, at most MOST times size), one row for each input row. A null text
-    has size 0 and nothing is taken of it; null is a source of its own. Rows that repeat an id are rows of
-    their own; equal rows may change places, which changes nothing. An empty table gives an empty result.
-    """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _size(F.col("text")).alias("size"))
+def _taken(docs: DataFrame, seed: int) -> DataFrame:
+    """mix() with a name of each row: doc_id, print and source_key."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print"), "source", _size(F.col("text")).alias("size"))
     # null gets a key of its own, apart from all strings
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
     sized = keep(sized.withColumns({"source_key": key, "order": F.xxhash64("doc_id", F.lit(seed))}), "sizes")
@@ -112,11 +106,11 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     taken = schedule(planned).groupBy("source_key", "block").agg(F.count("*").alias("times"))
 
     part = F.pmod("order", F.lit(PARTS)).alias("part")
-    lined = sized.filter("size > 0").select("doc_id", "source_key", "order", "size", part)
+    lined = sized.filter("size > 0").select("doc_id", "print", "source_key", "order", "size", part)
     sums = lined.groupBy("source_key", "part").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("source_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source_key", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source_key", "part").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source_key", "part").orderBy("order", "doc_id", "print", "size").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("base") + F.sum("size").over(inside)
     placed = lined.join(base, ["source_key", "part"]).withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
     held = placed.join(planned.select("source_key", "source_size", "blocks"), "source_key")
@@ -128,6 +122,28 @@ def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
     first = F.col("block") * F.col("length") + F.least("block", "longer")
     last = first + F.col("length") + F.when(F.col("block") < F.col("longer"), 1).otherwise(0)
     words = F.least("end", last) - F.greatest("start", first)
-    got = each.join(taken, ["source_key", "block"], "left").groupBy("doc_id", "source_key", "size", "end").agg(F.sum(words * F.coalesce("times", F.lit(0))).alias("taken"))
-    none = sized.filter("size = 0").select("doc_id", "source_key", "size", F.lit(0).cast("long").alias("taken"))
-    return got.drop("end").union(none).join(aims.select("source_key", "source_size", "target"), "source_key").select("doc_id", "size", "source_size", "target", "taken")
+    got = each.join(taken, ["source_key", "block"], "left").groupBy("doc_id", "print", "source_key", "size", "end").agg(F.sum(words * F.coalesce("times", F.lit(0))).alias("taken"))
+    none = sized.filter("size = 0").select("doc_id", "print", "source_key", "size", F.lit(0).cast("long").alias("taken"))
+    return got.drop("end").union(none).join(aims.select("source_key", "source_size", "target"), "source_key").select("doc_id", "print", "source_key", "size", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    docs needs doc_id, text and source; other columns are ignored. Returns doc_id, size, source_size,
+    target and taken (repeats counted, at most MOST times size), one row for each input row. A null text
+    has size 0 and nothing is taken of it; null is a source of its own. Rows that repeat an id are rows of
+    their own; equal rows may change places, which changes nothing. An empty table gives an empty result.
+    """
+    return _taken(docs, seed).drop("print", "source_key")
+
+
+def mix_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
+    """docs with size, source_size, target and taken, which replace columns called so. Rows that agree in id, text and source share what the mix takes of them evenly, to a word."""
+    names = ["_id", "_print", "_source"]
+    told = _taken(docs, seed).groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("print").alias("_print"), F.col("source_key").alias("_source"))
+    # written first: a row many times repeated is then split over tasks
+    told = keep(told.agg(F.count("*").alias("_rows"), F.any_value("size").alias("size"), F.any_value("source_size").alias("source_size"), F.any_value("target").alias("target"), F.sum("taken").alias("taken")), "taken")
+    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))
+    named = docs.drop("size", "source_size", "target", "taken").withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "_print": F.xxhash64("text"), "_source": key})
+    return named.join(told, names).withColumn("taken", F.floor(F.col("taken") / F.col("_rows"))).drop(*names, "_rows")

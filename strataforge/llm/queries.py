@@ -4,57 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, html_extract, lang_id, mixing, oracles, pii, quality, repeats, token_counts, toxicity
+from strataforge.llm import contamination, html_extract, lang_id, mixing, oracles, pii, pipeline, quality, repeats, token_counts, toxicity
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by 3-word shingles at 85 %. Odd rows are as in the operator's docstring."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix of all sources takes. Odd rows are as in the operator's docstring."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from two thirds of them. Odd rows are as in the operator's docstring."""
     return lang_id.held_out_languages(table(spark, sf_dir, "documents"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of personal data in each document. Odd rows are as in the operator's docstring."""
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op5_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that are inside windows of benchmark items. Odd rows are as in the operator's docstring."""
     return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page. Odd rows are as in the operator's docstring."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, distances and verdict of each document. Odd rows are as in the operator's docstring."""
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each document under the vocabulary file's tokenizer. Odd rows are as in the operator's docstring."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeats of 35 words cover. Odd rows are as in the operator's docstring."""
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from four fifths of the labels. Odd rows are as in the operator's docstring."""
     return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity]
-    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

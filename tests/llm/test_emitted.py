@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-import corpus_pipeline
+from strataforge.llm import pipeline as corpus_pipeline
 
 DATA = "/root/testdata/sf0.001"
 

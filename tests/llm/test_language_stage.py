@@ -2,7 +2,7 @@
 
 import random
 
-import corpus_pipeline
+from strataforge.llm import pipeline as corpus_pipeline
 from strataforge.storage import table
 
 DATA = "/root/testdata/sf0.001"

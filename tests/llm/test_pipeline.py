@@ -1,6 +1,6 @@
 import re
 
-import corpus_pipeline
+from strataforge.llm import pipeline as corpus_pipeline
 from strataforge.llm.contamination import contamination
 from strataforge.storage import keep, table
 
