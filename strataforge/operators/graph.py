@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataforge.storage import keep
+from strataforge.storage import drop_kept, keep
 
 
 def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 5, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -47,16 +47,26 @@ def chain_ends(pointers: DataFrame) -> DataFrame:
 
 
 def chain_members(pointers: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(start, id, hop): each start (id) and what follows it along next, up to most hops; circles end at the first repeat."""
-    step = starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hop"), F.array("id").alias("way"))
-    out = step.drop("way")
-    for hop in range(1, most + 1):
-        step = step.join(pointers.select("id", "next"), "id").filter("next is not null").filter(~F.array_contains("way", F.col("next")))
-        step = keep(step.select("start", F.col("next").alias("id"), F.lit(hop).alias("hop"), F.concat("way", F.array("next")).alias("way")), "hop")
-        if step.isEmpty():
+    """(start, id, hop): each start (id) and what follows it along next, up to most hops; circles end at the first repeat.
+
+    Pointers jump twice as far each round, and what has been reached so far jumps along: rounds grow with the
+    logarithm of the longest chain.
+    """
+    jumps = keep(pointers.filter("next is not null").select("id", F.col("next").alias("to")), "jumps")
+    found, reach = keep(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hop")), "reached"), 1
+    while reach <= most:
+        far = found.join(jumps, "id").select("start", F.col("to").alias("id"), (F.col("hop") + reach).alias("hop")).filter(F.col("hop") <= most)
+        after = keep(found.unionByName(far).groupBy("start", "id").agg(F.min("hop").alias("hop")), "reached")
+        grown = after.count() > found.count()
+        drop_kept(found)
+        found, reach = after, 2 * reach
+        if not grown:
             break
-        out = out.unionByName(step.drop("way"))
-    return out
+        further = keep(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")), "jumps")
+        drop_kept(jumps)
+        jumps = further
+    drop_kept(jumps)
+    return found
 
 
 def call_lines(tree: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:

@@ -145,3 +145,36 @@ def render_list(tasks: DataFrame) -> DataFrame:
 def migrated(lists: DataFrame, old: int, new: int) -> DataFrame:
     """Lists with those of one session moved to another."""
     return lists.withColumn("session_id", F.when(F.col("session_id") == old, F.lit(new)).otherwise(F.col("session_id")))
+
+
+def without_chats(chats: DataFrame, sessions: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """chats (id), sessions (id, chat_id) and messages (session_id) without the chats in gone (id) and all that belongs to them."""
+    ids = gone.select("id").distinct()
+    lost = sessions.join(ids.withColumnRenamed("id", "chat_id"), "chat_id", "left_semi").select(F.col("id").alias("session_id"))
+    return (
+        chats.join(ids, "id", "left_anti").select(*chats.columns),
+        sessions.join(ids.withColumnRenamed("id", "chat_id"), "chat_id", "left_anti").select(*sessions.columns),
+        messages.join(lost, "session_id", "left_anti").select(*messages.columns),
+    )
+
+
+def session_info(sessions: DataFrame, chats: DataFrame) -> DataFrame:
+    """(id, role, is_subagent): the role of each session's chat, and whether it has a parent."""
+    return sessions.join(chats.select(F.col("id").alias("chat_id"), "role"), "chat_id", "left").select("id", "role", F.col("parent_session_id").isNotNull().alias("is_subagent"))
+
+
+def files_of_chain(members: DataFrame, operations: DataFrame) -> DataFrame:
+    """(start, file_path, operations): what the sessions of each chain (start, id) did to which files, each operation once, sorted and joined by commas."""
+    done = members.select("start", F.col("id").alias("session_id")).join(operations, "session_id")
+    return done.groupBy("start", "file_path").agg(F.array_join(F.array_sort(F.collect_set("operation")), ",").alias("operations"))
+
+
+def latest_handover(handovers: DataFrame) -> DataFrame:
+    """(session_id, id, new_session_id): the last handover of each session."""
+    return handovers.groupBy("session_id").agg(F.max_by(F.struct("id", "new_session_id"), "id").alias("h")).select("session_id", "h.*")
+
+
+def update_status(tasks: DataFrame, updates: DataFrame) -> DataFrame:
+    """tasks (id, status) with the last status written for each (id, status, seq)."""
+    last = updates.groupBy("id").agg(F.max_by("status", "seq").alias("_status"))
+    return tasks.join(last, "id", "left").withColumn("status", F.coalesce("_status", "status")).drop("_status").select(*tasks.columns)

@@ -177,9 +177,8 @@ def search_descriptions(tables: dict[str, DataFrame], query: str, limit: int = 5
 
 
 def undocumented(tables: dict[str, DataFrame]) -> DataFrame:
-    """(kind, n, names): symbols without description; kinds without any are left out."""
-    empty = union_kinds(tables).filter(F.coalesce("description", F.lit("")) == "")
-    return empty.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+    """(kind, name, n): how many symbols of a name have no description, for each kind and name that has such."""
+    return union_kinds(tables).filter(F.coalesce("description", F.lit("")) == "").groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
 def search_symbols(tables: dict[str, DataFrame], query: str, limit: int = 10) -> DataFrame:
@@ -223,6 +222,29 @@ def resolve(deps: DataFrame, functions: DataFrame, classes: DataFrame, variables
     return deps.join(one, "id", "left").select(*deps.columns, F.col("t.target_kind").alias("target_kind"), F.col("t.target_id").alias("target_id"), F.col("t").isNull().alias("unresolved"))
 
 
+def call_functions(resolved: DataFrame, functions: DataFrame, init: str = "__init__") -> DataFrame:
+    """Calls and class references (id, target_kind, target_id) with the function that runs: the target, or a class's init method of least id; null if there is none."""
+    inits = functions.filter((F.col("name") == init) & (F.col("parent_type") == "class")).groupBy(F.col("parent_id").alias("target_id")).agg(F.min("id").alias("init_id"))
+    calls = resolved.filter(F.col("dependency_type").isin("function_call", "method_call", "class_reference"))
+    runs = F.when(F.col("target_kind") == "function", F.col("target_id")).when(F.col("target_kind") == "class", F.col("init_id"))
+    return calls.join(inits, "target_id", "left").select("id", "dependency_type", runs.alias("function_id"))
+
+
+def remove_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """An index's tables without the files in gone (file_id) and their symbols; dependencies of other files lose targets in them.
+
+    tables has files, deps, functions and classes, and any other tables with file_id.
+    """
+    gone = gone.select("file_id").distinct()
+    rest = {name: t.join(gone, "file_id", "left_anti").select(*t.columns) for name, t in tables.items() if name != "files"}
+    rest["files"] = tables["files"].join(gone.withColumnRenamed("file_id", "id"), "id", "left_anti").select(*tables["files"].columns)
+    for kind, target in (("functions", "target_function_id"), ("classes", "target_class_id")):
+        lost = tables[kind].join(gone, "file_id", "left_semi").select(F.col("id").alias(target), F.lit(True).alias("_lost"))
+        deps = rest["deps"]
+        rest["deps"] = deps.join(lost, target, "left").withColumn(target, F.when(F.col("_lost").isNull(), F.col(target))).select(*deps.columns)
+    return rest
+
+
 def is_likely_literal(name: Column) -> Column:
     """Whether a dependency's name looks like a literal or an expression."""
     operators = ("+", "-", "*", "/", "=", "==", "!=", "<", ">", "&&", "||")
@@ -240,12 +262,21 @@ def source_lines(text: Column, start: Column, end: Column) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), start, F.greatest(end - start + 1, F.lit(0))), "\n")
 
 
+#: What a line that is passed over in a search for code begins with, and what it is.
+_PASSED_STARTS = ("#", "//", "/*", '"""', "'''", "@", "def ", "class ", "print(")
+_PASSED = ("", "{", "}", "};")
+
+
 def snippet(text: Column, start: Column) -> Column:
-    """The first line of code in the 50 lines after start: comments, decorators, definitions, braces and prints are passed over, an empty line ends the search with ''."""
-    lines = F.transform(F.slice(F.split(text, "\n"), start + 1, F.lit(50)), lambda line: F.regexp_replace(line, "^\\s+|\\s+$", ""))
-    passed = lambda line: line.rlike("^(#|//|/\\*|\\*|\"\"\"|'''|@|def |class |print\\()|^[{}()]$")
-    first = F.get(F.filter(lines, lambda line: ~passed(line)), F.lit(0))
-    return F.left(F.coalesce(first, F.lit("")), F.lit(120))
+    """The first line of code in the 50 lines after start, trimmed and cut to 120 characters; '' if an empty line (not one of blanks) comes first.
+
+    Blank lines, comments, strings in three quotes, decorators, definitions, lone braces and prints are passed over.
+    """
+    after = F.slice(F.split(text, "\n"), start + 1, F.lit(50))
+    end = F.array_position(after, "")
+    lines = F.transform(F.when(end > 0, F.slice(after, F.lit(1), (end - 1).cast("int"))).otherwise(after), lambda line: F.regexp_replace(line, "^\\s+|\\s+$", ""))
+    passed = lambda line: line.isin(*_PASSED) | F.exists(F.array(*map(F.lit, _PASSED_STARTS)), lambda x: F.startswith(line, x))
+    return F.left(F.coalesce(F.get(F.filter(lines, lambda line: ~passed(line)), F.lit(0)), F.lit("")), F.lit(120))
 
 
 def nested(parents: DataFrame, children: dict[str, DataFrame], key: str) -> DataFrame:

@@ -68,7 +68,7 @@ _add(
     "search_descriptions", lambda f, c, v: symbols.search_descriptions(_kinds(f, c, v), "mall", 20).select("kind", "id", "name"), "functions classes variables",
     f"SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM ({UNION}) WHERE description ILIKE '%mall%') WHERE n <= 20 ORDER BY kind_ord, id LIMIT 20",
 )
-_add("undocumented_symbols", lambda f, c, v: symbols.undocumented(_kinds(f, c, v)), "functions classes variables", f"SELECT kind, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM ({UNION}) WHERE coalesce(description, '') = '' GROUP BY kind")
+_add("undocumented_symbols", lambda f, c, v: symbols.undocumented(_kinds(f, c, v)), "functions classes variables", f"SELECT kind, name, count(*) AS n FROM ({UNION}) WHERE coalesce(description, '') = '' GROUP BY kind, name")
 _add(
     "describe_by_name", lambda f: symbols.describe(f, symbols.description_rows(f, "function", "blue anvil", "first", 1).unionByName(symbols.description_rows(f, "function", "blue anvil", "second", 2, 3)), "function").select("id", "description"), "functions",
     "SELECT id, CASE WHEN name = 'blue anvil' THEN CASE WHEN file_id = 3 THEN 'second' ELSE 'first' END ELSE description END AS description FROM functions",
@@ -124,17 +124,17 @@ _add(
 )
 _add("source_slice", lambda a: a.select("id", symbols.source_lines(F.col("content"), F.lit(2), F.lit(4)).alias("lines")), "files", "SELECT id, array_to_string(string_split(content, chr(10))[2:4], chr(10)) AS lines FROM files")
 # graph
-_ROOTS = "SELECT id AS node FROM functions WHERE id <= 20"
+_ROOTS = "SELECT id AS node FROM functions WHERE name = 'blue anvil'"
 for _name, _exclude, _where in (("call_tree", (), "true"), ("call_tree_exclude", ("src1",), "NOT starts_with(e.path, 'src1')")):
     _add(
-        _name, lambda e, f, x=_exclude: graph.call_tree(e, f.filter("id <= 20").select(F.col("id").alias("node")), 3, x).select("root", "node", F.col("depth").cast("long").alias("depth"), "cycle"), "edges functions",
+        _name, lambda e, f, x=_exclude: graph.call_tree(e, symbols.by_name(f, "blue anvil").select(F.col("id").alias("node")), 3, x).select("root", "node", F.col("depth").cast("long").alias("depth"), "cycle"), "edges functions",
         f"WITH w AS (SELECT node AS root, node, 0 AS depth, [node] AS way, false AS back FROM ({_ROOTS}) UNION ALL SELECT w.root, e.target, w.depth + 1, list_append(w.way, e.target), list_contains(w.way, e.target) FROM w JOIN edges e ON e.source = w.node WHERE NOT w.back AND w.depth < 3 AND {_where}) "
         "SELECT root, node, CAST(min(CASE WHEN back THEN 3 ELSE depth END) AS BIGINT) AS depth, bool_or(back) AS cycle FROM w WHERE depth < 3 OR back GROUP BY root, node HAVING min(CASE WHEN back THEN 3 ELSE depth END) < 3",
     )
 _add("redirect_chain", lambda p: graph.chain_ends(p).select("id", "last", "hops"), "pointers", "SELECT id, last_value(id) OVER w AS last, count(*) OVER w - 1 AS hops FROM pointers WINDOW w AS (PARTITION BY o_custkey ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _add(
-    "changes_by_chain", lambda p, c: sessions.by_chain(graph.chain_members(p, p.filter("id <= 40"), 30).withColumn("id", F.col("id") % 150), c).groupBy("start").agg(F.count("*").alias("n"), F.min("id").alias("first")), "pointers changes",
-    "WITH m AS (SELECT id AS start, id, 0 AS hop FROM pointers WHERE id <= 40 UNION ALL SELECT m.start, p.next, m.hop + 1 FROM m JOIN pointers p ON p.id = m.id WHERE p.next IS NOT NULL AND m.hop < 30) SELECT m.start, count(*) AS n, min(c.id) AS first FROM m JOIN changes c ON c.session_id = m.id % 150 GROUP BY m.start",
+    "changes_by_chain", lambda p, c: sessions.by_chain(graph.chain_members(p, p).withColumn("id", F.col("id") % 150), c).groupBy("start").agg(F.count("*").alias("n"), F.min("id").alias("first")), "pointers changes",
+    "WITH m AS (SELECT id AS start, id, 0 AS hop FROM pointers UNION ALL SELECT m.start, p.next, m.hop + 1 FROM m JOIN pointers p ON p.id = m.id WHERE p.next IS NOT NULL) SELECT m.start, count(*) AS n, min(c.id) AS first FROM m JOIN changes c ON c.session_id = m.id % 150 GROUP BY m.start",
 )
 # sessions
 _add("list_chats", sessions.chats_with_user, "messages", "SELECT DISTINCT session_id FROM messages WHERE role = 'user'")
@@ -163,19 +163,33 @@ _STATUS = f"(SELECT coalesce(w.path, s.path) AS path, CASE WHEN s.path IS NULL T
 _add("blob_ids", _ids, "working", f"SELECT path, {_BLOB} AS blob_id FROM working")
 _add("status", lambda w, s: snapshots.status(_ids(w), _ids(s)), "working snapshot", f"SELECT path, status FROM {_STATUS}")
 _add("status_capped", lambda w, s: snapshots.status_capped(snapshots.status(_ids(w), _ids(s))), "working snapshot", f"SELECT status, string_agg(path, ',' ORDER BY path) FILTER (n <= 50) AS paths, count(*) FILTER (n > 50) AS more FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY path) AS n FROM {_STATUS}) GROUP BY status")
+# the content of modified files is tested in plain Python; SQL has the rest
 _add("diff_text", lambda w, s: snapshots.diff(s, w), "working snapshot", None)
+_add(
+    "diff_added_deleted", lambda w, s: snapshots.diff(s, w).filter("change_type != 'modified'"), "working snapshot",
+    "SELECT path, t AS change_type, CASE WHEN len(l) <= 500 THEN c ELSE array_to_string(l[1:250], chr(10)) || chr(10) || '... (' || (len(l) - 500) || ' lines truncated) ...' || chr(10) || array_to_string(l[len(l)-249:len(l)], chr(10)) END AS content FROM "
+    "(SELECT *, string_split(c, chr(10)) AS l FROM (SELECT w.path, 'added' AS t, w.content AS c FROM working w ANTI JOIN snapshot s ON w.path = s.path UNION ALL SELECT s.path, 'deleted', s.content FROM snapshot s ANTI JOIN working w ON w.path = s.path))",
+)
+_add(
+    "tree_ids", lambda w: snapshots.tree_ids(_ids(w)), "working",
+    f"WITH b AS (SELECT path, string_split(path, '/') AS p, {_BLOB} AS id FROM working), "
+    "d AS (SELECT p[1] || '/' || p[2] AS directory, p[1] AS up, p[2] AS leaf, sha1(('tree ' || octet_length(unhex(x)))::BLOB || '\\x00'::BLOB || unhex(x)) AS tree_id FROM (SELECT p[1:2] AS p, string_agg(hex('100644 ' || p[3]) || '00' || upper(id), '' ORDER BY p[3]) AS x FROM b WHERE len(p) = 3 GROUP BY p[1:2])), "
+    "s AS (SELECT up AS directory, sha1(('tree ' || octet_length(unhex(x)))::BLOB || '\\x00'::BLOB || unhex(x)) AS tree_id FROM (SELECT up, string_agg(line, '' ORDER BY k) AS x FROM (SELECT p[1] AS up, p[2] AS k, hex('100644 ' || p[2]) || '00' || upper(id) AS line FROM b WHERE len(p) = 2 UNION ALL SELECT up, leaf || '/', hex('40000 ' || leaf) || '00' || upper(tree_id) FROM d) GROUP BY up)) "
+    "SELECT directory, tree_id FROM d UNION ALL SELECT directory, tree_id FROM s UNION ALL SELECT '', sha1(('tree ' || octet_length(unhex(x)))::BLOB || '\\x00'::BLOB || unhex(x)) FROM (SELECT string_agg(hex('40000 ' || directory) || '00' || upper(tree_id), '' ORDER BY directory || '/') AS x FROM s)",
+)
+_add("restore", lambda s, w: snapshots.restore(_ids(s), w.select(snapshots.blob_id(F.col("content")).alias("blob_id"), "content").dropDuplicates(["blob_id"])), "snapshot working", "SELECT path, content FROM snapshot WHERE content IN (SELECT content FROM working)")
 _add("truncate_lines", lambda w: w.select("path", F.array_join(snapshots.truncated(F.split("content", "\n"), 4), "\n").alias("cut")), "working", "SELECT path, CASE WHEN len(l) <= 4 THEN array_to_string(l, chr(10)) ELSE array_to_string(l[1:2], chr(10)) || chr(10) || '... (' || (len(l) - 4) || ' lines truncated) ...' || chr(10) || array_to_string(l[len(l)-1:len(l)], chr(10)) END AS cut FROM (SELECT path, string_split(content, chr(10)) AS l FROM working)")
-_add("dir_tree_counts", snapshots.directories, "working", "SELECT split_part(path, '/', 1) AS directory, count(*) AS n_files FROM working GROUP BY 1")
+_add("dir_tree_counts", snapshots.directories, "working", "SELECT directory, count(*) AS n_files FROM (SELECT split_part(path, '/', 1) AS directory FROM working UNION ALL SELECT regexp_replace(path, '/[^/]*$', '') FROM working WHERE path LIKE '%/%/%') GROUP BY 1")
 # text
 _add("grep_lines", lambda w: text.grep(w, "[Tt]he [a-z]+ing").select("path", F.col("line_number").cast("long").alias("line_number"), "line"), "working", "SELECT path, CAST(i AS BIGINT) AS line_number, line FROM (SELECT path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM working) WHERE regexp_matches(line, '[Tt]he [a-z]+ing')")
 _add("replace_literal", lambda w: text.replace_literal(w, "the ", "THE ", every=True).select("path", "n", "content"), "working", "SELECT path, CAST((length(content) - length(replace(content, 'the ', ''))) // 4 AS BIGINT) AS n, replace(content, 'the ', 'THE ') AS content FROM working")
 _add("replace_unique_check", lambda w: text.replace_literal(w, "ing.", "ED.").select("path", "error"), "working", "SELECT path, CASE WHEN n = 0 THEN 'not found' WHEN n > 1 THEN 'not unique' END AS error FROM (SELECT path, (length(content) - length(replace(content, 'ing.', ''))) // 4 AS n FROM working)")
-_add("replace_regex", lambda w: text.replace_regex(w, "([a-z]+)ing ", r"\1ED ").select("path", F.col("n").cast("long").alias("n"), "content"), "working", r"SELECT path, CAST(len(regexp_extract_all(content, '([a-z]+)ing ')) AS BIGINT) AS n, regexp_replace(content, '([a-z]+)ing ', '\1ED ', 'g') AS content FROM working")
+_add("replace_regex", lambda w: text.replace_regex(w, "([a-z]+)ing ", r"\1ED ").select("path", F.col("n").cast("long").alias("n"), "content", "error"), "working", r"SELECT path, CASE WHEN len(regexp_extract_all(content, '([a-z]+)ing ')) = 0 THEN 'not found' END AS error, CAST(len(regexp_extract_all(content, '([a-z]+)ing ')) AS BIGINT) AS n, regexp_replace(content, '([a-z]+)ing ', '\1ED ', 'g') AS content FROM working")
 _add("em_dash_normalise", lambda w: w.select("path", text.without_em_dashes(F.replace("content", F.lit(". "), F.lit(" — "))).alias("content")), "working", "SELECT path, replace(replace(replace(content, '. ', ' — '), ' — ', ', '), '—', ', ') AS content FROM working")
 _add("fuzzy_files", lambda w: text.fuzzy_files(w.withColumn("path", F.concat("path", F.lit("_doc.py"))), "1dp", 20), "working", None)
-_add("fetch_truncate", lambda p: p.select("page_id", text.fetched(F.col("html"), 500).alias("shown")), "pages", "SELECT page_id, html[1:500] AS shown FROM pages")
+_add("fetch_truncate", lambda p: p.select("page_id", text.fetched(F.col("html")).alias("shown")), "pages", "SELECT page_id, html[1:20000] AS shown FROM pages")
 _add("html_text", text.html_text, "pages", None)
-_add("list_dir", lambda w: text.listing(w, 1), "working", "SELECT DISTINCT split_part(path, '/', 1) AS entry, 'directory' AS kind FROM working")
+_add("list_dir", lambda w: text.listing(w, 2), "working", "SELECT DISTINCT split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS entry, CASE WHEN path LIKE '%/%/%' THEN 'directory' ELSE 'file' END AS kind FROM working")
 
 # more of the index
 _add("find_location", lambda f, c: symbols.find_location(f, c, "blue anvil").select("kind", "id", "file_id"), "functions classes", "SELECT 'function' AS kind, id, file_id FROM functions WHERE name = 'blue anvil' ORDER BY CASE WHEN parent_type = 'class' THEN 0 ELSE 1 END, id LIMIT 1")
@@ -183,12 +197,14 @@ _add(
     "implementation", lambda f, c, a, v: symbols.implementation(f, c, a, symbols.search_symbols(_kinds(f, c, v), "anvil"), "blue anvil").unionByName(symbols.implementation(f, c, a, symbols.search_symbols(_kinds(f, c, v), "zzz"), "zzz")), "functions classes files variables",
     "SELECT 'function' AS kind, array_to_string(string_split(g.content, chr(10))[f.start_line:f.end_line], chr(10)) AS text FROM (SELECT * FROM functions WHERE name = 'blue anvil' ORDER BY CASE WHEN parent_type = 'class' THEN 0 ELSE 1 END, id LIMIT 1) f JOIN files g ON g.id = f.file_id UNION ALL SELECT 'suggestions', ''",
 )
+_NAMES = "coalesce((SELECT list(x.name ORDER BY x.name) FROM {t} x WHERE x.{k} = {o}.id AND {w}), [])"
+_OWN = _NAMES.format(t="functions", k="parent_id", o="c", w="x.parent_type = 'class'"), _NAMES.format(t="variables", k="parent_id", o="c", w="x.parent_type = 'class'")
 _add(
-    "export_json_totals", lambda a, f, c, v: symbols.export_json(a, f, c, v).select("path", F.size(F.from_json("document", "functions array<string>")["functions"]).cast("long").alias("n_functions"), F.size(F.from_json("document", "classes array<struct<name string>>")["classes"]).cast("long").alias("n_classes")), "files functions classes variables",
-    "SELECT path, (SELECT count(*) FROM functions f WHERE f.file_id = g.id AND f.parent_id IS NULL) AS n_functions, (SELECT count(*) FROM classes c WHERE c.file_id = g.id) AS n_classes FROM files g",
+    "export_json", symbols.export_json, "files functions classes variables",
+    "WITH k AS (SELECT c.file_id, struct_pack(name := c.name, methods := " + _OWN[0] + ", variables := " + _OWN[1] + ") AS c FROM classes c), g AS (SELECT file_id, list_sort(list(c)) AS classes FROM k GROUP BY file_id) "
+    "SELECT f.path, CAST(to_json(struct_pack(path := f.path, language := f.language, functions := " + _NAMES.format(t="functions", k="file_id", o="f", w="x.parent_id IS NULL") + ", classes := coalesce(g.classes, []), variables := " + _NAMES.format(t="variables", k="file_id", o="f", w="x.parent_id IS NULL") + ")) AS VARCHAR) AS document FROM files f LEFT JOIN g ON g.file_id = f.id",
 )
-_add("call_tree_lines", lambda e, f: graph.call_lines(graph.call_tree(e, f.filter("id <= 5").select(F.col("id").alias("node")), 2), f, e).groupBy("root").agg(F.count("*").alias("n_lines")), "edges functions", "SELECT source AS root, count(DISTINCT target) FILTER (target <> source) + 1 AS n_lines FROM edges WHERE source <= 5 GROUP BY source")
-_add("snippet_first_line", lambda a: a.select("id", symbols.snippet(F.col("content"), F.lit(1)).alias("snippet")), "files", None)
+_add("call_tree_lines", lambda e, f: graph.call_lines(graph.call_tree(e, f.select(F.col("id").alias("node")), 2), f, e).groupBy("root").agg(F.count("*").alias("n_lines")), "edges functions", "SELECT f.id AS root, count(DISTINCT target) FILTER (target <> f.id) + 1 AS n_lines FROM functions f LEFT JOIN edges ON source = f.id GROUP BY f.id")
 _add("method_calls", lambda d: _two(symbols.dependencies(d, source=12, kind="method_call")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'method_call'")
 _add("class_references", lambda d: _two(symbols.dependencies(d, source=12, kind="class_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'class_reference'")
 _add("variable_references", lambda d: _two(symbols.dependencies(d, source=12, kind="variable_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'variable_reference'")
@@ -207,12 +223,54 @@ _add("todo_text", sessions.render_list, "tasks", "SELECT list_id, string_agg((or
 _add("migrated_lists", lambda t: sessions.migrated(t, 7, 8).groupBy("session_id").agg(F.count("*").alias("n")), "lists", "SELECT CASE WHEN session_id = 7 THEN 8 ELSE session_id END AS session_id, count(*) AS n FROM lists GROUP BY 1")
 _add("changes_by_session", lambda c: c.filter("session_id = 5").orderBy("timestamp", "id").select("id", "change_type"), "changes", "SELECT id, change_type FROM changes WHERE session_id = 5")
 _add(
-    "commit_log", lambda c: graph.chain_members(c.select("id", F.col("parent").alias("next")), c.filter("id > 14900").select("id"), 10).select("start", "id", F.col("hop").cast("long").alias("hop")), "commits",
-    "WITH w AS (SELECT id AS start, id, parent, 0 AS hop FROM commits WHERE id > 14900 UNION ALL SELECT w.start, c.id, c.parent, w.hop + 1 FROM w JOIN commits c ON c.id = w.parent WHERE w.hop < 10) SELECT start, id, CAST(hop AS BIGINT) AS hop FROM w",
+    "commit_log", lambda c: graph.chain_members(c.select("id", F.col("parent").alias("next")), c.select("id")).select("start", "id", F.col("hop").cast("long").alias("hop")), "commits",
+    "WITH w AS (SELECT id AS start, id, parent, 0 AS hop FROM commits UNION ALL SELECT w.start, c.id, c.parent, w.hop + 1 FROM w JOIN commits c ON c.id = w.parent) SELECT start, id, CAST(hop AS BIGINT) AS hop FROM w",
 )
 _add("undo_heads", lambda c: snapshots.moved_head(c, c.groupBy(F.col("o_custkey").alias("id")).agg(F.max("id").alias("head"))), "commits", "SELECT o_custkey AS id, coalesce(arg_max(parent, id), max(id)) AS head FROM commits GROUP BY o_custkey")
 _add("new_blobs", lambda w, s: snapshots.new_blobs(w, _ids(s)).select("blob_id"), "working snapshot", f"SELECT DISTINCT {_BLOB} AS blob_id FROM working WHERE content NOT IN (SELECT content FROM snapshot)")
 
+# the other kinds of symbols
+for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
+    _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "a")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%a%'")
+    _add(f"{_kind}_by_id", lambda t: _pick(symbols.by_id(t, 3)), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE id = 3")
+    _add(f"{_kind}_with_path", lambda t, a: symbols.with_path(t, a).select("id", "name", "file_path"), f"{_kind} files", f"SELECT t.id, t.name, g.path AS file_path FROM {_kind} t JOIN files g ON g.id = t.file_id")
+    _add(
+        f"{_kind}_described", lambda t, k=_kind: symbols.describe(t, t.select(F.lit(k).alias("kind"), F.col("id").alias("symbol_id"), F.concat(F.lit("a "), "name").alias("description"), F.col("id").cast("long").alias("seq")).filter("symbol_id % 2 = 0"), k).select("id", "description"), _kind,
+        f"SELECT id, CASE WHEN id % 2 = 0 THEN 'a ' || name ELSE description END AS description FROM {_kind}",
+    )
+_add("undocumented_kinds", lambda *t: symbols.undocumented(dict(zip(("type_alias", "struct", "interface", "enum", "namespace"), t))), "type_aliases structs interfaces enums namespaces", " UNION ALL ".join(f"SELECT '{k}' AS kind, name, count(*) AS n FROM {t} WHERE coalesce(description, '') = '' GROUP BY name" for k, t in (("type_alias", "type_aliases"), ("struct", "structs"), ("interface", "interfaces"), ("enum", "enums"), ("namespace", "namespaces"))))
+# calls that run a class's init method; deleted files
+_add(
+    "call_functions", lambda d, f, c, v: symbols.call_functions(symbols.resolve(d, f, c, v), f, "blue anvil"), "deps functions classes variables",
+    "SELECT t.id, t.dependency_type, CASE t.kind WHEN 'function' THEN t.sid WHEN 'class' THEN (SELECT min(f.id) FROM functions f WHERE f.name = 'blue anvil' AND f.parent_type = 'class' AND f.parent_id = t.sid) END AS function_id FROM (SELECT d.id, d.dependency_type, t.kind, t.sid FROM " + _WANTED + " d LEFT JOIN (SELECT 0 AS o, 'function' AS kind, id AS sid, file_id, name, parent_type FROM functions UNION ALL SELECT 1, 'class', id, file_id, name, NULL FROM classes) t ON t.name = d.wanted AND "
+    "((d.dependency_type = 'function_call' AND t.o < 2) OR (d.dependency_type = 'method_call' AND (t.o = 1 OR (t.o = 0 AND t.parent_type = 'class'))) OR (d.dependency_type = 'class_reference' AND t.o = 1)) "
+    "WHERE d.dependency_type IN ('function_call', 'method_call', 'class_reference') QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY t.o NULLS LAST, CASE WHEN t.file_id = d.file_id THEN 0 ELSE 1 END, t.sid) = 1) t",
+)
+_GONE = "(SELECT id FROM files WHERE language = 'fr')"
+_add(
+    "removed_files", lambda a, d, f, c: symbols.remove_files({"files": a, "deps": d, "functions": f, "classes": c}, a.filter("language = 'fr'").select(F.col("id").alias("file_id")))["deps"].select("id", "target_function_id", "target_class_id"), "files deps functions classes",
+    f"SELECT d.id, CASE WHEN f.file_id IN {_GONE} THEN NULL ELSE d.target_function_id END AS target_function_id, CASE WHEN c.file_id IN {_GONE} THEN NULL ELSE d.target_class_id END AS target_class_id FROM deps d LEFT JOIN functions f ON f.id = d.target_function_id LEFT JOIN classes c ON c.id = d.target_class_id WHERE d.file_id NOT IN {_GONE}",
+)
+_add("removed_files_left", lambda a, d, f, c: symbols.remove_files({"files": a, "deps": d, "functions": f, "classes": c}, a.filter("language = 'fr'").select(F.col("id").alias("file_id")))["functions"].select("id", "file_id"), "files deps functions classes", f"SELECT id, file_id FROM functions WHERE file_id NOT IN {_GONE}")
+# the store of conversations
+_chats = lambda s: s.select(F.col("chat_id").alias("id"), F.when(F.col("chat_id") % 2 == 0, "coder").otherwise("reader").alias("role")).distinct()
+_add("deleted_chats", lambda s, m: sessions.without_chats(_chats(s), s, m, _chats(s).filter("role = 'coder'"))[1].select("id", "chat_id"), "sessions messages", "SELECT id, chat_id FROM sessions WHERE chat_id % 2 <> 0")
+_add("deleted_messages", lambda s, m: sessions.without_chats(_chats(s), s, m, _chats(s).filter("role = 'coder'"))[2].select("session_id", "turn"), "sessions messages", "SELECT session_id, turn FROM messages WHERE session_id NOT IN (SELECT id FROM sessions WHERE chat_id % 2 = 0)")
+_add("session_info", lambda s: sessions.session_info(s, _chats(s)), "sessions", "SELECT id, CASE WHEN chat_id % 2 = 0 THEN 'coder' ELSE 'reader' END AS role, parent_session_id IS NOT NULL AS is_subagent FROM sessions")
+_add(
+    "chain_files", lambda p, o: sessions.files_of_chain(graph.chain_members(p, p).withColumn("id", F.col("id") % 150), o), "pointers operations",
+    "WITH m AS (SELECT id AS start, id FROM pointers UNION ALL SELECT m.start, p.next FROM m JOIN pointers p ON p.id = m.id WHERE p.next IS NOT NULL), u AS (SELECT DISTINCT start, id % 150 AS sid FROM m), x AS (SELECT DISTINCT session_id, file_path, operation FROM operations) "
+    "SELECT start, file_path, string_agg(DISTINCT operation, ',' ORDER BY operation) AS operations FROM u JOIN x ON x.session_id = u.sid GROUP BY start, file_path",
+)
+_add("latest_handover", lambda c: sessions.latest_handover(c.select("session_id", "id", (F.col("id") + 1).alias("new_session_id"))), "changes", "SELECT session_id, max(id) AS id, max(id) + 1 AS new_session_id FROM changes GROUP BY session_id")
+_add("update_status", lambda t: sessions.update_status(t.select(F.col("list_id").alias("id"), "status"), t.select(F.col("list_id").alias("id"), F.concat(F.lit("done by "), F.col("order_index").cast("string")).alias("status"), "order_index").groupBy("id").agg(F.max_by("status", "order_index").alias("status"), F.max("order_index").alias("seq"))).distinct(), "tasks", "SELECT list_id AS id, 'done by ' || max(order_index) AS status FROM tasks GROUP BY list_id")
+_add("redo_heads", lambda c: snapshots.redone(c.groupBy(F.col("o_custkey").alias("id")).agg(F.min("id").alias("head")), c.groupBy(F.col("o_custkey").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("stack"))).select("id", "head", F.array_join(F.col("rest").cast("array<string>"), ",").alias("rest")), "commits", "SELECT o_custkey AS id, max(id) AS head, array_to_string(list_sort(list(id))[1:count(*) - 1], ',') AS rest FROM commits GROUP BY o_custkey")
+_add("edit_lines", lambda a, f: text.edit_lines(a, f.filter("name = 'blue anvil'"), "edited"), "files functions", "SELECT path, CASE WHEN e IS NULL THEN content ELSE array_to_string(list_concat(l[1:9], ['edited'], l[e + 1:]), chr(10)) END AS content FROM (SELECT g.path, g.content, string_split(g.content, chr(10)) AS l, x.e FROM files g LEFT JOIN (SELECT file_id, min(end_line) AS e FROM functions WHERE name = 'blue anvil' GROUP BY file_id) x ON x.file_id = g.id)")
+_add(
+    "snippet_first_line", lambda a: a.select("id", symbols.snippet(F.col("content"), F.lit(1)).alias("snippet")), "files",
+    r"SELECT id, coalesce(list_filter(list_transform(CASE WHEN list_position(l, '') > 0 THEN l[1:list_position(l, '') - 1] ELSE l END, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: NOT (x IN ('', '{', '}', '};') OR regexp_matches(x, '^(#|//|/\*|\x22{3}|\x27{3}|@|def |class |print\()')))[1], '')[1:120] AS snippet FROM (SELECT id, string_split(content, chr(10))[2:51] AS l FROM files)",
+)
+
 
 def queries() -> dict[str, Query]:
     return {name: run for name, (run, _) in _FOUND.items()}

@@ -35,10 +35,17 @@ SELECTS = {
     "changes": "SELECT event_id AS id, ts AS timestamp, user_id AS session_id, event_type AS change_type, props FROM {events}",
     "sessions": "SELECT o_orderkey AS id, o_custkey AS chat_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) END AS parent_session_id FROM {orders}",
     "commits": "SELECT o_orderkey AS id, LAG(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS parent, o_custkey FROM {orders}",
-    "scanned": "SELECT doc_id AS path, n_chars % 3 AS mtime, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS content_hash FROM {documents} WHERE doc_id % 7 <> 0",
-    "known": "SELECT doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN n_chars % 3 ELSE 9 END AS mtime, lang AS content_hash FROM {documents} WHERE doc_id % 11 <> 0",
-    "working": "SELECT source || '/' || CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END AS content FROM {documents} WHERE doc_id % 7 <> 0",
-    "snapshot": "SELECT source || '/' || CAST(doc_id AS STRING) AS path, text AS content FROM {documents} WHERE doc_id % 11 <> 0",
+    # whole tables: what is new, gone or moved has another path on one side, and no row is left out
+    "scanned": "SELECT CASE WHEN doc_id % 7 = 0 THEN -doc_id - 1 ELSE doc_id END AS path, n_chars % 3 AS mtime, CASE WHEN doc_id % 5 = 0 THEN 'x' ELSE lang END AS content_hash FROM {documents}",
+    "known": "SELECT CASE WHEN doc_id % 11 = 0 THEN -doc_id - 1000000000 ELSE doc_id END AS path, CASE WHEN doc_id % 2 = 0 THEN n_chars % 3 ELSE 9 END AS mtime, lang AS content_hash FROM {documents}",
+    "working": "SELECT source || CASE WHEN doc_id % 7 = 0 THEN '/moved/' ELSE '/' END || CAST(doc_id AS STRING) AS path, CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END AS content FROM {documents}",
+    "snapshot": "SELECT source || CASE WHEN doc_id % 11 = 0 THEN '/old/' ELSE '/' END || CAST(doc_id AS STRING) AS path, text AS content FROM {documents}",
+    "type_aliases": "SELECT n_nationkey AS id, n_regionkey AS file_id, n_name AS name, 'region ' || n_regionkey AS description FROM {nation}",
+    "structs": "SELECT s_suppkey AS id, s_suppkey % 200 AS file_id, s_name AS name, CASE WHEN s_acctbal < 0 THEN NULL ELSE 'struct of ' || s_name END AS description FROM {supplier}",
+    "interfaces": "SELECT c_custkey AS id, c_custkey % 200 AS file_id, c_name AS name, c_mktsegment AS description FROM {customer}",
+    "enums": "SELECT p_partkey AS id, p_partkey % 200 AS file_id, p_type || ' ' || p_brand AS name, NULLIF(p_type, 'PROMO') AS description FROM {part}",
+    "namespaces": "SELECT r_regionkey AS id, r_regionkey % 200 AS file_id, r_name AS name, CAST(NULL AS STRING) AS description FROM {region}",
+    "operations": "SELECT event_id AS id, user_id AS session_id, 'file' || event_id % 40 AS file_path, event_type AS operation FROM {events}",
 }
 
 

@@ -74,13 +74,90 @@ def test_components_on_random_graphs(spark):
 
 
 def test_html_and_replace(spark):
-    assert text.html_to_text("<p>a</p><script>x</script><p>b</p>") == "a\n\nb"
+    shown = {
+        "<p>a</p><script>x</script><p>b</p>": "a\n\nb", "": "", "<b>a</b> <b>b</b>": "ab", "a<br>b<hr/>c": "a\nb\nc", "<main>x \t y</main><figure>z</figure><figcaption>w</figcaption>": "x y\n\nz\n\nw",
+        "<head><title>t</title></head>k": "k", "<svg><svg>1</svg>2</svg>3": "3", "</svg>x": "x", "a &amp; b &lt;i&gt;": "a & b <i>", "<p title='a>b'>x": "x", "a<!-- <p> -->b": "ab", "1 < 2": "1 < 2", "<style>p{}</style>z": "z",
+        "<div><div><div>a</div></div></div><div></div><div></div>b": "a\n\nb", "a<script>never ends": "a",
+    }
+    assert {page: text.visible_text(page) for page in shown} == shown
+    assert text.visible_text(None) == ""
     table = spark.createDataFrame([("p", "a-a")], "path string, content string")
     assert text.replace_literal(table, "a", "b").first()["error"] == "not unique"
     assert text.replace_literal(table, "a", "b", every=True).first()["content"] == "b-b"
     assert text.replace_regex(table, "(a)-", r"<\1>").first()["content"] == "<a>a"
 
 
+def test_diff_of_added_deleted_modified_and_binary_files(spark):
+    old = spark.createDataFrame([("a", b"1\n2\n3"), ("b", b"gone\n"), ("c", b"same"), ("d", b"\xff\xfe"), ("f", b"x")], "path string, content binary")
+    new = spark.createDataFrame([("a", b"1\nx\n3"), ("c", b"same"), ("d", b"\xff"), ("e", b"\xff\x00\x01"), ("g", "\n".join(map(str, range(10))).encode())], "path string, content binary")
+    got = {r["path"]: (r["change_type"], r["content"]) for r in snapshots.diff(old, new, 4).collect()}
+    assert got["b"] == ("deleted", "gone\n") and got["e"] == ("added", "[binary file, 3 bytes]") and got["f"] == ("deleted", "x")
+    assert got["d"] == ("modified", "[binary file, old: 2 bytes, new: 1 bytes]")
+    assert got["g"] == ("added", "0\n1\n... (6 lines truncated) ...\n8\n9") and "c" not in got
+    assert snapshots.diff(old, new, contains="a").collect()[0]["content"] == "--- a/a\n+++ b/a\n@@ -1,3 +1,3 @@\n 1\n-2\n+x\n 3"
+
+
+def test_diffs_of_a_table_apply(spark):
+    """Each unified diff, applied in plain Python to the old text, gives the new one."""
+    from strataforge.plans.standins import standin
+
+    old, new = ({r["path"]: r["content"] for r in standin(spark, "/root/testdata/sf0.001", name).collect()} for name in ("snapshot", "working"))
+    found = snapshots.diff(standin(spark, "/root/testdata/sf0.001", "snapshot"), standin(spark, "/root/testdata/sf0.001", "working"), 1 << 20).filter("change_type = 'modified'").collect()
+    assert {r["path"] for r in found} == {p for p in old.keys() & new.keys() if old[p] != new[p]}
+    for r in found:
+        lines, out, at = old[r["path"]].splitlines(), [], 0
+        for line in r["content"].split("\n")[2:]:
+            if line.startswith("@@"):
+                start = int(line.split("-")[1].split(" ")[0].split(",")[0])
+                count = line.split("-")[1].split(" ")[0].split(",")
+                start = start - 1 if len(count) == 1 or count[1] != "0" else start
+                out, at = out + lines[at:start], start
+            elif line.startswith("-"):
+                assert lines[at] == line[1:]
+                at += 1
+            elif line.startswith("+"):
+                out.append(line[1:])
+            else:
+                assert lines[at] == line[1:]
+                out.append(lines[at])
+                at += 1
+        assert out + lines[at:] == new[r["path"]].splitlines()
+
+
+def test_chain_members_of_long_chains_and_circles(spark):
+    pointers = {k: k + 1 for k in range(300)} | {400: 401, 401: 402, 402: 400, 403: 401} | {500: None}
+    table = spark.createDataFrame(list(pointers.items()), "id long, next long")
+    want = set()
+    for start in (0, 7, 299, 400, 403, 500):
+        at, hop, seen = start, 0, set()
+        while at is not None and at not in seen and hop <= 250:
+            seen.add(at)
+            want.add((start, at, hop))
+            at, hop = pointers.get(at), hop + 1
+    starts = spark.createDataFrame([(k,) for k in (0, 7, 299, 400, 403, 500)], "id long")
+    assert {tuple(r) for r in graph.chain_members(table, starts, 250).collect()} == want
+
+
+def test_snippet_rules(spark):
+    lines = lambda *x: F.lit("\n".join(("def f():", *x)))
+    got = [one(spark, symbols.snippet(t, F.lit(1))) for t in (lines("  * x"), lines("  )", "y"), lines("};", "y"), lines("   ", "y"), lines("", "y"), lines("@d", "class C", "// c", "z" * 200), lines(*["#"] * 60, "y"))]
+    assert got == ["* x", ")", "y", "y", "", "z" * 120, ""]
+
+
+def test_shared_folder_is_required_off_local_masters():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from strataforge.storage import shared_dir
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master))
+    assert shared_dir(session("spark://x", "hdfs://y")) == "hdfs://y" and shared_dir(session("local[8]", None)).startswith("file://")
+    for master in ("spark://x", "yarn", "local-cluster[1,1,1]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master, None))
+
+
 def test_like_wildcards(spark):
     table = spark.createDataFrame([("getXuser",), ("get\\user",), ("other",)], "name string")
     assert [r["name"] for r in table.filter(symbols.like("name", "get_user")).collect()] == ["getXuser", "get\\user"]
