@@ -148,8 +148,8 @@ def test_quality_counts(spark):
     assert quality.quality(spark.createDataFrame([], DOC + ", lang string")).count() == 0
 
 
-def test_divergence(spark):
-    d = lambda p, q: spark.range(1).select(quality.divergence(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias("d")).first()["d"]
+def test_distance(spark):
+    d = lambda p, q: spark.range(1).select(quality.distance(F.array(*map(F.lit, p)), F.array(*map(F.lit, q))).alias("d")).first()["d"]
     assert abs(d([1.0, 0.0], [0.0, 1.0]) - 1) < 1e-12 and d([0.5, 0.5], [0.5, 0.5]) == 0
 
 
