@@ -19,11 +19,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = keep(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("node", "near"), "edges")
     labels = keep(both.groupBy("node").agg(F.least("node", F.min("near")).alias("component")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("near"), "component"), "near").groupBy("node").agg(F.min("component").alias("least"))
-        step = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "least").alias("new"))
+        own = labels.select("node", "component", F.col("component").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("near"), "component"), "near").select("node", "component", F.lit(None).cast("long").alias("old"))
+        step = own.unionByName(near).groupBy("node").agg(F.max("old").alias("old"), F.min("component").alias("new"))
         jump = labels.select(F.col("node").alias("new"), F.col("component").alias("far"))
         after = keep(step.join(jump, "new", "left").select("node", "old", F.least("new", "far").alias("component")), "labels")
-        changed = after.filter("old != component").limit(1).count()
+        changed = not after.filter("old != component").isEmpty()
         drop_kept(labels)
         labels = after.select("node", "component")
         if not changed:
