@@ -13,10 +13,10 @@ links are classes that collide in at least `matches` of the lists. These collisi
   that both merge. Lists whose classes are by now in one component are skipped as well: first, in each
   list, all classes are compared with the one that shares most (the star pass), which joins most copies.
 
-Lists that then still hold several components are merged if they are short. Classes of longer ones are
-posted once more, under the necessary prefix of their shingles, rarest first (an exact filter that needs
-no luck), and what is long even then is compared in blocks: the classes of a list's largest component are
-taken once for each block of the others, not for each other. Pairs with enough collisions are confirmed on
+Lists that then still hold several components are merged in blocks: the classes of a list's largest
+component meet those of the others, not each other. Where more than a block are outside the largest
+component, the list's classes are first posted once more, under the necessary prefix of their shingles,
+rarest first (an exact filter that needs no luck), which parts all but those that are nearly alike. Pairs with enough collisions are confirmed on
 the full sets, in their block, where only links that join components come out.
 """
 
@@ -216,15 +216,15 @@ def _joining(percent: int):
 
 
 def _prefixes(postings: DataFrame, least: Column) -> DataFrame:
-    """(node, merged): of each node's lists with other nodes, shortest first, all but least - 1; nodes with fewer than least are left out.
+    """(node, merged, weight): of each node's lists with other nodes, shortest first, all but least - 1, and their sizes' sum; nodes with fewer than least are left out.
 
     postings: node, key, n. A node's lists, a row each, are no more than its coordinates or shingles.
     """
     # written first: the join then has two plain exchanges below it, and Spark can split a very common list
     shared = keep(postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "shared")
     held = postings.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("size", "key"))).alias("lists"), F.first("n").alias("n"))
-    few = held.filter(F.size("lists") >= least).select("node", F.slice("lists", F.lit(1), F.size("lists") - least + 1)["key"].alias("merged"))
-    out = keep(few, "merged")
+    few = held.filter(F.size("lists") >= least).select("node", F.slice("lists", F.lit(1), F.size("lists") - least + 1).alias("first"))
+    out = keep(few.select("node", F.col("first")["key"].alias("merged"), F.aggregate("first", F.lit(0).cast("long"), lambda total, x: total + x["size"]).alias("weight")), "merged")
     drop_kept(shared)
     return out
 
@@ -258,25 +258,23 @@ class _Merge:
         self.labels = keep(moved.union(fresh).distinct(), "labels")
         drop_kept(was, joined)
 
-    def several(self, lists: DataFrame) -> DataFrame:
-        """Of lists (node, key): those that hold more than one component, with labels, sizes and the label that most nodes of a list have."""
-        label = F.col("node") if self.labels is None else F.coalesce("component", "node")
-        named = lists if self.labels is None else lists.join(self.labels, "node", "left")
-        named = keep(named.select("node", "key", label.alias("label")), "named")
+    def several(self, merged: DataFrame) -> DataFrame:
+        """Of all lists, those that hold more than one component: key, node and label, whether the label is the one that most of the list's nodes have, and how many have it and others."""
+        lists = merged.select("node", F.explode("merged").alias("key"))
+        named = lists.select("node", "key", F.col("node").alias("label")) if self.labels is None else lists.join(self.labels, "node", "left").select("node", "key", F.coalesce("component", "node").alias("label"))
         counts = named.groupBy("key", "label").agg(F.count("*").alias("size"))
-        ends = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("size"), F.max_by("label", F.struct("size", "label")).alias("most"))
-        ends = keep(ends.filter("labels > 1").drop("labels"), "ends")
-        out = keep(named.join(ends, "key"), "several")
-        drop_kept(named, ends)
+        ends = counts.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("size"), F.max(F.struct("size", "label")).alias("most"))
+        # written first, so that a very common list is split over tasks
+        ends = keep(ends.filter("labels > 1").select("key", F.col("most.label").alias("most"), F.col("most.size").alias("n_main"), (F.col("size") - F.col("most.size")).alias("n_other")), "ends")
+        out = keep(named.join(ends, "key").select("key", "node", "label", (F.col("label") == F.col("most")).alias("main"), "n_main", "n_other"), "several")
+        drop_kept(ends)
         return out
 
-    def stars(self, lists: DataFrame) -> None:
+    def stars(self, merged: DataFrame) -> None:
         """Compares all nodes of a list with the one whose lists are longest together."""
-        sizes = keep(lists.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
-        held = keep(lists.join(sizes, "key"), "held")
-        weight = held.groupBy("node").agg(F.sum("size").alias("weight"))
-        centre = keep(held.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre")), "centres")
-        star = held.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+        lists = merged.select("node", "weight", F.explode("merged").alias("key"))
+        centre = keep(lists.groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("centre"), F.count("*").alias("size")).filter("size > 1").drop("size"), "centres")
+        star = lists.join(centre, "key").filter("node != centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         signs = self.nodes.select("node", "n", "signature")
         equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same)) >= self.matches
         close = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
@@ -284,7 +282,7 @@ class _Merge:
         sets = self.sets(seen.select(F.col("a").alias("node")).union(seen.select("b")))
         full = seen.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
         self.add(keep(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links"))
-        drop_kept(sizes, held, centre, seen, sets)
+        drop_kept(centre, seen, sets)
 
     def compare(self, blocked: DataFrame, merged: DataFrame) -> None:
         """Compares the nodes of each group (key, i, j; node, label, block) with those of other labels, block i with block j."""
@@ -301,27 +299,21 @@ class _Merge:
             self.add(found)
 
     def merge(self, merged: DataFrame) -> DataFrame:
-        """The star pass and the merging of short lists; returns the lists that are left."""
-        lists = merged.select("node", F.explode("merged").alias("key"))
-        self.stars(lists)
-        rest = self.several(lists)
-        short = rest.filter(F.col("size") <= BLOCK)
-        none = F.lit(0).cast("long")
-        self.compare(short.select("key", none.alias("i"), none.alias("j"), "node", "label", none.alias("block")), merged)
-        return rest.filter(F.col("size") > BLOCK)
-
-    def split(self, merged: DataFrame) -> None:
-        """Merges the lists that are long still, block by block."""
-        rest = self.several(merged.select("node", F.explode("merged").alias("key"))).filter(F.col("size") > BLOCK)
-        blocks = lambda n: F.ceil(n / BLOCK)
-        main = F.col("label") == F.col("most")
-        sizes = keep(rest.groupBy("key").agg(F.count_if(main).alias("n_main"), F.count_if(~main).alias("n_other")).select("key", blocks(F.col("n_main")).alias("mains"), blocks(F.col("n_other")).alias("others")), "sizes")
-        placed = rest.join(sizes, "key")
-        # blocks of the largest component come first and meet all others; the others meet each other too
-        block = F.when(main, F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others"))
-        first = F.when(main, F.col("mains")).otherwise(F.lit(0).cast("long"))
-        each = placed.select("key", "node", "label", block.alias("block"), F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)).alias("other"))
-        self.compare(each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block"), merged)
+        """The star pass, and the merging of lists with no more than BLOCK nodes outside their largest component; returns the lists that are left."""
+        self.stars(merged)
+        rest = self.several(merged)
+        self.compare(self.blocks(rest.filter(F.col("n_other") <= BLOCK)), merged)
+        return rest.filter(F.col("n_other") > BLOCK)
+
+    def blocks(self, rest: DataFrame) -> DataFrame:
+        """The groups (key, i, j) of nodes that are compared. A list of BLOCK nodes is one group; else nodes of its largest component meet the others' blocks but not each other, and the others' blocks meet each other."""
+        short = F.col("n_main") + F.col("n_other") <= BLOCK
+        mains, others = (F.when(short, 0 if c == "n_main" else 1).otherwise(F.ceil(F.col(c) / BLOCK)).cast("long") for c in ("n_main", "n_other"))
+        rest = rest.withColumns({"mains": mains, "others": others, "main": F.col("main") & ~short})
+        block = F.when(F.col("main"), F.pmod(F.xxhash64("node"), "mains")).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), "others"))
+        first = F.when(F.col("main"), F.col("mains")).otherwise(F.lit(0).cast("long"))
+        each = rest.select("key", "node", "label", block.alias("block"), F.explode(F.sequence(first, F.col("mains") + F.col("others") - 1)).alias("other"))
+        return each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "block")
 
     def exact(self, long: DataFrame) -> DataFrame:
         """(node, merged) for the nodes of long, by the necessary prefixes of their shingles."""
@@ -351,14 +343,15 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     long = merge.merge(merged)
     if not long.isEmpty():
         again = merge.exact(long)
-        if not merge.merge(again).isEmpty():
-            merge.split(again)
+        rest = merge.merge(again)
+        if not rest.isEmpty():
+            merge.compare(merge.blocks(rest), again)
 
     member = classes.drop("signature") if merge.labels is None else classes.drop("signature").join(merge.labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     member = keep(member.select(*_PRINTS, "node", "least"), "member")
-    stands = keep(member.groupBy("node").agg(F.count("*").alias("n"), F.min("least").alias("stands")).filter("n > 1").drop("n"), "stands")
+    stands = member.groupBy("node").agg(F.count("*").alias("n"), F.min("least").alias("stands")).filter("n > 1").drop("n")
     member = keep(member.join(stands, "node", "left").select(*_PRINTS, F.coalesce("stands", "least").alias("of")), "named")
-    drop_kept(classes, merged, stands)
+    drop_kept(classes, merged)
     out = sketch.drop("signature").join(member, list(_PRINTS), "left")
     own = lambda name, other: F.when(F.col("of").isNull(), F.col(name)).otherwise(F.col(f"of.{name}")).alias(other)
     return out.select("doc_id", "n_shingles", own("doc_id", "component_id"), "key", "print", own("key", "keep_key"), own("print", "keep_print"))
