@@ -44,4 +44,43 @@ kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t F
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op1_near_dedup": NEAR_DEDUP, "op5_contamination": CONTAMINATION, "op9_repeats": REPEATS}
+_KEPT = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE)))"
+# whole numbers in doubles, below 2**53
+_SQUARE = "(list_inner_product(a.w, a.w) - 2 * list_inner_product(a.w, b.w) + list_inner_product(b.w, b.w))"
+
+
+def _rounds(rounds: int) -> str:
+    """From x (row, part, w) and b0 (part, entry, w): a0 .. a{rounds} (row, part, entry, square) and the tables that rounds make of b0."""
+    out = []
+    for k in range(rounds + 1):
+        out.append(f"a{k} AS MATERIALIZED (SELECT row, part, m.entry AS entry, m.square AS square FROM (SELECT a.row, a.part, min(struct_pack(square := CAST({_SQUARE} AS BIGINT), entry := b.entry)) AS m FROM x a JOIN b{k} b ON a.part = b.part GROUP BY a.row, a.part))")
+        if k < rounds:
+            mean = "CAST((s - ((s % n) + n) % n) // n AS DOUBLE)"
+            sums = f"SELECT part, entry, place, sum(CAST(c AS BIGINT)) AS s, count(*) AS n FROM (SELECT part, entry, unnest(w) AS c, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS place FROM x JOIN a{k} USING (row, part)) GROUP BY ALL"
+            out.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.w, b.w) AS w FROM b{k} b LEFT JOIN (SELECT part, entry, list({mean} ORDER BY place) AS w FROM ({sums}) GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry)")
+    return ",\n".join(out)
+
+
+_DIGITS = "string_agg(CAST(CAST({} AS BIGINT) AS VARCHAR), ',' ORDER BY {})"
+
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, {_WHOLE} AS v FROM embeddings WHERE {_KEPT}),
+x AS MATERIALIZED (SELECT row, part, list_slice(v, part * len(v) // 4 + 1, (part + 1) * len(v) // 4) AS w FROM k, (SELECT unnest(range(4)) AS part)),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, w FROM x WHERE row <= 256),
+{_rounds(4)},
+h AS (SELECT sha256({_DIGITS.format("c", "part, entry, place")}) AS codebooks_sha256 FROM (SELECT part, entry, unnest(w) AS c, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS place FROM b4)),
+e AS MATERIALIZED (SELECT row, string_agg(lower(format('{{:02x}}', entry)), '' ORDER BY part) AS code, CAST(sum(square) AS BIGINT) AS error FROM a4 GROUP BY row)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN e USING (row), h
+"""
+
+CENTROIDS = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), vec_id) AS row, vec_id, {_WHOLE} AS v FROM embeddings WHERE {_KEPT} AND len(embedding) = 64),
+x AS MATERIALIZED (SELECT row, 0 AS part, v AS w FROM k),
+b0 AS MATERIALIZED (SELECT part, row - 1 AS entry, w FROM x WHERE row <= 8),
+{_rounds(10)},
+h AS (SELECT entry, sha256({_DIGITS.format("c", "place")}) AS centroid_sha256 FROM (SELECT entry, unnest(w) AS c, unnest(range(1, CAST(len(w) + 1 AS BIGINT))) AS place FROM b10) GROUP BY entry)
+SELECT vec_id, CAST(entry AS INTEGER) AS cluster, square AS distance, CAST(sum(square) OVER (PARTITION BY entry) AS BIGINT) AS cluster_inertia, CAST(sum(square) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM k JOIN a10 USING (row) JOIN h USING (entry)
+"""
+
+SQL = {"op1_near_dedup": NEAR_DEDUP, "op5_contamination": CONTAMINATION, "op9_repeats": REPEATS, "op11_vector_codes": VECTOR_CODES, "op12_centroids": CENTROIDS}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import contamination, html_extract, lang_id, mixing, oracles, pii, pipeline, quality, repeats, token_counts, toxicity
+from strataforge.llm import centroids, contamination, html_extract, lang_id, mixing, oracles, pii, pipeline, quality, repeats, token_counts, toxicity, vector_codes
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -61,8 +61,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes for all vectors. Odd rows are as in the operator's docstring."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors around eight centroids. Odd rows are as in the operator's docstring."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity]
+    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity, op11_vector_codes, op12_centroids]
     return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 
