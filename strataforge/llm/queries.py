@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strataforge.llm import centroids, contamination, html_extract, lang_id, mixing, oracles, pii, pipeline, quality, repeats, token_counts, toxicity, vector_codes
+from strataforge.llm import centroids, contamination, html_extract, lang_id, mixing, oracles, pii, pipeline, quality, repeats, text_quality, token_counts, toxicity, vector_codes
 from strataforge.llm.near_dedup import near_duplicates
 from strataforge.storage import table
 
@@ -71,8 +71,13 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op13_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from four fifths of the labels. Odd rows are as in the operator's docstring."""
+    return text_quality.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity, op11_vector_codes, op12_centroids]
+    found = [op1_near_dedup, op2_mixing, op3_lang_id, op4_pii, op5_contamination, op6_html, op7_quality, op8_token_counts, op9_repeats, op10_toxicity, op11_vector_codes, op12_centroids, op13_text_quality]
     return {f.__name__: f for f in found} | {"pipeline": pipeline.run}
 
 

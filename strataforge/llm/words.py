@@ -45,6 +45,8 @@ class Slice:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray
+    #: Bytes offset[i]:offset[i+1] are of row i.
+    offset: np.ndarray
 
 
 def slices(text: pa.Array, lower: bool) -> Iterator[Slice]:
@@ -75,7 +77,7 @@ def _slice(rows: range, data: np.ndarray, offsets: np.ndarray, lower: bool) -> S
     total = np.zeros(len(within) + 1, dtype=np.uint64)
     np.cumsum(mix(_BYTE[data[word]] + within.astype(np.uint64) * _P), out=total[1:], dtype=np.uint64)
     hashes = mix(total[last] - total[last - length] + length.astype(np.uint64))
-    return Slice(rows, data, start, end, hashes, np.searchsorted(start, offsets))
+    return Slice(rows, data, start, end, hashes, np.searchsorted(start, offsets), offsets)
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strataforge.llm import contamination, html_extract, lang_id, mixing, near_dedup, pii, pipeline, quality, repeats, token_counts, toxicity
+from strataforge.llm import contamination, html_extract, lang_id, mixing, near_dedup, pii, pipeline, quality, repeats, text_quality, token_counts, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{k % 997} of{k}" for k in range(60_000))
@@ -23,6 +23,7 @@ MAPS = {
     "quality": (quality.quality, ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")),
     "token_counts": (token_counts.count_tokens, ("doc_id", "n_chars", "n_tokens")),
     "repeats": (repeats.remove_repeats, ("doc_id", "n_words", "n_removed", "kept_sha256")),
+    "text_quality": (lambda d: text_quality.held_out_quality(d, d.select("doc_id", (F.col("doc_id") % 2).alias("quality"))), ("doc_id", "held_out", "score", "predicted")),
     "toxicity": (lambda d: toxicity.held_out_toxicity(d, d.select("doc_id", F.lit(1).alias("toxic"))), ("doc_id", "held_out", "score", "predicted")),
 }
 
@@ -42,7 +43,7 @@ def test_operator(spark, name):
     assert rows(run(clash), columns) == got
     # of equal rows each has what the other has
     if name != "mixing":
-        assert len({r[1:] for r in got if r[0] in (5, 6)}) == 1 or name in ("near_dedup", "lang_id", "html_extract", "toxicity")
+        assert len({r[1:] for r in got if r[0] in (5, 6)}) == 1 or name in ("near_dedup", "lang_id", "html_extract", "toxicity", "text_quality")
     empty = run(docs.limit(0))
     assert empty.count() == 0 and set(columns) <= set(empty.columns)
 
