@@ -5,62 +5,184 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataforge.operators.symbols import call_functions, is_likely_literal, resolve
 from strataforge.storage import drop_kept, keep
 
+#: Edges that can be on no circle are taken off in so many rounds at most. What is left over costs time and changes no result.
+PEELS = 12
+
+
+def _depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+    """(root, node, depth): the least depth of each node, by frontiers; a (root, node) is in one frontier only."""
+    frontier = keep(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")).distinct(), "level")
+    found = frontier
+    for depth in range(1, max_depth + 1):
+        step = frontier.join(edges, frontier.node == edges.source).select("root", F.col("target").alias("node")).distinct()
+        frontier = keep(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "level")
+        found = found.unionByName(frontier)
+        if frontier.isEmpty():
+            break
+    return found
+
+
+def _inside(edges: DataFrame) -> DataFrame:
+    """The edges without those that can be on no circle, as far as PEELS rounds tell: their source isn't reached or their target goes nowhere."""
+    for _ in range(PEELS):
+        left = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
+        left = keep(left.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"), "inside")
+        same = left.count() == edges.count()
+        drop_kept(edges)
+        edges = left
+        if same:
+            break
+    return edges
+
 
 def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 5, exclude: tuple[str, ...] = ()) -> DataFrame:
-    """(root, node, depth, cycle) of all nodes within max_depth - 1 calls of each root.
+    """(root, node, depth, cycle) of all nodes within max_depth calls of each root (node).
 
     edges are (source, target, path): path of the target's file, which exclude's prefixes drop. depth is
-    the least; cycle says that a path leads from the node back to itself within the bound. Each step is a
-    join with the frontier of paths, which hold no node twice.
+    the least number of calls. cycle says that a path of at most max_depth calls from the root, on which no
+    other node comes twice, comes to the node twice.
+
+    Depths come from frontiers in which a node stands once for each root. Paths, which hold no node twice,
+    are followed only along edges that can be on a circle, and once for each node at which such edges are
+    entered, not for each root: what lies before has no part in a circle behind it. Their number still
+    grows with the calls of a node to the depth where nearly all nodes are on circles.
     """
     edges = edges.filter(~F.exists(F.array(*map(F.lit, exclude)), lambda p: F.col("path").startswith(p))) if exclude else edges
-    edges = edges.select("source", "target").distinct()
-    frontier = roots.select(F.col("node").alias("root"), "node", F.array("node").alias("way"))
-    found = frontier.select("root", "node", F.lit(0).alias("depth"), F.lit(False).alias("back"))
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier.node == edges.source).select("root", F.col("target").alias("node"), "way")
+    edges = keep(edges.select("source", "target").distinct(), "calls")
+    found = keep(_depths(edges, roots, max_depth), "depths")
+    near = edges.join(found.filter(F.col("depth") < max_depth).select(F.col("node").alias("source")).distinct(), "source", "left_semi")
+    inside = _inside(keep(near.select("source", "target"), "inside"))
+    starts = inside.select(F.col("source").alias("node")).distinct()
+    entered = edges.join(inside, ["source", "target"], "left_anti").join(starts.withColumnRenamed("node", "target"), "target", "left_semi")
+    later = found.join(entered, F.col("node") == F.col("source")).select("root", F.col("target").alias("entry"), (F.col("depth") + 1).alias("at"))
+    first = found.filter("depth = 0").join(starts, "node", "left_semi").select("root", F.col("node").alias("entry"), F.lit(0).alias("at"))
+    entries = keep(first.unionByName(later).groupBy("root", "entry").agg(F.min("at").alias("at")).filter(F.col("at") < max_depth), "entries")
+    ways = keep(entries.groupBy("entry").agg((max_depth - F.min("at")).alias("left")).select("entry", "left", F.col("entry").alias("node"), F.array("entry").alias("way")), "ways")
+    circles = []
+    for length in range(1, max_depth + 1):
+        step = ways.filter(F.col("left") >= length).join(inside, ways.node == inside.source).select("entry", "left", F.col("target").alias("node"), "way")
         again = F.array_contains("way", F.col("node"))
-        found = found.unionByName(step.filter(again).select("root", "node", F.lit(max_depth).alias("depth"), F.lit(True).alias("back")))
-        if depth < max_depth:
-            frontier = step.filter(~again).select("root", "node", F.concat("way", F.array("node")).alias("way"))
-            found = found.unionByName(frontier.select("root", "node", F.lit(depth).alias("depth"), F.lit(False).alias("back")))
-    return found.groupBy("root", "node").agg(F.min("depth").alias("depth"), F.max("back").alias("cycle")).filter(F.col("depth") < max_depth)
+        step = keep(step.withColumn("again", again), "steps")
+        circles.append(step.filter("again").select("entry", "node").distinct().withColumn("length", F.lit(length)))
+        # of paths over the same nodes to the same end one is enough
+        ways = step.filter("not again").select("entry", "left", "node", F.array_sort(F.concat("way", F.array("node"))).alias("way")).distinct()
+        if step.isEmpty():
+            break
+    closed = circles[0]
+    for c in circles[1:]:
+        closed = closed.unionByName(c)
+    closed = closed.groupBy("entry", "node").agg(F.min("length").alias("length"))
+    marked = entries.join(closed, "entry").filter(F.col("at") + F.col("length") <= max_depth).select("root", "node", F.lit(True).alias("cycle")).distinct()
+    return found.join(marked, ["root", "node"], "left").select("root", "node", "depth", F.coalesce("cycle", F.lit(False)).alias("cycle"))
+
+
+def call_edges(deps: DataFrame, functions: DataFrame, classes: DataFrame, variables: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, name, target, path): what each function calls, by deps that don't look like literals; target and path are null where nothing is known under that name.
+
+    Calls mean functions, method calls methods, class references the class's init method.
+    """
+    calls = deps.filter(F.col("dependency_type").isin("function_call", "method_call", "class_reference") & ~is_likely_literal(F.col("name")) & F.col("source_function_id").isNotNull())
+    # classes are no targets of calls here: only class references run an init method
+    told = resolve(calls, functions, classes.limit(0), variables.limit(0)).filter("dependency_type != 'class_reference'").select("id", F.col("target_id").alias("target"))
+    made = resolve(calls.filter("dependency_type = 'class_reference'"), functions.limit(0), classes, variables.limit(0))
+    known = F.col("target_class_id").isNotNull()
+    made = made.withColumn("target_id", F.coalesce("target_class_id", "target_id")).withColumn("target_kind", F.when(known, "class").otherwise(F.col("target_kind")))
+    inits = call_functions(made, functions).select("id", F.col("function_id").alias("target"))
+    target = calls.join(told.unionByName(inits), "id", "left").select(F.col("source_function_id").alias("source"), "name", "target").distinct()
+    path = functions.select(F.col("id").alias("target"), "file_id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id", "left").select("target", "path")
+    return target.join(path, "target", "left").select("source", "name", "target", "path")
+
+
+def root_functions(functions: DataFrame, classes: DataFrame, symbol: str) -> DataFrame:
+    """(node): where a walk from symbol starts. A class has its methods; `Class.method` (cut at the first dot) the method of least id in the class of least id; any other name the function of least id, one in a class before others."""
+    named = classes.filter(F.col("name") == symbol).agg(F.min("id").alias("id"))
+    methods = functions.filter("parent_type = 'class'")
+    whole = methods.join(named, methods.parent_id == named.id).select(methods.id.alias("node"))
+    if "." in symbol:
+        owner, method = symbol.split(".", 1)
+        of = classes.filter(F.col("name") == owner).agg(F.min("id").alias("owner"))
+        one = methods.filter(F.col("name") == method).join(of, F.col("parent_id") == F.col("owner")).agg(F.min("id").alias("node"))
+    else:
+        order = F.struct(F.when(F.col("parent_type") == "class", 0).otherwise(1), F.col("id"))
+        one = functions.filter(F.col("name") == symbol).agg(F.min_by("id", order).alias("node"))
+    plain = one.join(named.filter("id is not null").select(F.lit(1)), how="left_anti")
+    return whole.unionByName(plain).filter("node is not null")
+
+
+def walk_calls(edges: DataFrame, roots: DataFrame, functions: DataFrame, max_depth: int = 5, external: bool = False, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(root, id, name, kind, depth, cycle, callees) of a walk over call_edges(): ids are `f:` and the function's, or `ext:` and the name of what isn't known.
+
+    callees are ids in the order of text; those at max_depth have none. External leaves are told if asked for.
+    """
+    known = edges.filter("target is not null")
+    tree = keep(call_tree(known, roots, max_depth, exclude), "tree")
+    inner = known.filter(~F.exists(F.array(*map(F.lit, exclude)), lambda p: F.col("path").startswith(p))) if exclude else known
+    callee = inner.select("source", F.concat(F.lit("f:"), F.col("target").cast("string")).alias("callee")).distinct()
+    left_out = edges.filter("target is null and name is not null and name != ''").select("source", F.concat(F.lit("ext:"), "name").alias("callee"), "name").distinct()
+    open_nodes = tree.filter(F.col("depth") < max_depth)
+    callee = callee.unionByName(left_out.select("source", "callee")) if external else callee
+    listed = callee.join(open_nodes.select(F.col("node").alias("source")).distinct(), "source", "left_semi").groupBy("source").agg(F.array_sort(F.collect_set("callee")).alias("callees"))
+    told = tree.join(functions.select(F.col("id").alias("node"), "name", F.when(F.col("parent_type") == "class", "method").otherwise("function").alias("kind")), "node").join(listed, F.col("node") == F.col("source"), "left")
+    empty = F.array().cast("array<string>")
+    callees = F.when(F.col("depth") < max_depth, F.coalesce("callees", empty)).otherwise(empty)
+    out = told.select("root", F.concat(F.lit("f:"), F.col("node").cast("string")).alias("id"), "name", "kind", "depth", "cycle", callees.alias("callees"))
+    if external:
+        far = open_nodes.join(left_out, F.col("node") == F.col("source")).groupBy("root", F.col("callee").alias("id"), "name").agg((F.min("depth") + 1).alias("depth"))
+        out = out.unionByName(far.select("root", "id", "name", F.lit("external").alias("kind"), "depth", F.lit(False).alias("cycle"), empty.alias("callees")))
+    return out
 
 
 def chain_ends(pointers: DataFrame) -> DataFrame:
-    """(id, last, hops) for each row (id, next) of a forest of pointers: where following next ends.
+    """(id, last, hops) for each row (id, next): where following next ends.
 
-    Pointers jump twice as far each round, so long chains need few rounds. A chain that runs into a
-    circle ends at the least id of the circle reached.
+    Pointers jump twice as far each round, until the places reached get no fewer: then all of them are
+    ends or on circles, and long chains have taken few rounds. A chain that runs into a circle ends at the
+    least id of that circle, with hops null.
     """
-    state = pointers.select("id", F.coalesce("next", "id").alias("last"), F.col("next").isNotNull().cast("long").alias("hops"), F.col("id").alias("least"))
-    state = keep(state, "chain")
-    for _ in range(40):
-        far = state.select(F.col("id").alias("last"), F.col("last").alias("beyond"), F.col("hops").alias("more"), F.col("least").alias("low"))
-        state = keep(state.join(far, "last", "left").select("id", F.coalesce("beyond", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.least("least", F.coalesce("low", "least")).alias("least"), (F.coalesce("more", F.lit(0)) > 0).alias("moved")), "chain")
-        if not state.filter("moved").limit(1).count():
+    state = keep(pointers.select("id", F.coalesce("next", "id").alias("last"), F.col("next").isNotNull().cast("long").alias("hops")), "chain")
+    places = lambda t: t.select("last").distinct().count()
+    reached = -1
+    while reached != (now := places(state)):
+        reached = now
+        far = state.select(F.col("id").alias("last"), F.col("last").alias("beyond"), F.col("hops").alias("more"))
+        after = state.join(far, "last", "left").select("id", F.coalesce("beyond", "last").alias("last"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        before, state = state, keep(after, "chain")
+        drop_kept(before)
+    ends = pointers.filter("next is not null").select("id", "next")
+    circle = state.select(F.col("last").alias("id")).distinct().join(ends, "id")
+    least = keep(circle.select("id", F.col("next").alias("to"), F.col("id").alias("least")), "circle")
+    while not least.isEmpty():
+        far = least.select(F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("least").alias("low"))
+        after = keep(least.join(far, "to").select("id", F.col("beyond").alias("to"), F.least("least", "low").alias("least"), (F.col("low") < F.col("least")).alias("moved")), "circle")
+        moved = not after.filter("moved").isEmpty()
+        drop_kept(least)
+        least = after.select("id", "to", "least")
+        if not moved:
             break
-    circle = F.col("moved")
-    return state.select("id", F.when(circle, F.col("least")).otherwise(F.col("last")).alias("last"), F.when(circle, None).otherwise(F.col("hops")).alias("hops"))
+    on = least.select(F.col("id").alias("last"), "least")
+    return state.join(on, "last", "left").select("id", F.coalesce("least", "last").alias("last"), F.when(F.col("least").isNull(), F.col("hops")).alias("hops"))
 
 
-def chain_members(pointers: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """(start, id, hop): each start (id) and what follows it along next, up to most hops; circles end at the first repeat.
+def chain_members(pointers: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, id, hop): each start (id) and what follows it along next, up to most hops if told; circles end at the first repeat.
 
     Pointers jump twice as far each round, and what has been reached so far jumps along: rounds grow with the
-    logarithm of the longest chain.
+    logarithm of the longest chain. Only what the last round has added is counted.
     """
     jumps = keep(pointers.filter("next is not null").select("id", F.col("next").alias("to")), "jumps")
     found, reach = keep(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hop")), "reached"), 1
-    while reach <= most:
-        far = found.join(jumps, "id").select("start", F.col("to").alias("id"), (F.col("hop") + reach).alias("hop")).filter(F.col("hop") <= most)
+    size = found.count()
+    while most is None or reach <= most:
+        far = found.join(jumps, "id").select("start", F.col("to").alias("id"), (F.col("hop") + reach).alias("hop"))
+        far = far if most is None else far.filter(F.col("hop") <= most)
         after = keep(found.unionByName(far).groupBy("start", "id").agg(F.min("hop").alias("hop")), "reached")
-        grown = after.count() > found.count()
+        before, size = size, after.count()
         drop_kept(found)
         found, reach = after, 2 * reach
-        if not grown:
+        if size == before:
             break
         further = keep(jumps.join(jumps.select(F.col("id").alias("to"), F.col("to").alias("beyond")), "to").select("id", F.col("beyond").alias("to")), "jumps")
         drop_kept(jumps)
@@ -69,10 +191,10 @@ def chain_members(pointers: DataFrame, starts: DataFrame, most: int = 1000) -> D
     return found
 
 
-def call_lines(tree: DataFrame, names: DataFrame, edges: DataFrame) -> DataFrame:
-    """(root, line): each node of a call tree as a JSON line with its name, depth, cycle and sorted callees."""
+def call_lines(tree: DataFrame, names: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(root, line): each node of a call tree as a JSON line with its name, depth, cycle and the sorted names of what it calls; nodes at max_depth have no calls."""
     inside = tree.select("root", F.col("node").alias("target"))
-    calls = tree.join(edges.select(F.col("source").alias("node"), "target").distinct(), "node").join(inside, ["root", "target"])
+    calls = tree.filter(F.col("depth") < max_depth).join(edges.select(F.col("source").alias("node"), "target").distinct(), "node").join(inside, ["root", "target"])
     named = calls.join(names.select(F.col("id").alias("target"), F.col("name").alias("callee")), "target").groupBy("root", "node").agg(F.array_sort(F.collect_set("callee")).alias("calls"))
     full = tree.join(names.select(F.col("id").alias("node"), "name"), "node").join(named, ["root", "node"], "left")
     return full.select("root", F.to_json(F.struct("name", "depth", "cycle", F.coalesce("calls", F.array().cast("array<string>")).alias("calls"))).alias("line"))

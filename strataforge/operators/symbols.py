@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataforge.storage import keep
+
 #: Dependency kinds in the order of reports.
 DEPENDENCY_KINDS = ("import", "function_call", "method_call", "class_reference", "variable_reference", "module_reference")
 
@@ -212,7 +214,10 @@ def resolve(deps: DataFrame, functions: DataFrame, classes: DataFrame, variables
     kind = F.col("dependency_type")
     # the least of each file and the least of all are enough, so that a common name makes no pairs
     best = symbols.groupBy("wanted", "target_kind", "kind_ord", "target_file").agg(F.min("target_id").alias("all_id"), F.min(F.when(F.coalesce("in_class", F.lit(False)), F.col("target_id"))).alias("class_id"))
+    # written first, so that joins deal out the rows of a common name anew where they are too many
+    best = keep(best, "names")
     any_file = best.groupBy("wanted", "target_kind", "kind_ord").agg(F.min("all_id").alias("all_id"), F.min("class_id").alias("class_id"))
+    any_file = keep(any_file, "anywhere")
     near = wanted.join(best.withColumnRenamed("target_file", "file_id"), ["wanted", "file_id"]).withColumn("far", F.lit(0))
     anywhere = wanted.join(any_file, "wanted").withColumn("far", F.lit(1))
     fits = F.when(kind.isin("function_call", "method_call"), F.col("target_kind").isin("function", "class")).when(kind == "class_reference", F.col("target_kind") == "class").when(kind == "variable_reference", F.col("target_kind") == "variable").otherwise(False)
@@ -245,11 +250,20 @@ def remove_files(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, Dat
     return rest
 
 
+#: Signs of an expression. A name with two of them or more is one.
+_OPERATORS = ("+", "-", "*", "/", "=", "==", "!=", "<", ">", "<=", ">=")
+
+
 def is_likely_literal(name: Column) -> Column:
-    """Whether a dependency's name looks like a literal or an expression."""
-    operators = ("+", "-", "*", "/", "=", "==", "!=", "<", ">", "&&", "||")
-    many = sum((F.contains(name, F.lit(x)).cast("int") for x in operators[1:]), F.contains(name, F.lit(operators[0])).cast("int"))
-    return F.contains(name, F.lit('"')) | F.contains(name, F.lit("'")) | F.contains(name, F.lit(" ")) | F.contains(name, F.lit(".format(")) | (many >= 2)
+    """Whether a dependency's name looks like a literal or an expression.
+
+    Quotes, blanks, `.format(`, two percent signs beside an open bracket, or two of the operators make it
+    one; signs in signs count each, so `==` is two.
+    """
+    has = lambda x: F.contains(name, F.lit(x))
+    operators = F.size(F.filter(F.array(*map(F.lit, _OPERATORS)), lambda x: F.contains(name, x)))
+    percents = F.length(name) - F.length(F.replace(name, F.lit("%"), F.lit("")))
+    return has('"') | has("'") | has(" ") | has(".format(") | ((percents > 1) & has("(")) | (operators >= 2)
 
 
 def format_parameters(parameters: Column) -> Column:

@@ -107,7 +107,11 @@ _add(
     "((d.dependency_type = 'function_call' AND t.o < 2) OR (d.dependency_type = 'method_call' AND (t.o = 1 OR (t.o = 0 AND t.parent_type = 'class'))) OR (d.dependency_type = 'class_reference' AND t.o = 1) OR (d.dependency_type = 'variable_reference' AND t.o = 2)) "
     "QUALIFY row_number() OVER (PARTITION BY d.id ORDER BY t.o NULLS LAST, CASE WHEN t.file_id = d.file_id THEN 0 ELSE 1 END, t.sid) = 1",
 )
-_add("literal_filter", lambda d: _two(d.filter(~symbols.is_likely_literal(F.col("name")))), "deps", """SELECT id, name FROM deps WHERE NOT (contains(name, '"') OR contains(name, '''') OR contains(name, ' ') OR contains(name, '.format('))""")
+_LITERAL = (
+    """(contains(name, '"') OR contains(name, '''') OR contains(name, ' ') OR contains(name, '.format(') OR (contains(name, '(') AND len(string_split(name, '%')) > 2) OR """
+    "len(list_filter(['+', '-', '*', '/', '=', '==', '!=', '<', '>', '<=', '>='], lambda x: contains(name, x))) >= 2)"
+)
+_add("literal_filter", lambda d: d.filter(~symbols.is_likely_literal(F.col("name"))).select("id", "name"), "names", f"SELECT id, name FROM names WHERE NOT {_LITERAL}")
 # reports
 _add(
     "file_summary", lambda a, f, c, v: symbols.nested(a.select("id", "path"), {"functions": f, "classes": c, "variables": v}, "file_id").select("id", "path", *(F.array_join(x, ",").alias(x) for x in ("functions", "classes", "variables"))), "files functions classes variables",
@@ -125,12 +129,45 @@ _add(
 _add("source_slice", lambda a: a.select("id", symbols.source_lines(F.col("content"), F.lit(2), F.lit(4)).alias("lines")), "files", "SELECT id, array_to_string(string_split(content, chr(10))[2:4], chr(10)) AS lines FROM files")
 # graph
 _ROOTS = "SELECT id AS node FROM functions WHERE name = 'blue anvil'"
+# every path on which no node comes twice is walked, and a callee is told before it is asked whether it is walked on from
+_WALK = (
+    "WITH w AS (SELECT node AS root, node, 0 AS depth, [node] AS way, false AS back FROM ({roots}) UNION ALL SELECT w.root, e.target, w.depth + 1, list_append(w.way, e.target), list_contains(w.way, e.target) FROM w JOIN {edges} e ON e.source = w.node WHERE NOT w.back AND w.depth < {depth} AND {where}), "
+    "t AS (SELECT root, node, CAST(min(depth) AS BIGINT) AS depth, bool_or(back) AS cycle FROM w GROUP BY root, node) "
+)
 for _name, _exclude, _where in (("call_tree", (), "true"), ("call_tree_exclude", ("src1",), "NOT starts_with(e.path, 'src1')")):
     _add(
         _name, lambda e, f, x=_exclude: graph.call_tree(e, symbols.by_name(f, "blue anvil").select(F.col("id").alias("node")), 3, x).select("root", "node", F.col("depth").cast("long").alias("depth"), "cycle"), "edges functions",
-        f"WITH w AS (SELECT node AS root, node, 0 AS depth, [node] AS way, false AS back FROM ({_ROOTS}) UNION ALL SELECT w.root, e.target, w.depth + 1, list_append(w.way, e.target), list_contains(w.way, e.target) FROM w JOIN edges e ON e.source = w.node WHERE NOT w.back AND w.depth < 3 AND {_where}) "
-        "SELECT root, node, CAST(min(CASE WHEN back THEN 3 ELSE depth END) AS BIGINT) AS depth, bool_or(back) AS cycle FROM w WHERE depth < 3 OR back GROUP BY root, node HAVING min(CASE WHEN back THEN 3 ELSE depth END) < 3",
+        _WALK.format(roots=_ROOTS, edges="edges", depth=3, where=_where) + "SELECT root, node, depth, cycle FROM t",
     )
+_FIRST = "(SELECT min(f.id) FROM code_functions f WHERE {})"
+_METHOD = "f.parent_type = 'class' AND f.name = regexp_replace(d.name, '^.*[.]', '')"
+_CALLS = (
+    "(SELECT DISTINCT source, c.name, target, g.path FROM (SELECT source_function_id AS source, name, CASE dependency_type WHEN 'function_call' THEN coalesce(" + _FIRST.format("f.name = d.name AND f.file_id = d.file_id") + ", " + _FIRST.format("f.name = d.name") + ") "
+    "WHEN 'method_call' THEN coalesce(" + _FIRST.format(_METHOD + " AND f.file_id = d.file_id") + ", " + _FIRST.format(_METHOD) + ") ELSE "
+    + _FIRST.format("f.name = '__init__' AND f.parent_type = 'class' AND f.parent_id = coalesce(d.target_class_id, (SELECT min(c.id) FROM classes c WHERE c.name = d.name AND c.file_id = d.file_id), (SELECT min(c.id) FROM classes c WHERE c.name = d.name))")
+    + f" END AS target FROM code_deps d WHERE NOT {_LITERAL}) c LEFT JOIN code_functions f ON f.id = c.target LEFT JOIN files g ON g.id = f.file_id)"
+)
+_SYMBOLS = ("blue_anvil", "Supplier#000000003", "Supplier#000000004.small_widget")
+
+
+def _walked(d: DataFrame, f: DataFrame, c: DataFrame, v: DataFrame, a: DataFrame) -> DataFrame:
+    roots = graph.root_functions(f, c, _SYMBOLS[0]).unionByName(graph.root_functions(f, c, _SYMBOLS[1])).unionByName(graph.root_functions(f, c, _SYMBOLS[2])).distinct()
+    walked = graph.walk_calls(graph.call_edges(d, f, c, v, a), roots, f, 3, True, ("src1/",))
+    return walked.select("root", "id", "name", "kind", F.col("depth").cast("long").alias("depth"), "cycle", F.array_join("callees", ",").alias("callees"))
+
+
+_IN_CLASS = "SELECT {} FROM code_functions WHERE parent_type = 'class' AND parent_id = (SELECT min(id) FROM classes WHERE name = '{}')"
+_add(
+    "walk_calls", _walked, "code_deps code_functions classes variables files",
+    _WALK.replace("WITH w", f"WITH calls AS MATERIALIZED {_CALLS}, w").format(
+        roots=f"SELECT arg_min(id, CASE WHEN parent_type = 'class' THEN id ELSE id + 1000000000 END) AS node FROM code_functions WHERE name = '{_SYMBOLS[0]}' UNION {_IN_CLASS.format('id', _SYMBOLS[1])} UNION {_IN_CLASS.format('min(id)', 'Supplier#000000004')} AND name = 'small_widget' HAVING min(id) IS NOT NULL",
+        edges="calls", depth=3, where="e.target IS NOT NULL AND (e.path IS NULL OR NOT starts_with(e.path, 'src1/'))",
+    )
+    + ", o AS (SELECT DISTINCT root, t.depth, c.source, coalesce('f:' || c.target, 'ext:' || c.name) AS callee, c.name FROM t JOIN calls c ON c.source = t.node WHERE t.depth < 3 AND (c.target IS NULL OR c.path IS NULL OR NOT starts_with(c.path, 'src1/'))), "
+    "l AS (SELECT root, source, string_agg(DISTINCT callee, ',' ORDER BY callee) AS callees FROM o GROUP BY root, source) "
+    "SELECT t.root, 'f:' || t.node AS id, f.name, CASE WHEN f.parent_type = 'class' THEN 'method' ELSE 'function' END AS kind, t.depth, t.cycle, coalesce(l.callees, '') AS callees FROM t JOIN code_functions f ON f.id = t.node LEFT JOIN l ON l.root = t.root AND l.source = t.node "
+    "UNION ALL SELECT root, callee, name, 'external', min(depth) + 1, false, '' FROM o WHERE starts_with(callee, 'ext:') GROUP BY root, callee, name",
+)
 _add("redirect_chain", lambda p: graph.chain_ends(p).select("id", "last", "hops"), "pointers", "SELECT id, last_value(id) OVER w AS last, count(*) OVER w - 1 AS hops FROM pointers WINDOW w AS (PARTITION BY o_custkey ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _add(
     "changes_by_chain", lambda p, c: sessions.by_chain(graph.chain_members(p, p).withColumn("id", F.col("id") % 150), c).groupBy("start").agg(F.count("*").alias("n"), F.min("id").alias("first")), "pointers changes",
@@ -204,7 +241,12 @@ _add(
     "WITH k AS (SELECT c.file_id, struct_pack(name := c.name, methods := " + _OWN[0] + ", variables := " + _OWN[1] + ") AS c FROM classes c), g AS (SELECT file_id, list_sort(list(c)) AS classes FROM k GROUP BY file_id) "
     "SELECT f.path, CAST(to_json(struct_pack(path := f.path, language := f.language, functions := " + _NAMES.format(t="functions", k="file_id", o="f", w="x.parent_id IS NULL") + ", classes := coalesce(g.classes, []), variables := " + _NAMES.format(t="variables", k="file_id", o="f", w="x.parent_id IS NULL") + ")) AS VARCHAR) AS document FROM files f LEFT JOIN g ON g.file_id = f.id",
 )
-_add("call_tree_lines", lambda e, f: graph.call_lines(graph.call_tree(e, f.select(F.col("id").alias("node")), 2), f, e).groupBy("root").agg(F.count("*").alias("n_lines")), "edges functions", "SELECT f.id AS root, count(DISTINCT target) FILTER (target <> f.id) + 1 AS n_lines FROM functions f LEFT JOIN edges ON source = f.id GROUP BY f.id")
+_add(
+    "call_tree_lines", lambda e, f: graph.call_lines(graph.call_tree(e, f.select(F.col("id").alias("node")), 2), f, e, 2).groupBy("root").agg(F.count("*").alias("n_lines"), F.md5(F.array_join(F.array_sort(F.collect_list("line")), "\n")).alias("lines_md5")), "edges functions",
+    _WALK.format(roots="SELECT id AS node FROM functions", edges="edges", depth=2, where="true")
+    + ", l AS (SELECT t.root, t.node, list(DISTINCT c.name ORDER BY c.name) AS calls FROM t JOIN edges e ON e.source = t.node JOIN functions c ON c.id = e.target WHERE t.depth < 2 GROUP BY t.root, t.node) "
+    "SELECT root, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5 FROM (SELECT t.root, CAST(json_object('name', f.name, 'depth', t.depth, 'cycle', t.cycle, 'calls', coalesce(l.calls, CAST([] AS VARCHAR[]))) AS VARCHAR) AS line FROM t JOIN functions f ON f.id = t.node LEFT JOIN l ON l.root = t.root AND l.node = t.node) GROUP BY root",
+)
 _add("method_calls", lambda d: _two(symbols.dependencies(d, source=12, kind="method_call")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'method_call'")
 _add("class_references", lambda d: _two(symbols.dependencies(d, source=12, kind="class_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'class_reference'")
 _add("variable_references", lambda d: _two(symbols.dependencies(d, source=12, kind="variable_reference")), "deps", _DEP + "source_function_id = 12 AND dependency_type = 'variable_reference'")

@@ -26,6 +26,18 @@ SELECTS = {
     "edges": (
         "SELECT DISTINCT source, target, 'src' || CAST(target % 20 AS STRING) || '/' AS path FROM (SELECT l_partkey AS source, LEAD(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS target FROM {lineitem}) AS e WHERE target IS NOT NULL"
     ),
+    # code whose names have no blanks, with init methods, names that nothing defines and classes found while indexing
+    "code_functions": (
+        "SELECT p_partkey AS id, p_partkey % 200 AS file_id, CASE WHEN p_size % 10 = 0 THEN '__init__' ELSE replace(p_name, ' ', '_') END AS name, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_partkey % 10 + 1 END AS parent_id, "
+        "CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 'class' END AS parent_type FROM {part}"
+    ),
+    "code_deps": (
+        "SELECT DISTINCT CAST(l_partkey AS STRING) || ':' || kind || ':' || name || ':' || coalesce(CAST(target_class_id AS STRING), '') AS id, l_partkey AS source_function_id, l_partkey % 200 AS file_id, kind AS dependency_type, name, target_class_id FROM ("
+        "SELECT l_partkey, CASE l_returnflag WHEN 'A' THEN 'function_call' WHEN 'N' THEN 'method_call' ELSE 'class_reference' END AS kind, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN l_suppkey % 12 + 1 ELSE NULL END AS target_class_id, "
+        "CASE WHEN l_linenumber = 3 THEN 'lib.' || l_linestatus WHEN l_linenumber = 5 AND l_linestatus = 'F' THEN 'a<=b' WHEN l_returnflag = 'A' THEN replace(p_name, ' ', '_') WHEN l_returnflag = 'N' THEN 'self.x.' || replace(p_name, ' ', '_') ELSE s_name END AS name "
+        "FROM {lineitem} JOIN {part} ON p_partkey = l_suppkey % 200 + 1 JOIN {supplier} ON s_suppkey = l_suppkey % 10 + 1) AS c"
+    ),
+    "names": "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 12 WHEN 0 THEN 'a&&b||c' WHEN 1 THEN 'fmt(%s,%d)' WHEN 2 THEN 'fmt(%s)' WHEN 3 THEN 'x<=y' WHEN 4 THEN 'x++' WHEN 5 THEN 'i-j/k' WHEN 6 THEN '%a%b' WHEN 7 THEN 'it''s' WHEN 8 THEN 't.format(x)' WHEN 9 THEN 'echo ls' WHEN 10 THEN 'a==b' ELSE 'call' || CAST(l_suppkey AS STRING) END AS name FROM {lineitem}",
     "messages": "SELECT conv_id AS session_id, turn, role, text FROM {conversations}",
     "pointers": "SELECT o_orderkey AS id, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next, o_custkey FROM {orders}",
     "lists": "SELECT o_orderkey AS list_id, o_orderkey AS id, o_custkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status FROM {orders}",
