@@ -17,12 +17,14 @@ from strataforge.storage import keep
 #: No source is taken more often than this.
 MOST = 3
 WEIGHTS = (1, 2, 3)
-#: Slots of the schedule aimed at, as long as blocks don't get longer than LONGEST words.
-SLOTS, LONGEST = 1 << 19, 1024
+#: Slots of the schedule aimed at, as long as blocks don't get longer than LONGEST words; they do where there would be over MOST_SLOTS.
+SLOTS, LONGEST, MOST_SLOTS = 1 << 19, 1024, 1 << 31
 #: Each source has blocks enough that its target takes so many of them, as far as it has words.
 LEAST = 64
-#: The golden ratio's fraction of a circle of 2**62 points, in two halves of 31 bits: the points stay golden over 2**32 slots.
+#: The golden ratio's fraction of a circle of 2**62 points, in two halves of 31 bits: the points stay golden over 2**60 slots.
 STEP, HALF = 2850178704830799621, 1 << 31
+#: Parts of a slot that shares of the circle are told apart by.
+FINE = 1 << 20
 #: Parts of a source's shuffled line that are summed apart, so that no task holds a whole source.
 PARTS = 1024
 
@@ -31,32 +33,54 @@ def _size(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with the sums (of longs) over all rows up to each in some order, itself included; no task has them all.
+
+    Rows are dealt out by ranges of the first column of the order and written; only one row a range is brought together.
+    """
+    dealt = keep(rows.withColumns({f"_{k}": v for k, v in sums.items()}).repartitionByRange(order[0]).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy("_range").agg(*(F.sum(f"_{k}").alias(f"_all_{k}") for k in sums))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    base = keep(ranges.select("_range", *(F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_base_{k}") for k in sums)), "bases")
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = dealt.join(base, "_range").withColumns({k: F.col(f"_base_{k}") + F.sum(f"_{k}").over(inside) for k in sums})
+    return told.drop("_range", *(f"{x}_{k}" for k in sums for x in ("", "_base")))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, size) to (source, source_size, target): one row for each source.
 
     Sources by code point, null last, weigh WEIGHTS in turn and share all words; targets stop at MOST
-    times the source's words and the rest goes to the others by weight. Only one row a source is
-    brought together here, not documents.
+    times the source's words and the rest goes to the others by weight. Sources are ranked by ranges: there
+    may be as many as there are hosts.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weigh = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS)) + 1)
-    weighed = by_source.withColumn("weight", weigh.cast("double")).withColumn("most", (MOST * F.col("source_size")).cast("double"))
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], rank=F.lit(1).cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("rank") - 1) % len(WEIGHTS) + 1).cast("int"))
+    weighed = ranked.withColumn("weight", weight.cast("long")).drop("rank").withColumn("most", MOST * F.col("source_size")).withColumn("fill", F.col("most") / F.col("weight"))
     # sources that fill first come first: those up to here have all they can, the rest share what is left by weight
-    fill = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, behind = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
-    left = F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    share = left / F.sum("weight").over(behind)
-    level = weighed.withColumn("share", share).withColumn("full", F.col("share") * F.col("weight") >= F.col("most"))
+    filled = keep(running(weighed, [F.col("fill"), F.col("source").asc_nulls_last()], held=F.col("most"), passed=F.col("weight")), "filled")
+    every = filled.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()
+    left = F.lit(every["words"] or 0) - (F.col("held") - F.col("most"))
+    share = left / (F.lit(every["weight"] or 0) - (F.col("passed") - F.col("weight")))
+    level = filled.withColumn("share", share.cast("double")).withColumn("full", F.col("share") * F.col("weight") >= F.col("most"))
     # the first source that isn't full sets the level of all after it; counted on as if full, those only have lower shares
-    common = F.max(F.when(~F.col("full"), F.col("share"))).over(Window.partitionBy())
-    return level.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(common * F.col("weight")).alias("target"))
+    common = level.agg(F.max(F.when(~F.col("full"), F.col("share")))).first()[0] or 0.0
+    return level.select("source", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(F.lit(common) * F.col("weight")).alias("target"))
 
 
-def point(slot: Column) -> Column:
-    """Where a slot below 2**32 lies on the circle, from 0 to under 1. Whole numbers only, none over 2**63, and 52 bits of the product are kept."""
+def _place(slot: Column) -> Column:
+    """slot * STEP on the circle of HALF**2 points, for slots below HALF. Whole numbers only, none over 2**63."""
     high = slot * (STEP // HALF) % HALF * HALF
-    return F.shiftright((high + slot * (STEP % HALF) % (HALF * HALF)) % (HALF * HALF), 10) / F.lit(float(1 << 52))
+    return (high + slot * (STEP % HALF) % (HALF * HALF)) % (HALF * HALF)
+
+
+def point(slot: Column) -> Column:
+    """Where a slot (below 2**62) lies on the circle, from 0 to under 1, to 52 bits."""
+    far, near = F.shiftright(slot, 31), slot.bitwiseAND(F.lit(HALF - 1))
+    # of far's place only the low half is left when it goes round HALF times
+    place = (_place(far).bitwiseAND(F.lit(HALF - 1)) * HALF + _place(near)) % (HALF * HALF)
+    return F.shiftright(place, 10) / F.lit(float(1 << 52))
 
 
 def schedule(sources: DataFrame) -> DataFrame:
@@ -79,7 +103,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     ranked = dealt.join(base, ["source_key", "slice"]).select("slot", "source_key", turn.alias("turn"), "blocks", "aim").filter(F.col("turn") < F.col("aim"))
     have = sources.join(counts.groupBy("source_key").agg(F.sum("n").alias("n")), "source_key", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     lacking = have.filter(F.col("n") < F.col("aim")).select("source_key", F.explode(F.sequence("n", F.col("aim") - 1)).alias("turn"), "blocks", "aim")
-    last = lacking.select((F.row_number().over(Window.orderBy("turn", "source_key")) - 1 + n).alias("slot"), "source_key", "turn", "blocks", "aim")
+    last = running(lacking, [F.col("turn"), F.col("source_key")], place=F.lit(1).cast("long")).select((F.col("place") - 1 + n).alias("slot"), "source_key", "turn", "blocks", "aim")
     return ranked.unionByName(last).select("slot", "source_key", "turn", (F.col("turn") % F.col("blocks")).alias("block"))
 
 
@@ -91,17 +115,18 @@ def _taken(docs: DataFrame, seed: int) -> DataFrame:
     sized = keep(sized.withColumns({"source_key": key, "order": F.xxhash64("doc_id", F.lit(seed))}), "sizes")
     aims = keep(targets(sized).withColumn("source_key", key), "targets")
     total = aims.agg(F.sum("source_size")).first()[0] or 0
-    block = max(1, min(LONGEST, total // SLOTS))
+    block = max(1, min(LONGEST, total // SLOTS), -(-total // MOST_SLOTS))
     # a slot more or less is a small part of any source's target, however long the others' blocks
     fine = F.when(F.col("target") > 0, F.ceil(LEAST * F.col("source_size") / F.col("target"))).otherwise(0)
     blocks = F.greatest(F.lit(1), F.least("source_size", F.greatest(F.floor(F.col("source_size") / block), fine)))
     slots = F.when(F.col("source_size") > 0, F.col("target") * blocks / F.col("source_size")).otherwise(0.0)
     planned = aims.select("source_key", "source_size", blocks.alias("blocks"), slots.alias("slots"))
     aim = F.least(F.round("slots").cast("long"), MOST * F.col("blocks"))
-    every = F.sum("slots").over(Window.partitionBy())
-    line = Window.orderBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
-    high = F.sum("slots").over(line)
-    planned = planned.select("source_key", "source_size", "blocks", aim.alias("aim"), ((high - F.col("slots")) / every).alias("low"), (high / every).alias("high"), F.round(every).cast("long").alias("total"))
+    # in parts of a slot, so that sums are the same in any order
+    planned = running(planned.withColumn("parts", F.round(F.col("slots") * FINE).cast("long")), [F.col("source_key")], high=F.col("parts"))
+    planned = keep(planned, "shares")
+    every = planned.agg(F.sum("parts")).first()[0] or 1
+    planned = planned.select("source_key", "source_size", "blocks", aim.alias("aim"), ((F.col("high") - F.col("parts")) / every).alias("low"), (F.col("high") / every).alias("high"), F.lit(round(every / FINE)).cast("long").alias("total"))
     planned = keep(planned.filter("source_size > 0"), "plan")
     taken = schedule(planned).groupBy("source_key", "block").agg(F.count("*").alias("times"))
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from strataforge.llm.lang_id import fold
 from strataforge.storage import drop_kept, keep
 
-#: Labelled documents learned from at most, those with the least hash of their id; and tokens in the model at most.
-MOST_LABELLED, MOST_TOKENS = 40_000, 20_000
+#: Labelled documents learned from at most, those with the least hash of their id. The model has a number for each token that tells toxic ones among them.
+MOST_LABELLED = 40_000
 #: The Dirichlet prior of a token: a share of its own documents and a part of one, which keeps what is in one class only from counting as unknown.
 PRIOR, FLOOR = 0.01, 0.25
 #: Tokens whose log-odds are within so many standard deviations of 0 score as any other token. With FLOOR, the best of 12 settings by cross-validation within the rows learned from.
@@ -39,25 +39,26 @@ def tokens(text: str | None) -> list[str]:
 
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (start, end, score), disjoint, in linear time (Ruzzo and Tompa)."""
-    found: list[tuple[int, int, float, float]] = []  # start, end, sums before and after
+    """All maximal scoring segments (start, end, score), disjoint, in linear time (Ruzzo and Tompa).
+
+    Each segment in the list knows the last one before it that begins lower. A search follows these links, so
+    that what one search has passed over no later one looks at again.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after, the last that begins lower
     total = 0.0
     for k, score in enumerate(scores):
         before, total = total, total + score
         if score <= 0:
             continue
-        start, left = k, before
-        while True:
-            # the last segment that begins lower
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= left:
-                j -= 1
-            if j < 0 or found[j][3] >= total:
-                found.append((start, k + 1, left, total))
-                break
-            start, left = found[j][0], found[j][2]
+        start, left, j = k, before, len(found) - 1
+        while j >= 0 and found[j][2] >= left:
+            j = found[j][4]
+        while j >= 0 and found[j][3] < total:
+            start, _, left, _, lower = found[j]
             del found[j:]
-    return [(a, b, after - before) for a, b, before, after in found]
+            j = lower
+        found.append((start, k + 1, left, total, j))
+    return [(a, b, after - before) for a, b, before, after, _ in found]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,7 +93,7 @@ def learn(labelled: DataFrame) -> tuple[dict[str, float], float]:
     a, b = F.col("t") + own, F.col("c") + own
     odds = F.log(a / (n_t + prior - a)) - F.log(b / (n_c + prior - b))
     told = counts.select("token", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"), (b / (n_c + prior)).alias("rate")).filter(F.col("z") >= Z)
-    rows = told.orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+    rows = sorted(told.select("token", "odds", "rate").collect())
     drop_kept(counts)
     # other tokens lose twice what telling tokens gain in texts that are not toxic, so that segments end
     return {r["token"]: r["odds"] for r in rows}, -max(LEAST_LOSS, 2 * sum(r["odds"] * r["rate"] for r in rows))
