@@ -28,10 +28,8 @@ LETTERS = 1 << 10
 UNKNOWN = "und"
 #: A run of letters is usual in a language if at least this part of the language's runs, and so many of them, are it.
 USUAL, USUAL_LEAST = 3e-5, 3
-#: Languages learned at most, those with most rows: what comes to the driver and goes to all tasks then has a fixed bound, whatever is in lang.
-MOST_LANGUAGES = 1000
-#: A language with fewer runs than this can't tell what is unusual in it.
-LEAST_GRAMS = 10_000
+#: Languages that one pass judges: what comes to the driver and goes to all tasks at once has a fixed bound, whatever is in lang. More languages take more passes.
+AT_ONCE = 250
 
 
 @cache
@@ -98,10 +96,10 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame) -> DataFrame:
-    """(lang, prototype) from all rows of docs (text, lang) whose lang is not null: one row for each of the MOST_LANGUAGES languages with most rows, ties by name."""
+    """(lang, prototype) from all rows of docs (text, lang) whose lang is not null: one row for each language."""
     sums = docs.filter("lang is not null").select("text", "lang").mapInArrow(_sum, "lang string, k int, x double").groupBy("lang", "k").agg(F.sum("x").alias("x"))
     whole = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x")))["x"].alias("v"))
-    return whole.orderBy(F.desc(F.element_at("v", -1)), "lang").limit(MOST_LANGUAGES).select("lang", F.slice("v", 1, DIMENSIONS).alias("prototype"))
+    return whole.select("lang", F.slice("v", 1, DIMENSIONS).alias("prototype"))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,88 +128,120 @@ def usual(docs: DataFrame) -> DataFrame:
     """
     counts = keep(docs.filter("lang is not null").select("text", "lang").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).withColumn("least", F.greatest(F.lit(float(USUAL_LEAST)), USUAL * F.col("total")))
-    totals = totals.orderBy(F.desc("total"), "lang").limit(MOST_LANGUAGES)
-    found = counts.join(F.broadcast(totals), "lang").filter("n >= least").groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("codes"))
+    totals = keep(totals, "totals")
+    found = counts.join(totals, "lang").filter("n >= least").groupBy("lang").agg(F.collect_list(F.struct("code", "n")).alias("codes"))
     return totals.join(found, "lang", "left")
 
 
-def _tables(frequent: DataFrame) -> dict[str, tuple[float, int, np.ndarray, np.ndarray]]:
-    """By language: least, total, and the usual runs in order with their counts."""
+def _tables(frequent: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """By language: least, and the usual runs in order with their counts."""
     out = {}
-    for r in frequent.collect():
-        pairs = np.array(sorted(r["codes"] or []), dtype=np.int64).reshape(-1, 2)
-        out[r["lang"]] = r["least"], r["total"], pairs[:, 0], pairs[:, 1]
+    for batch in frequent.select("lang", "least", "codes").toArrow().to_batches():
+        for k, (lang, least) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            pairs = batch.column(2)[k].values
+            codes, counts = (x.to_numpy(zero_copy_only=False) for x in pairs.flatten()) if pairs is not None else (np.zeros(0, dtype=np.int64),) * 2
+            order = np.argsort(codes)
+            out[lang] = least, codes[order].astype(np.int32), counts[order].astype(np.int64)
     return out
 
 
 def _often(tables: dict, codes: np.ndarray) -> dict[str, np.ndarray]:
     """For each language the counts of these runs, 0 where a run isn't usual."""
     out = {}
-    for lang, (_, _, usual_codes, counts) in tables.items():
+    for lang, (_, usual_codes, counts) in tables.items():
         at = np.minimum(np.searchsorted(usual_codes, codes), max(len(usual_codes) - 1, 0))
         out[lang] = np.where(usual_codes[at] == codes, counts[at], 0) if len(usual_codes) else np.zeros(len(codes), dtype=np.int64)
     return out
 
 
-def _judge(langs: list[str], prototypes: np.ndarray, tables: dict | None = None):
-    unit = prototypes / np.maximum(np.linalg.norm(prototypes, axis=1, keepdims=True), 1e-9)
-    # what all languages share doesn't tell them apart
-    centre = unit.mean(axis=0) if len(langs) > 1 else np.zeros(DIMENSIONS)
+def _scrambled(letters: np.ndarray) -> np.ndarray:
+    """A text's letters in another order, with its words as long as before; the same for the same text."""
+    out, at = letters.copy(), np.flatnonzero(letters)
+    out[at] = letters[np.random.default_rng(len(at)).permutation(at)]
+    return out
+
+
+def _judge(langs: list[str], target: np.ndarray, centre: np.ndarray, tables: dict, last: bool, scramble: bool):
+    """Rows (doc_id, text, best, cosine, known, runs, own columns): the best so far against these languages. Without text after the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target = unit - centre
-        target = (target / np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)).T.astype(np.float32)
         for batch in batches:
+            names = batch.schema.names
             for start, held in _parts(batch.column(1)):
-                each = [np.unique(grams(x), return_counts=True) for x in held]
+                part = batch.slice(start, len(held))
+                best, cosines, known, runs = (part.column(k).to_pylist() for k in (2, 3, 4, 5))
+                own_lang = part.column(names.index("own_lang")).to_pylist() if "own_lang" in names else [None] * len(held)
+                each = [np.unique(grams(_scrambled(x) if scramble else x), return_counts=True) for x in held]
                 codes = np.unique(np.concatenate([c for c, _ in each]))
-                vectors = bound(codes)
-                often = _often(tables or {}, codes)
-                own_lang = batch.column(batch.schema.names.index("own_lang")).slice(start, len(held)).to_pylist() if "own_lang" in batch.schema.names else [None] * len(held)
-                best, score, known = [], [], []
-                for (own, counts), lang in zip(each, own_lang):
+                vectors, often = bound(codes), _often(tables, codes)
+                for k, (own, counts) in enumerate(each):
                     if not len(own) or not langs:
-                        best.append(UNKNOWN)
-                        score.append(0.0)
-                        known.append(0.0)
                         continue
+                    runs[k] = int(counts.sum())
                     place = np.searchsorted(codes, own)
                     profile = counts.astype(np.float32) @ vectors[place]
                     profile = profile / max(float(np.linalg.norm(profile)), 1e-9) - centre
                     cosine = profile @ target / max(float(np.linalg.norm(profile)), 1e-9)
-                    k = int(np.argmax(cosine))
-                    best.append(langs[k])
-                    score.append(min(1.0, max(0.0, float(cosine[k]))))
-                    if tables is None or langs[k] not in tables or tables[langs[k]][1] < LEAST_GRAMS:
-                        known.append(1.0)
-                    else:
-                        # a text doesn't make its own runs usual
-                        known.append(max(float(counts[often[x][place] - (counts if x == lang else 0) >= tables[x][0]].sum()) for x in tables) / float(counts.sum()))
-                same = [batch.column(k).slice(start, len(held)) for k in (0, *range(2, batch.num_columns))]
-                share = {} if tables is None else {"known": pa.array(known, pa.float64())}
-                yield pa.RecordBatch.from_arrays([same[0], pa.array(best, pa.string()), pa.array(score, pa.float64()), *share.values(), *same[1:]], names=["doc_id", "lang_pred", "score", *share, *batch.schema.names[2:]])
+                    top = int(np.argmax(cosine))
+                    if best[k] is None or cosine[top] > cosines[k]:
+                        best[k], cosines[k] = langs[top], float(cosine[top])
+                    # a text doesn't make its own runs usual
+                    shares = [float(counts[often[x][place] - (counts if x == own_lang[k] else 0) >= tables[x][0]].sum()) for x in tables]
+                    known[k] = max([known[k], *(n / runs[k] for n in shares)])
+                told = [pa.array(best, pa.string()), pa.array(cosines, pa.float64()), pa.array(known, pa.float64()), pa.array(runs, pa.int64())]
+                same = [part.column(k) for k in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays([same[0], *([] if last else [same[1]]), *told, *same[6:]], names=[n for n in names if n != "text" or not last])
 
     return run
 
 
-def identify(docs: DataFrame, prototypes: DataFrame, carry: tuple[str, ...] = (), frequent: DataFrame | None = None) -> DataFrame:
+def _blocks(table: DataFrame) -> Iterator[tuple[str | None, list]]:
+    """The rows of a table with lang, AT_ONCE at a time in the order of lang, each with the last lang before them."""
+    after = None
+    while rows := (table if after is None else table.filter(F.col("lang") > after)).orderBy("lang").limit(AT_ONCE).collect():
+        yield after, rows
+        after = rows[-1]["lang"]
+        if len(rows) < AT_ONCE:
+            break
+
+
+def identify(docs: DataFrame, prototypes: DataFrame, carry: tuple[str, ...] = (), frequent: DataFrame | None = None, scramble: bool = False) -> DataFrame:
     """doc_id, lang_pred and score (the cosine, 0 to 1) for each row of docs (doc_id, text), and the columns in carry as `own_` and their name.
 
     A text that is null or has no letter gets `und` and 0; so does every text if there is no prototype.
-    Ties go to the language that comes first by code point. The prototypes, a row of fixed size for each
-    language name, come to the driver and go to all tasks.
+    Ties go to the language that comes first by code point. AT_ONCE prototypes at a time, rows of fixed size,
+    come to the driver and go to all tasks; rows pass on with the best language so far.
 
     With frequent (from usual(), over the same languages) there is also known: the share of the text's runs
     of letters that are usual in the language that knows most of them, not counting the text itself if lang
-    is carried. It is 0 without a letter, and 1 if the language found is too small to tell.
+    is carried; and runs, their number. Both are 0 without a letter. scramble judges each text with its letters in another order: what
+    is known of such texts is known by chance.
     """
-    rows = sorted(prototypes.collect())
-    langs = [r["lang"] for r in rows]
-    matrix = np.array([r["prototype"] for r in rows]) if rows else np.zeros((0, DIMENSIONS))
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(f"own_{c}") for c in carry))
-    tables = None if frequent is None else _tables(frequent)
-    schema = ", ".join(["doc_id long, lang_pred string, score double", *([] if tables is None else ["known double"]), *(f"{f.name} {f.dataType.simpleString()}" for f in rows_in.schema.fields[2:])])
-    return rows_in.mapInArrow(_judge(langs, matrix, tables), schema)
+    few = prototypes.limit(AT_ONCE + 1).count() <= AT_ONCE
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    centre = None
+    if not few:
+        # what all languages share doesn't tell them apart: the mean of their unit vectors
+        size = F.sqrt(F.aggregate("prototype", F.lit(0.0), lambda t, x: t + x * x))
+        means = prototypes.select(F.posexplode(F.transform("prototype", lambda x: x / F.greatest(size, F.lit(1e-9))))).groupBy("pos").agg(F.avg("col").alias("x")).collect()
+        centre = np.array([r["x"] for r in sorted(means)])
+    none = [F.lit(None).cast("string").alias("best"), F.lit(-2.0).alias("cosine"), F.lit(0.0).alias("known"), F.lit(0).cast("long").alias("runs")]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *none, *(F.col(c).alias(f"own_{c}") for c in carry))
+    blocks = _blocks(prototypes)
+    block = next(blocks, None)
+    while block is not None:
+        after, rows = block
+        matrix = unit(np.array([r["prototype"] for r in rows]))
+        if few:
+            centre = matrix.mean(axis=0) if len(rows) > 1 else np.zeros(DIMENSIONS)
+        target = unit(matrix - centre).T.astype(np.float32)
+        tables = {} if frequent is None else _tables(frequent.filter((F.col("lang") <= rows[-1]["lang"]) & (F.lit(True) if after is None else F.col("lang") > after)))
+        block = next(blocks, None)
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields if f.name != "text" or block is not None)
+        found = found.mapInArrow(_judge([r["lang"] for r in rows], target, centre, tables, block is None, scramble), schema)
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(F.col("best").isNull(), 0.0).otherwise(F.col("cosine"))))
+    told = [F.coalesce("best", F.lit(UNKNOWN)).alias("lang_pred"), score.alias("score"), *([] if frequent is None else [F.col("known"), F.col("runs")])]
+    return found.select("doc_id", *told, *(f"own_{c}" for c in carry))
 
 
 def fold(doc_id: Column, parts: int) -> Column:

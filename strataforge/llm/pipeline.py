@@ -21,18 +21,26 @@ from strataforge.llm.pii import redact
 from strataforge.storage import drop_kept, keep, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document is no language's if less than this share of its runs of three letters is usual in any. Own documents of check_l have 0.45 and more (short ones with keys or addresses least), five or more random words of any script under 0.3.
-LEAST_KNOWN = 0.4
+#: A language's limit is so many standard deviations over what scrambled texts have on average.
+DEVIATIONS = 2.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (null and empty texts too), and those of any length that are like none of the languages; lang becomes the one found.
 
-    Prototypes and usual runs of letters are learned from all documents with a lang; where none has one,
+    A document is like none if no more of its runs of three letters are usual in any language than chance
+    makes: the language's own documents with their letters in another order say how many these are, by
+    their average and DEVIATIONS, less a standard error of the text's own share, as a short text's says less.
+    Prototypes, usual runs and limits are learned from all documents with a lang; where none has one,
     no document has a language and all go. Equal texts get equal languages if their langs are equal.
     """
-    found = identify(docs.select(*COLUMNS), keep(learn(docs), "prototypes"), carry=("text", "source", "n_chars", "lang"), frequent=keep(usual(docs), "usual"))
-    judged = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("known") >= LEAST_KNOWN))
+    prototypes, frequent = keep(learn(docs), "prototypes"), keep(usual(docs), "usual")
+    chance = identify(docs.select("doc_id", "text", "lang"), prototypes, carry=("lang",), frequent=frequent, scramble=True).filter("own_lang is not null and lang_pred != 'und'")
+    # a row a language, written first: Spark sees its size
+    least = keep(chance.groupBy(F.col("own_lang").alias("of")).agg((F.avg("known") + DEVIATIONS * F.stddev_pop("known")).alias("least")), "least")
+    found = identify(docs.select(*COLUMNS), prototypes, carry=("text", "source", "n_chars", "lang"), frequent=frequent)
+    error = F.sqrt(F.col("least") * (1 - F.least("least", F.lit(1.0))) / F.greatest("runs", F.lit(1)))
+    judged = found.filter(F.col("lang_pred") != UNKNOWN).join(least, F.col("lang_pred") == F.col("of"), "left").filter(F.col("known") >= F.coalesce(F.col("least") - error, F.lit(0.0)))
     return judged.select("doc_id", F.col("own_text").alias("text"), F.col("lang_pred").alias("lang"), F.col("own_source").alias("source"), F.col("own_n_chars").alias("n_chars"))
 
 

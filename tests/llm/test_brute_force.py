@@ -56,10 +56,17 @@ def test_languages_equal_brute_force(spark):
     assert lang_id._letters()[0x323AF] > 0
 
 
-def test_languages_are_bounded(spark, monkeypatch):
-    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
-    docs = spark.createDataFrame([(k, "abc def", f"l{k % 5 if k < 20 else k % 2}") for k in range(40)], "doc_id long, text string, lang string")
-    assert sorted(r["lang"] for r in lang_id.learn(docs).collect()) == ["l0", "l1"]
+def test_languages_beyond_one_pass_count_too(spark, monkeypatch):
+    """Judged two at a time, the languages found and the runs known are those of one pass over all."""
+    rng = random.Random(9)
+    words = [["".join(rng.choice("abcdefghij"[k : k + 5]) for _ in range(4)) for _ in range(6)] for k in range(5)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words[k % 5], k=12)), f"l{k % 5}") for k in range(60)] + [(90, "123", None), (91, None, "l1")], "doc_id long, text string, lang string")
+    frequent = lang_id.usual(docs)
+    told = lambda: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 5), round(r["known"], 9)) for r in lang_id.identify(docs, lang_id.learn(docs), ("lang",), frequent).collect())
+    once = told()
+    assert len({r[1] for r in once}) == 6 and sum(r[1] == f"l{r[0] % 5}" for r in once) >= 58
+    monkeypatch.setattr(lang_id, "AT_ONCE", 2)
+    assert told() == once
 
 
 def test_law_of_chance_segments_equals_brute_force(spark):
