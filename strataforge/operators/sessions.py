@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataforge.operators.graph import chain_ends, chain_members
+from strataforge.operators.ordered import next_from, running
+from strataforge.storage import keep
+
 #: Number of an effort, its name, and the depth of subagents that it allows.
 EFFORTS = ((1, "Low", 1), (2, "Medium", 2), (3, "High", 4), (4, "Maximum", 8), (99, "Unlimited", 16))
 #: Tokens left below which a session is handed over, and the usual size of a context window.
@@ -32,10 +36,18 @@ def chats_without_user(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return sessions.join(messages.filter(F.col("role") == "user").select("session_id"), "session_id", "left_anti")
 
 
-def session_finished(messages: DataFrame) -> DataFrame:
-    """(session_id, finished): whether the last message (by turn) is the assistant's and calls no tools."""
+def session_finished(messages: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """(session_id, finished): whether the last message (by turn) is the assistant's and calls no tools.
+
+    messages: session_id, turn, role, n_calls. With redirects (id, next), one row a session, a session's active
+    one is asked, which the redirects lead to; one without messages isn't finished.
+    """
     last = messages.groupBy("session_id").agg(F.max_by(F.struct("role", "n_calls"), "turn").alias("m"))
-    return last.select("session_id", ((F.col("m.role") == "assistant") & (F.coalesce("m.n_calls", F.lit(0)) == 0)).alias("finished"))
+    told = last.select("session_id", ((F.col("m.role") == "assistant") & (F.coalesce("m.n_calls", F.lit(0)) == 0)).alias("finished"))
+    if redirects is None:
+        return told
+    active = chain_ends(redirects).select(F.col("id").alias("asked"), F.col("last").alias("session_id"))
+    return active.join(told, "session_id", "left").select(F.col("asked").alias("session_id"), F.coalesce("finished", F.lit(False)).alias("finished"))
 
 
 def pending_calls(messages: DataFrame) -> DataFrame:
@@ -56,6 +68,58 @@ def handover_flags(messages: DataFrame, context_window: int = CONTEXT_WINDOW, le
     return counted.withColumn("handover", (F.lit(context_window) - F.col("tokens")) < left)
 
 
+def handovers(messages: DataFrame, context_window: int = CONTEXT_WINDOW, left: int = HANDOVER_LEFT) -> DataFrame:
+    """messages (session_id, turn, text) as the sessions that handovers cut them into: part (0, 1, ...), tokens and cut.
+
+    tokens is a fourth of the characters since the part began; where fewer than left are left of the window,
+    the part is cut and the next message begins another one. Sums over all messages in order give, for each
+    one, where a part that begins with it would end; pointers from these to the next are then followed from
+    each session's first message, twice as far each round. (session_id, turn) tells messages apart.
+    """
+    key = ["session_id", "turn"]
+    lengths = messages.select(*key, F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"))
+    rows = keep(running(lengths, [F.col("session_id"), F.col("turn")], upto=F.col("chars"), place=F.lit(1).cast("long")).withColumn("from", F.col("upto") - F.col("chars")), "places")
+    # a part is over with the first message that brings its characters here
+    enough = 4 * (context_window - left + 1)
+    begins = next_from(rows, "from", ["place", "session_id"], rows.select((F.col("from") + enough).alias("probe"), F.col("place").alias("id"), F.col("session_id").alias("of")))
+    pointers = begins.select("id", F.when(F.col("session_id").eqNullSafe(F.col("of")), F.col("place")).alias("next"))
+    first = rows.groupBy("session_id").agg(F.min("place").alias("id"))
+    starts = chain_members(pointers, first.select("id")).select(F.col("id").alias("place"), F.col("hop").cast("long").alias("part"))
+    marked = rows.join(starts, "place", "left")
+    numbered = keep(running(marked.withColumn("starts", F.col("part").isNotNull().cast("long")), [F.col("place")], n=F.col("starts")), "parts")
+    heads = numbered.filter("part is not null").select("n", F.col("part").alias("number"), F.col("from").alias("begin"))
+    tokens = F.floor((F.col("upto") - F.col("begin")) / 4).cast("long")
+    return numbered.join(heads, "n").select("session_id", "turn", F.col("number").alias("part"), tokens.alias("tokens"), ((context_window - tokens) < left).alias("cut"))
+
+
+def edited_lists(tasks: DataFrame, edits: DataFrame) -> DataFrame:
+    """(list_id, order_index, goal) after all edits of each list, in the order of seq.
+
+    edits: list_id, seq, op, goal, after. `insert` puts a task behind the after-th shown (0 or less: before the
+    first; null, or more than there are: at the end) and moves later ones up by one; `cancel` takes out the
+    after-th, if there is one, and leaves the others' order_index. Lists are written by people: one list's
+    tasks and edits are gathered and replayed in one expression, all lists at once.
+    """
+    entry = "array<struct<order_index:bigint,goal:string>>"
+    had = tasks.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct(F.col("order_index").cast("bigint").alias("order_index"), "goal"))).alias("tasks"))
+    done = edits.groupBy("list_id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "goal", F.col("after").cast("bigint").alias("after")))).alias("edits"))
+    both = had.join(done, "list_id", "full_outer").withColumns({"tasks": F.coalesce("tasks", F.array().cast(entry)), "edits": F.coalesce("edits", F.array().cast(done.schema["edits"].dataType))})
+
+    def step(shown: Column, edit: Column) -> Column:
+        n = F.size(shown)
+        last = F.coalesce(F.try_element_at(shown, F.lit(-1))["order_index"] + 1, F.lit(0))
+        after = F.greatest(edit["after"], F.lit(0)).cast("int")
+        at_end = edit["after"].isNull() | (after >= n)
+        index = F.when(at_end, last).when(after == 0, F.get(shown, F.lit(0))["order_index"]).otherwise(F.get(shown, after - 1)["order_index"] + 1)
+        moved = F.transform(F.slice(shown, after + 1, n), lambda t: F.struct((t["order_index"] + 1).alias("order_index"), t["goal"].alias("goal")))
+        new = F.array(F.struct(index.alias("order_index"), edit["goal"].alias("goal")))
+        inserted = F.when(at_end, F.concat(shown, new)).otherwise(F.concat(F.slice(shown, F.lit(1), after), new, moved))
+        without = F.when((after < 1) | (after > n) | edit["after"].isNull(), shown).otherwise(F.concat(F.slice(shown, F.lit(1), F.greatest(after - 1, F.lit(0))), F.slice(shown, after + 1, n)))
+        return F.when(edit["op"] == "insert", inserted).when(edit["op"] == "cancel", without).otherwise(shown).cast(entry)
+
+    return both.select("list_id", F.explode(F.aggregate("edits", F.col("tasks"), step)).alias("t")).select("list_id", "t.*")
+
+
 def next_task(tasks: DataFrame) -> DataFrame:
     """One task for each list: those in progress before those pending, then by order_index and id."""
     rank = F.when(F.col("status") == "in_progress", 0).when(F.col("status") == "pending", 1)
@@ -91,7 +155,7 @@ def page(changes: DataFrame, limit: int | None = None, offset: int = 0) -> DataF
 
 
 def by_chain(members: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows (session_id, ...) of all sessions along each start's chain (start, id, hop)."""
+    """Rows (session_id, ...) of all sessions along each start's chain (start, id, hop). Where only sums are wanted, rows may be a session's sums."""
     return members.select("start", F.col("id").alias("session_id"), "hop").join(rows, "session_id")
 
 
@@ -165,7 +229,7 @@ def session_info(sessions: DataFrame, chats: DataFrame) -> DataFrame:
 
 def files_of_chain(members: DataFrame, operations: DataFrame) -> DataFrame:
     """(start, file_path, operations): what the sessions of each chain (start, id) did to which files, each operation once, sorted and joined by commas."""
-    done = members.select("start", F.col("id").alias("session_id")).join(operations, "session_id")
+    done = members.select("start", F.col("id").alias("session_id")).distinct().join(operations.select("session_id", "file_path", "operation").distinct(), "session_id")
     return done.groupBy("start", "file_path").agg(F.array_join(F.array_sort(F.collect_set("operation")), ",").alias("operations"))
 
 

@@ -6,6 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,6 +117,50 @@ def redone(heads: DataFrame, undone: DataFrame) -> DataFrame:
     return heads.join(undone, "id", "left").select("id", F.coalesce(F.try_element_at(stack, F.lit(-1)), "head").alias("head"), F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))).alias("rest"))
 
 
+def replayed(operations: DataFrame) -> DataFrame:
+    """operations (repo, seq, kind) with done, depth and undone: whether each did something, and how many commits are in the log and on the redo stack after it.
+
+    `commit` adds one and clears the stack; `undo` takes the head off the log onto the stack, unless it is the
+    first; `redo` puts the stack's top back, if there is one; other kinds do nothing. What an operation does
+    depends on all before it, so a repository's are read in order by one task, which remembers two numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repo, depth, undone = None, 0, 0
+        for batch in batches:
+            done, depths, stacks = [], [], []
+            for own, kind in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if own != repo:
+                    repo, depth, undone = own, 0, 0
+                did = kind == "commit" or kind == "undo" and depth > 1 or kind == "redo" and undone > 0
+                if did:
+                    depth, undone = depth + (-1 if kind == "undo" else 1), 0 if kind == "commit" else undone + (1 if kind == "undo" else -1)
+                done.append(did)
+                depths.append(depth)
+                stacks.append(undone)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(done, pa.bool_()), pa.array(depths, pa.int64()), pa.array(stacks, pa.int64())], names=[*batch.schema.names, "done", "depth", "undone"])
+
+    ordered = operations.select("repo", "seq", "kind").repartition("repo").sortWithinPartitions("repo", "seq")
+    return ordered.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ordered.schema.fields) + ", done boolean, depth long, undone long")
+
+
+def heads(operations: DataFrame) -> DataFrame:
+    """operations (repo, seq, kind) with done, depth, undone and head: the commit (its seq) that is the head after each, null before the first.
+
+    The head at some depth is the last commit made at that depth, so one window over each depth finds it.
+    """
+    level = Window.partitionBy("repo", "depth").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return replayed(operations).withColumn("head", F.last(F.when(F.col("kind") == "commit", F.col("seq")), ignorenulls=True).over(level))
+
+
+def lineage(operations: DataFrame) -> DataFrame:
+    """(repo, position, commit, undone): each repository's log after all operations, from 1, and behind its head the commits that redo would bring back, next first."""
+    after = keep(replayed(operations), "replayed")
+    last = after.groupBy("repo").agg(F.max_by(F.struct("depth", "undone"), "seq").alias("l")).select("repo", F.col("l.depth").alias("end"), F.col("l.undone").alias("stack"))
+    made = after.filter("kind = 'commit'").groupBy("repo", F.col("depth").alias("position")).agg(F.max("seq").alias("commit"))
+    return made.join(last, "repo").filter(F.col("position") <= F.col("end") + F.col("stack")).select("repo", "position", "commit", (F.col("position") > F.col("end")).alias("undone"))
+
+
 def directories(files: DataFrame) -> DataFrame:
     """(directory, n_files): files below each directory of their paths, at any depth."""
     parts = F.split("path", "/")

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.operators import graph, sessions, snapshots, symbols, text
+from strataforge.operators import graph, history, sessions, snapshots, symbols, text
 from strataforge.sources import files
 from strataforge.plans.standins import SELECTS, standin, with_standins
-from strataforge.storage import table
+from strataforge.storage import folder, table
+from strataforge.streaming import reindex
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -170,14 +171,18 @@ _add(
 )
 _add("redirect_chain", lambda p: graph.chain_ends(p).select("id", "last", "hops"), "pointers", "SELECT id, last_value(id) OVER w AS last, count(*) OVER w - 1 AS hops FROM pointers WINDOW w AS (PARTITION BY o_custkey ORDER BY id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 _add(
-    "changes_by_chain", lambda p, c: sessions.by_chain(graph.chain_members(p, p).withColumn("id", F.col("id") % 150), c).groupBy("start").agg(F.count("*").alias("n"), F.min("id").alias("first")), "pointers changes",
+    "changes_by_chain", lambda p, c: sessions.by_chain(graph.chain_members(p, p).withColumn("id", F.col("id") % 150), c.groupBy("session_id").agg(F.count("*").alias("n"), F.min("id").alias("first"))).groupBy("start").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "pointers changes",
     "WITH m AS (SELECT id AS start, id, 0 AS hop FROM pointers UNION ALL SELECT m.start, p.next, m.hop + 1 FROM m JOIN pointers p ON p.id = m.id WHERE p.next IS NOT NULL) SELECT m.start, count(*) AS n, min(c.id) AS first FROM m JOIN changes c ON c.session_id = m.id % 150 GROUP BY m.start",
 )
 # sessions
 _add("list_chats", sessions.chats_with_user, "messages", "SELECT DISTINCT session_id FROM messages WHERE role = 'user'")
 _add("purged_chats", lambda m: sessions.chats_without_user(m.select("session_id").distinct(), m), "messages", "SELECT session_id FROM messages GROUP BY session_id HAVING count(*) FILTER (role = 'user') = 0")
 _add("chat_title", lambda m: m.select("session_id", "turn", sessions.title(F.col("text")).alias("title")), "messages", r"SELECT session_id, turn, CASE WHEN text = '' THEN 'Untitled' WHEN length(t) > 50 THEN t[1:50] || '...' ELSE t END AS title FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM messages)")
-_add("session_finished", lambda m: sessions.session_finished(m.withColumn("n_calls", F.lit(0))), "messages", "SELECT session_id, arg_max(role, turn) = 'assistant' AS finished FROM messages GROUP BY session_id")
+_add(
+    "session_finished", sessions.session_finished, "turns redirects",
+    "WITH w AS (SELECT id AS asked, id, 0 AS hop FROM redirects UNION ALL SELECT w.asked, r.next, hop + 1 FROM w JOIN redirects r ON r.id = w.id WHERE r.next IS NOT NULL), a AS (SELECT asked, arg_max(id, hop) AS id FROM w GROUP BY asked), "
+    "m AS (SELECT session_id, arg_max(role, turn) = 'assistant' AND arg_max(n_calls, turn) = 0 AS finished FROM turns GROUP BY session_id) SELECT asked AS session_id, coalesce(finished, false) AS finished FROM a LEFT JOIN m ON m.session_id = a.id",
+)
 _add("handover_flags", lambda m: sessions.handover_flags(m, 51_000, 50_000).select("session_id", "turn", "tokens", "handover"), "messages", "SELECT session_id, turn, CAST(s // 4 AS BIGINT) AS tokens, 51000 - s // 4 < 50000 AS handover FROM (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY turn) AS s FROM messages)")
 _add(
     "pending_toolcalls", lambda m: sessions.pending_calls(m.select("session_id", "turn", "role", F.when(F.col("role") == "assistant", F.array(F.concat(F.lit("a"), F.col("turn")), F.concat(F.lit("b"), F.col("turn")))).alias("calls"), F.when(F.col("role") == "user", F.concat(F.lit("a"), (F.col("turn") - 1).cast("string"))).alias("answers"))), "messages",
@@ -271,6 +276,60 @@ _add(
 _add("undo_heads", lambda c: snapshots.moved_head(c, c.groupBy(F.col("o_custkey").alias("id")).agg(F.max("id").alias("head"))), "commits", "SELECT o_custkey AS id, coalesce(arg_max(parent, id), max(id)) AS head FROM commits GROUP BY o_custkey")
 _add("new_blobs", lambda w, s: snapshots.new_blobs(w, _ids(s)).select("blob_id"), "working snapshot", f"SELECT DISTINCT {_BLOB} AS blob_id FROM working WHERE content NOT IN (SELECT content FROM snapshot)")
 
+# an index that follows versions, in batches whose order isn't that of the versions
+def _reindexed(versions: DataFrame) -> DataFrame:
+    index = reindex.Index(versions.sparkSession, folder(versions.sparkSession, "index"))
+    for k in range(4):
+        index.apply(versions.filter(F.pmod(F.xxhash64("seq"), F.lit(4)) == k), k)
+    return index.resolved()
+
+
+_add(
+    "reindexed_calls", _reindexed, "file_versions",
+    "WITH f AS (SELECT * FROM (SELECT * FROM file_versions QUALIFY row_number() OVER (PARTITION BY path ORDER BY seq DESC) = 1) WHERE NOT deleted), d AS (SELECT DISTINCT path, unnest(definitions) AS name FROM f), c AS (SELECT DISTINCT path, unnest(calls) AS name FROM f), b AS (SELECT name, min(path) AS anywhere FROM d GROUP BY name) "
+    "SELECT c.path, c.name, CASE WHEN d.path IS NOT NULL THEN c.path ELSE b.anywhere END AS target FROM c LEFT JOIN d ON d.path = c.path AND d.name = c.name LEFT JOIN b ON b.name = c.name",
+)
+# commits, undos and redos as a log
+_REPLAY = (
+    "WITH o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY seq) AS n FROM log_operations), w AS (SELECT repo, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS seq, false AS done, CAST([] AS BIGINT[]) AS log, CAST([] AS BIGINT[]) AS stack FROM (SELECT DISTINCT repo FROM o) UNION ALL "
+    "SELECT o.repo, o.n, o.seq, kind = 'commit' OR (kind = 'undo' AND len(log) > 1) OR (kind = 'redo' AND len(stack) > 0), "
+    "CASE WHEN kind = 'commit' THEN list_append(log, o.seq) WHEN kind = 'undo' AND len(log) > 1 THEN log[1:len(log) - 1] WHEN kind = 'redo' AND len(stack) > 0 THEN list_append(log, stack[len(stack)]) ELSE log END, "
+    "CASE WHEN kind = 'commit' THEN CAST([] AS BIGINT[]) WHEN kind = 'undo' AND len(log) > 1 THEN list_append(stack, log[len(log)]) WHEN kind = 'redo' AND len(stack) > 0 THEN stack[1:len(stack) - 1] ELSE stack END FROM w JOIN o ON o.repo = w.repo AND o.n = w.n + 1) "
+)
+_add("heads_after", lambda o: snapshots.heads(o).select("repo", "seq", "done", "depth", "undone", "head"), "log_operations", _REPLAY + "SELECT repo, seq, done, CAST(len(log) AS BIGINT) AS depth, CAST(len(stack) AS BIGINT) AS undone, log[len(log)] AS head FROM w WHERE n > 0")
+_add(
+    "log_and_redo_stack", snapshots.lineage, "log_operations",
+    _REPLAY + ", e AS (SELECT repo, arg_max(log, n) AS log, arg_max(stack, n) AS stack FROM w GROUP BY repo), a AS (SELECT repo, len(log) AS depth, list_concat(log, list_reverse(stack)) AS every FROM e) SELECT repo, position, every[position] AS commit, position > depth AS undone FROM (SELECT *, unnest(range(1, CAST(len(every) + 1 AS BIGINT))) AS position FROM a)",
+)
+# sessions cut again and again where few tokens are left
+_add(
+    "handover_parts", lambda n: sessions.handovers(n, 60_000), "notes",
+    "WITH o AS (SELECT session_id, turn, coalesce(length(text), 0) AS chars, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS n FROM notes), w AS (SELECT session_id, turn, n, CAST(0 AS BIGINT) AS part, CAST(chars AS BIGINT) AS chars, (60000 - chars // 4) < 50000 AS cut FROM o WHERE n = 1 UNION ALL "
+    "SELECT o.session_id, o.turn, o.n, w.part + CASE WHEN w.cut THEN 1 ELSE 0 END, CASE WHEN w.cut THEN 0 ELSE w.chars END + o.chars, (60000 - (CASE WHEN w.cut THEN 0 ELSE w.chars END + o.chars) // 4) < 50000 FROM w JOIN o ON o.session_id = w.session_id AND o.n = w.n + 1) SELECT session_id, turn, part, CAST(chars // 4 AS BIGINT) AS tokens, cut FROM w",
+)
+_add(
+    "edited_lists", sessions.edited_lists, "first_tasks list_edits",
+    "WITH o AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY seq) AS n FROM list_edits), h AS (SELECT list_id, list(CAST(order_index AS BIGINT) ORDER BY order_index) AS i, list(goal ORDER BY order_index) AS g FROM first_tasks GROUP BY list_id), "
+    "w AS (SELECT coalesce(h.list_id, e.list_id) AS list_id, CAST(0 AS BIGINT) AS n, coalesce(i, CAST([] AS BIGINT[])) AS i, coalesce(g, CAST([] AS VARCHAR[])) AS g FROM h FULL JOIN (SELECT DISTINCT list_id FROM o) e ON e.list_id = h.list_id UNION ALL "
+    "SELECT list_id, n, CASE WHEN op = 'insert' THEN CASE WHEN after IS NULL OR a >= len(i) THEN list_append(i, coalesce(i[len(i)] + 1, 0)) WHEN a = 0 THEN list_concat([i[1]], list_transform(i, lambda x: x + 1)) ELSE list_concat(i[1:a], [i[a] + 1], list_transform(i[a + 1:], lambda x: x + 1)) END WHEN op = 'cancel' AND after BETWEEN 1 AND len(i) THEN list_concat(i[1:a - 1], i[a + 1:]) ELSE i END, "
+    "CASE WHEN op = 'insert' THEN CASE WHEN after IS NULL OR a >= len(i) THEN list_append(g, goal) ELSE list_concat(g[1:a], [goal], g[a + 1:]) END WHEN op = 'cancel' AND after BETWEEN 1 AND len(i) THEN list_concat(g[1:a - 1], g[a + 1:]) ELSE g END FROM (SELECT o.list_id, o.n, op, goal, after, greatest(after, 0) AS a, i, g FROM w JOIN o ON o.list_id = w.list_id AND o.n = w.n + 1)) "
+    "SELECT list_id, unnest(i) AS order_index, unnest(g) AS goal FROM (SELECT list_id, arg_max(i, n) AS i, arg_max(g, n) AS g FROM w GROUP BY list_id)",
+)
+# the store as it was
+_held = lambda log, gone: history.cascaded(history.intervals(log, "id"), "chat_id", gone)
+_moments = lambda log: log.agg(F.max("seq").alias("m")).select(F.explode(F.array(F.floor(F.col("m") / 4), F.floor(F.col("m") / 2), F.col("m"))).alias("moment"))
+_STATE = "SELECT m.moment, l.* FROM (SELECT unnest([max(seq) // 4, max(seq) // 2, max(seq)]) AS moment FROM session_log) m JOIN session_log l ON l.seq <= m.moment QUALIFY row_number() OVER (PARTITION BY m.moment, l.id ORDER BY l.seq DESC) = 1"
+_HOLDS = f"SELECT s.* FROM ({_STATE}) s WHERE NOT deleted AND NOT EXISTS (SELECT 1 FROM chat_deletions d WHERE d.chat_id = s.chat_id AND d.seq > s.seq AND d.seq <= s.moment)"
+_add("store_at_moments", lambda log, gone: history.at_moments(_held(log, gone), _moments(log)).select("moment", "id", "chat_id", "redirect", "title"), "session_log chat_deletions", f"SELECT moment, id, chat_id, redirect, title FROM ({_HOLDS})")
+_add(
+    "validity_intervals", lambda log, gone: _held(log, gone).select("id", "title", "valid_from", "valid_to"), "session_log chat_deletions",
+    "SELECT id, title, seq AS valid_from, least(until, coalesce((SELECT min(d.seq) FROM chat_deletions d WHERE d.chat_id = l.chat_id AND d.seq > l.seq), 9223372036854775807)) AS valid_to FROM (SELECT *, coalesce(lead(seq) OVER (PARTITION BY id ORDER BY seq), 9223372036854775807) AS until FROM session_log) l WHERE NOT deleted",
+)
+_add(
+    "redirects_as_of", lambda log, gone: history.redirected(_held(log, gone), log.agg(F.floor(F.max("seq") / 2)).first()[0] or 0), "session_log chat_deletions",
+    f"WITH s AS MATERIALIZED (SELECT * FROM ({_HOLDS}) WHERE moment = (SELECT max(seq) // 2 FROM session_log)), w AS (SELECT id AS asked, id, 0 AS hop FROM s UNION ALL SELECT w.asked, s.redirect, hop + 1 FROM w JOIN s ON s.id = w.id WHERE s.redirect IS NOT NULL) SELECT asked AS id, arg_max(id, hop) AS active FROM w GROUP BY asked",
+)
+
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
     _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "a")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%a%'")

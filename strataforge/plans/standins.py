@@ -38,6 +38,18 @@ SELECTS = {
         "FROM {lineitem} JOIN {part} ON p_partkey = l_suppkey % 200 + 1 JOIN {supplier} ON s_suppkey = l_suppkey % 10 + 1) AS c"
     ),
     "names": "SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_partkey % 12 WHEN 0 THEN 'a&&b||c' WHEN 1 THEN 'fmt(%s,%d)' WHEN 2 THEN 'fmt(%s)' WHEN 3 THEN 'x<=y' WHEN 4 THEN 'x++' WHEN 5 THEN 'i-j/k' WHEN 6 THEN '%a%b' WHEN 7 THEN 'it''s' WHEN 8 THEN 't.format(x)' WHEN 9 THEN 'echo ls' WHEN 10 THEN 'a==b' ELSE 'call' || CAST(l_suppkey AS STRING) END AS name FROM {lineitem}",
+    "file_versions": (
+        "SELECT 'src' || CAST(o_custkey % 20 AS STRING) || '/' || CAST(o_custkey AS STRING) AS path, o_orderkey AS seq, o_orderstatus = 'P' AS deleted, split('fn' || CAST(o_orderkey % 97 AS STRING) || ',fn' || CAST(o_custkey % 89 AS STRING), ',') AS definitions, "
+        "split('fn' || CAST(o_orderkey * 7 % 131 AS STRING) || ',fn' || CAST(o_orderkey * 11 % 97 AS STRING) || ',fn' || CAST(o_custkey % 89 AS STRING) || ',lib' || CAST(o_custkey % 5 AS STRING), ',') AS calls FROM {orders}"
+    ),
+    "log_operations": "SELECT user_id AS repo, event_id AS seq, CASE event_type WHEN 'click' THEN 'commit' WHEN 'error' THEN 'undo' WHEN 'purchase' THEN 'undo' WHEN 'signup' THEN 'redo' ELSE CASE WHEN event_id % 3 = 0 THEN 'commit' ELSE 'redo' END END AS kind FROM {events}",
+    "notes": "SELECT source AS session_id, doc_id AS turn, text FROM {documents}",
+    "first_tasks": "SELECT o_custkey % 500 AS list_id, 2 * row_number() OVER (PARTITION BY o_custkey % 500 ORDER BY o_orderkey) AS order_index, 'goal ' || CAST(o_orderkey AS STRING) AS goal FROM {orders}",
+    "list_edits": "SELECT user_id AS list_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'view' THEN 'open' ELSE 'insert' END AS op, 'event ' || CAST(event_id AS STRING) AS goal, CASE WHEN event_type = 'signup' THEN NULL ELSE event_id * 7 % 45 - 1 END AS after FROM {events}",
+    "session_log": "SELECT event_id AS seq, user_id AS id, event_type = 'error' AS deleted, user_id % 20 AS chat_id, CASE WHEN event_type = 'signup' THEN user_id + 1 + event_id % 5 ELSE NULL END AS redirect, props AS title FROM {events}",
+    "chat_deletions": "SELECT user_id % 20 AS chat_id, event_id AS seq FROM {events} WHERE event_type = 'purchase' AND value > 100",
+    "turns": "SELECT conv_id AS session_id, turn, role, CASE WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 2 ELSE 0 END AS n_calls FROM {conversations}",
+    "redirects": "SELECT conv_id AS id, CASE WHEN conv_id % 4 = 1 THEN conv_id + 1 WHEN conv_id % 7 = 2 THEN conv_id + 5 ELSE NULL END AS next FROM {conversations} GROUP BY conv_id",
     "messages": "SELECT conv_id AS session_id, turn, role, text FROM {conversations}",
     "pointers": "SELECT o_orderkey AS id, LEAD(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS next, o_custkey FROM {orders}",
     "lists": "SELECT o_orderkey AS list_id, o_orderkey AS id, o_custkey AS session_id, CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status FROM {orders}",

@@ -28,6 +28,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     _KEPT.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for tables, below the shared one; release() deletes it."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
@@ -35,8 +42,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     drop_kept() or release().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _KEPT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    path = folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
