@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.operators import graph, history, sessions, snapshots, symbols, text
+from strataforge.operators import decode, graph, history, reports, sessions, snapshots, symbols, text
 from strataforge.sources import files
 from strataforge.plans.standins import SELECTS, standin, with_standins
 from strataforge.storage import folder, table
@@ -330,6 +330,87 @@ _add(
     f"WITH s AS MATERIALIZED (SELECT * FROM ({_HOLDS}) WHERE moment = (SELECT max(seq) // 2 FROM session_log)), w AS (SELECT id AS asked, id, 0 AS hop FROM s UNION ALL SELECT w.asked, s.redirect, hop + 1 FROM w JOIN s ON s.id = w.id WHERE s.redirect IS NOT NULL) SELECT asked AS id, arg_max(id, hop) AS active FROM w GROUP BY asked",
 )
 
+# reports on whole files
+_with_parameters = lambda f: f.withColumn("parameters", F.array(F.struct(F.col("argument").alias("name"), F.col("argument_type").alias("type"))))
+_graphs = lambda a, f, c, v, d, n: reports.dependency_graphs(a, _with_parameters(f), c, v, d, n)
+_AT = "{{'s': {}, 'n': {}, 'i': {}}}"
+_at = lambda section, name="''", ident="''": _AT.format(section, name, f"CAST({ident} AS VARCHAR)")
+_described = lambda x, label="": f"CASE WHEN coalesce({x}, '') <> '' THEN '  # {label}' || {x} ELSE '' END"
+_typed = lambda x: f"CASE WHEN coalesce({x}, '') <> '' THEN ' : ' || {x} ELSE '' END"
+_CALL = "name || '(' || argument || coalesce(': ' || argument_type, '') || ')'"
+_HERE = """ || ' in file "' || path || '"'"""
+_SOME = "(SELECT arg_min(g.path, t.id) FROM {} t JOIN files g ON g.id = t.file_id WHERE {})"
+_TOLD = (
+    "told AS MATERIALIZED (SELECT * FROM (SELECT function_id, kind, name, CASE kind WHEN 0 THEN '- function ' || name || '()' WHEN 1 THEN '- method ' || name || '()' WHEN 2 THEN '- class ' || name ELSE '- variable ' || name END || ' in file \"' || p || '\"' AS text, p FROM (SELECT *, CASE kind "
+    "WHEN 0 THEN " + _SOME.format("report_functions", "t.name = d.name") + " WHEN 1 THEN " + _SOME.format("report_functions", "t.parent_type = 'class' AND t.name = regexp_replace(d.name, '^.*[.]', '')")
+    + " WHEN 2 THEN " + _SOME.format("report_classes", "t.name = d.name") + " ELSE " + _SOME.format("report_variables", "t.name = d.name")
+    + " END AS p FROM (SELECT DISTINCT source_function_id AS function_id, CASE dependency_type WHEN 'function_call' THEN 0 WHEN 'method_call' THEN 1 WHEN 'class_reference' THEN 2 WHEN 'variable_reference' THEN 3 END AS kind, name FROM report_deps WHERE dependency_type <> 'import' AND source_function_id IS NOT NULL AND NOT " + _LITERAL + ") d)) WHERE p IS NOT NULL)"
+)
+
+
+def _depending(owners: str, indent: str) -> str:
+    return (
+        f"SELECT file_id, list_append(place, {_at(0)}), '{indent}depending on:' FROM {owners} UNION ALL SELECT file_id, list_append(place, {_at(1, "CAST(kind AS VARCHAR) || ' ' || t.name")}), '{indent}  ' || t.text FROM {owners} o JOIN told t ON t.function_id = o.owner "
+        f"UNION ALL SELECT file_id, list_append(place, {_at(1)}), '{indent}  NONE' FROM {owners} o WHERE owner NOT IN (SELECT function_id FROM told)"
+    )
+
+
+def _members(owners: str, own: str, indent: str) -> str:
+    return (
+        f"SELECT file_id, place, '{indent}- method ' || {_CALL} || {_described('description')} || ':' FROM {own} UNION ALL {_depending(own, indent + '     ')} "
+        f"UNION ALL SELECT o.file_id, list_append(o.place, {_at(2, 'v.name', 'v.id')}), '{indent}- variable ' || v.name || {_typed('v.field_type')} || {_described('v.description')} FROM {owners} o JOIN report_variables v ON v.parent_type = 'class' AND v.parent_id = o.owner "
+        f"UNION ALL SELECT file_id, list_append(place, {_at(1)}), '{indent}  NONE' FROM {owners} WHERE owner NOT IN (SELECT parent_id FROM report_functions WHERE parent_type = 'class' UNION SELECT parent_id FROM report_variables WHERE parent_type = 'class')"
+    )
+
+
+_methods_of = lambda owners: f"SELECT o.file_id, f.id AS owner, list_append(o.place, {_at(1, 'f.name', 'f.id')}) AS place, f.name, f.argument, f.argument_type, f.description FROM {owners} o JOIN report_functions f ON f.parent_type = 'class' AND f.parent_id = o.owner"
+_GRAPH = (
+    f"WITH {_TOLD}, p AS (SELECT id AS file_id, path FROM files), fn AS (SELECT f.*, p.path, f.id AS owner, [{_at(1, 'name', 'f.id')}] AS place FROM report_functions f JOIN p USING (file_id) WHERE parent_id IS NULL), "
+    f"inner_class AS (SELECT c.file_id, c.id AS owner, c.name, c.description, list_append(fn.place, {_at(3, 'c.name', 'c.id')}) AS place, fn.place AS above FROM report_classes c JOIN fn ON fn.id = c.parent_id AND fn.file_id = c.file_id), "
+    f"outer_class AS (SELECT c.*, p.path, c.id AS owner, [{_at(5, 'name', 'c.id')}] AS place FROM report_classes c JOIN p USING (file_id) WHERE parent_id IS NULL), inner_method AS ({_methods_of('inner_class')}), outer_method AS ({_methods_of('outer_class')}), "
+    f"""lines(file_id, place, text) AS (SELECT file_id, [{_at(0)}], 'file "' || path || '":' FROM p UNION ALL SELECT file_id, place, '  - function ' || {_CALL}{_HERE} || {_described('description')} FROM fn UNION ALL {_depending('fn', '     ')} """
+    f"UNION ALL SELECT DISTINCT file_id, list_append(above, {_at(2)}), '     contains:' FROM inner_class UNION ALL SELECT file_id, place, '       - class ' || name || {_described('description')} || ':' FROM inner_class UNION ALL SELECT file_id, list_append(place, {_at(0)}), '           members:' FROM inner_class UNION ALL {_members('inner_class', 'inner_method', '             ')} "
+    f"UNION ALL SELECT v.file_id, [{_at(2, 'name', 'id')}], '  - variable ' || name || {_typed('field_type')}{_HERE} || {_described('description')} FROM (SELECT * FROM report_variables WHERE parent_id IS NULL QUALIFY row_number() OVER (PARTITION BY file_id, name ORDER BY id) = 1) v JOIN p USING (file_id) "
+    f"UNION ALL SELECT d.file_id, [{_at(3, 'name', 'id')}], '  - imported ' || name{_HERE} FROM report_deps d JOIN p USING (file_id) WHERE dependency_type = 'import' UNION ALL SELECT n.file_id, [{_at(4, 'name', 'id')}], '  - namespace ' || name{_HERE} FROM namespaces n JOIN p USING (file_id) "
+    f"UNION ALL SELECT file_id, place, '  - class ' || name{_HERE} || {_described('description')} || {_described('namespace', 'namespace: ')} || ':' FROM outer_class UNION ALL SELECT file_id, list_append(place, {_at(0)}), '      members:' FROM outer_class UNION ALL {_members('outer_class', 'outer_method', '        ')}), "
+    "graphs AS (SELECT p.file_id, p.path, string_agg(text, chr(10) ORDER BY place) AS report FROM lines JOIN p USING (file_id) GROUP BY p.file_id, p.path) "
+)
+_add("dependency_graphs", lambda *t: _graphs(*t).select("path", "report"), "files report_functions report_classes report_variables report_deps namespaces", _GRAPH + "SELECT path, report FROM graphs")
+_bodies = lambda table, title: f"(SELECT t.file_id, chr(10) || '## {title} Bodies' || string_agg(chr(10) || '### ' || t.name || chr(10) || CASE WHEN coalesce(t.description, '') <> '' THEN '# Description: ' || t.description || chr(10) || chr(10) ELSE '' END || array_to_string(string_split(g.content, chr(10))[t.start_line:t.end_line], chr(10)), '' ORDER BY t.name, t.id) AS text FROM {table} t JOIN files g ON g.id = t.file_id WHERE t.parent_id IS NULL GROUP BY t.file_id)"
+_add(
+    "explore_structures", lambda a, f, c, v, d, n: reports.structures(a, _graphs(a, f, c, v, d, n), f, c).select("path", F.length("report").cast("long").alias("n_chars"), F.md5("report").alias("report_md5")), "files report_functions report_classes report_variables report_deps namespaces",
+    _GRAPH + f"SELECT path, CAST(length(r) AS BIGINT) AS n_chars, md5(r) AS report_md5 FROM (SELECT path, report || CASE WHEN f.text IS NOT NULL OR c.text IS NOT NULL THEN chr(10) ELSE '' END || coalesce(f.text, '') || coalesce(c.text, '') AS r FROM graphs LEFT JOIN {_bodies('report_functions', 'Function')} f USING (file_id) LEFT JOIN {_bodies('report_classes', 'Class')} c USING (file_id))",
+)
+# stored JSON
+_VALID = "(json_type({0}) = 'OBJECT' AND " + " AND ".join("json_extract_string({0}, '$." + k + "') IS NOT NULL" for k in decode.PLACE) + ")"
+_LOC = lambda x: ", ".join(f"CAST(json_extract_string({x}, '$.{k}') AS INTEGER) AS {k}" for k in (*decode.PLACE, *decode.BYTES))
+_READ = (
+    f"SELECT s.*, g.path AS file_path, coalesce({_VALID.format('v')}, false) AS there, coalesce(json_type(w) = 'ARRAY', false) AS listed FROM "
+    "(SELECT *, CASE WHEN json_valid(location) THEN location END AS v, CASE WHEN json_valid(parameters) THEN parameters END AS w FROM stored_functions) s JOIN files g ON g.id = s.file_id"
+)
+_place = lambda c: [F.col(f"location.{k}").alias(k) for k in (*decode.PLACE, *decode.BYTES)]
+_add(
+    "typed_functions", lambda s, a: decode.symbols(s, a, ("parameters",))[0].select("id", "file_path", *_place("location"), symbols.format_parameters(F.col("parameters")).alias("parameters"), F.col("branch_count").cast("long").alias("branch_count")), "stored_functions files",
+    f"SELECT id, file_path, {_LOC('v')}, coalesce((SELECT string_agg(CASE WHEN json_type(x) = 'VARCHAR' THEN json_extract_string(x, '$') ELSE json_extract_string(x, '$.name') || coalesce(': ' || json_extract_string(x, '$.type'), '') END, ', ' ORDER BY n) FROM (SELECT unnest(CAST(w AS JSON[])) AS x, generate_subscripts(CAST(w AS JSON[]), 1) AS n)), '') AS parameters, CAST(coalesce(branch_count, 0) AS BIGINT) AS branch_count "
+    f"FROM (SELECT * FROM ({_READ}) WHERE there AND listed)",
+)
+_add("unread_functions", lambda s, a: decode.symbols(s, a, ("parameters",))[1].select("id", "location", "reason"), "stored_functions files", f"SELECT id, location, CASE WHEN NOT there THEN 'location' ELSE 'parameters' END AS reason FROM ({_READ}) WHERE NOT there OR NOT listed")
+_add(
+    "typed_dependencies", lambda d, a: decode.dependencies(d, a)[0].select("id", "file_path", *_place("location"), "is_external"), "stored_deps files",
+    f"SELECT d.id, g.path AS file_path, {_LOC('v')}, coalesce(is_external <> 0, true) AS is_external FROM (SELECT *, CASE WHEN json_valid(location) THEN location END AS v FROM stored_deps) d JOIN files g ON g.id = d.file_id WHERE coalesce(location, '') = '' OR coalesce({_VALID.format('v')}, false)",
+)
+# edits and searches with what stands around
+_add(
+    "edit_symbol", lambda a, f, c: text.edit_symbol(a, symbols.find_location(f, c, "blue anvil").withColumns({"start_line": F.lit(2), "end_line": F.lit(3)}), "new\nlines\nhere"), "files functions classes",
+    "SELECT path, array_to_string(list_concat(l[1:1], ['new', 'lines', 'here'], l[4:]), chr(10)) AS content, array_to_string(list_concat(['@@ ' || path || ':2-3 (' || len(l[2:3]) || ' lines -> 3 lines) @@', '    ' || l[1]], list_transform(l[2:3], lambda x: '  - ' || x), ['  + new', '  + lines', '  + here'], list_transform(l[4:8], lambda x: '    ' || x)), chr(10)) AS report "
+    "FROM (SELECT path, string_split(content, chr(10)) AS l FROM files WHERE id = (SELECT arg_min(file_id, CASE WHEN parent_type = 'class' THEN id ELSE id + 1000000000 END) FROM functions WHERE name = 'blue anvil'))",
+)
+_add(
+    "grep_context", lambda a: text.grep_context(a, "!!", 2).select("path", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "text"), "files",
+    "WITH l AS (SELECT path, string_split(content, chr(10)) AS l FROM files), h AS (SELECT path, l, unnest(range(1, CAST(len(l) + 1 AS BIGINT))) AS n FROM l), m AS (SELECT path, l, n, CASE WHEN n - lag(n) OVER (PARTITION BY path ORDER BY n) <= 5 THEN 0 ELSE 1 END AS apart FROM h WHERE contains(l[n], '!!')), "
+    "i AS (SELECT path, any_value(l) AS l, greatest(min(n) - 2, 1) AS first, least(max(n) + 2, any_value(len(l))) AS last FROM (SELECT *, sum(apart) OVER (PARTITION BY path ORDER BY n) AS island FROM m) GROUP BY path, island) SELECT path, first, last, array_to_string(l[first:last], chr(10)) AS text FROM i",
+)
+
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
     _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "a")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%a%'")

@@ -72,14 +72,41 @@ SELECTS = {
     "operations": "SELECT event_id AS id, user_id AS session_id, 'file' || event_id % 40 AS file_path, event_type AS operation FROM {events}",
 }
 
+# what reports on files need
+SELECTS["report_functions"] = SELECTS["code_functions"].replace(" FROM {part}", ", CASE WHEN p_type = 'PROMO' THEN NULL WHEN p_type = 'SMALL' THEN '' ELSE p_brand END AS description, p_type AS argument, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE NULL END AS argument_type, 2 AS start_line, 2 + p_size % 4 AS end_line FROM {part}")
+SELECTS["report_classes"] = (
+    "SELECT s_suppkey AS id, s_suppkey % 200 AS file_id, s_name AS name, CASE WHEN s_suppkey % 6 = 0 THEN s_suppkey ELSE NULL END AS parent_id, CASE WHEN s_suppkey % 4 = 0 THEN 'ns' || CAST(s_nationkey AS STRING) ELSE NULL END AS namespace, "
+    "CASE WHEN s_acctbal < 5000 THEN NULL ELSE 'supplier of ' || s_name END AS description, 1 AS start_line, 3 AS end_line FROM {supplier}"
+)
+SELECTS["report_variables"] = (
+    "SELECT c_custkey AS id, c_custkey % 200 AS file_id, 'v' || CAST(c_custkey % 300 AS STRING) AS name, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 12 + 1 END AS parent_id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'class' END AS parent_type, "
+    "CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS field_type, CASE WHEN c_custkey % 5 = 0 THEN c_name ELSE NULL END AS description FROM {customer}"
+)
+SELECTS["report_deps"] = (
+    "SELECT id, source_function_id, file_id, dependency_type, name FROM (" + SELECTS["code_deps"] + ") AS d UNION ALL SELECT DISTINCT 'import:' || CAST(o_custkey % 200 AS STRING) || ':' || CAST(o_orderkey % 40 AS STRING), CAST(NULL AS BIGINT), o_custkey % 200, 'import', 'import mod' || CAST(o_orderkey % 40 AS STRING) FROM {orders} "
+    "UNION ALL SELECT DISTINCT CAST(l_partkey AS STRING) || ':v' || CAST(l_suppkey % 320 AS STRING), l_partkey, l_partkey % 200, 'variable_reference', 'v' || CAST(l_suppkey % 320 AS STRING) FROM {lineitem}"
+)
+# stored JSON, some of it cut off, without a required key or with others beside
+SELECTS["stored_functions"] = (
+    """SELECT p_partkey AS id, p_partkey % 200 AS file_id, p_name AS name, CASE p_partkey % 9 WHEN 0 THEN '{{"start_line": 1, "start_col' WHEN 1 THEN '{{"start_line": 1}}' WHEN 2 THEN NULL WHEN 3 THEN '{{"start_line": ' || CAST(p_size AS STRING) || ', "start_column": 0, "end_line": 9, "end_column": 2, "start_byte": 7, "end_byte": 8, "extra": [1]}}' """
+    """WHEN 4 THEN '[1]' ELSE '{{"start_line": ' || CAST(p_size AS STRING) || ', "start_column": 4, "end_line": ' || CAST(p_size + 3 AS STRING) || ', "end_column": 1}}' END AS location, """
+    """CASE p_partkey % 7 WHEN 0 THEN '[]' WHEN 1 THEN '["self", "x"]' WHEN 2 THEN '[{{"name": "a", "type": null}}, {{"name": "b", "type": "int", "more": 1}}]' WHEN 3 THEN '{{"name": "a"}}' WHEN 4 THEN 'nothing' ELSE '[{{"name": "' || p_brand || '", "type": "' || p_type || '"}}]' END AS parameters, """
+    """CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END AS branch_count FROM {part}"""
+)
+SELECTS["stored_deps"] = """SELECT o_orderkey AS id, o_custkey % 200 AS file_id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '{{"start_line": 3, "start_column": 1, "end_line": 3, "end_column": 9}}' WHEN 3 THEN '{{"start_line"' ELSE '{{"start_line": 4, "start_column": 1, "end_line": 4, "end_column": 9, "end_byte": 77}}' END AS location, CASE o_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS is_external FROM {orders}"""
+
+
+def _tables(name: str) -> set[str]:
+    return set(re.findall(r"\{(\w+)\}", SELECTS[name]))
+
 
 def standin(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    names = set(re.findall(r"\{(\w+)\}", SELECTS[name]))
+    names = _tables(name)
     return spark.sql(SELECTS[name], **{t: table(spark, sf_dir, t) for t in names})
 
 
 def with_standins(body: str) -> str:
     """body with a WITH clause of the stand-ins that it names."""
     used = [name for name in SELECTS if re.search(rf"\b{name}\b", body)]
-    clauses = ", ".join(f"{name} AS ({re.sub(r'[{}]', '', SELECTS[name])})" for name in used)
+    clauses = ", ".join(f"{name} AS ({SELECTS[name].format(**{t: t for t in _tables(name)})})" for name in used)
     return (f"WITH RECURSIVE {clauses}, " + body[5:].lstrip() if body.startswith("WITH ") else f"WITH {clauses} {body}") if used else body
