@@ -63,7 +63,8 @@ def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
         steps = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(v, k * _STEP + 1, F.lit(_STEP)))
         return once(steps, lambda each: F.flatten(F.zip_with(each, fold(F.transform(each, lambda xs: F.aggregate(xs, zero, add)), zero), fold)))
 
-    return once(values, totals)
+    # few values need no steps
+    return once(values, lambda v: F.when(F.size(v) <= _STEP, fold(v, zero)).otherwise(totals(v)))
 
 
 def _between(low: int, high: int) -> Callable[[Column], Column]:

@@ -126,31 +126,41 @@ def test_toxicity_equals_brute_force(spark):
 def test_quality_verdict_equals_brute_force(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
     docs = docs.union(spark.createDataFrame([(10_000 + k, "Qx zzq " * 5 + "! ? " * 60 + f"w{k} " * 3, "one" if k else None) for k in range(2)], docs.schema))
-    measured = {r["doc_id"]: r for r in quality.measure(docs).collect()}
+    split = lambda text: [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+    counted = {}
     for r in docs.collect():
-        words = [w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]
-        text, chars = r["text"] or "", measured[r["doc_id"]]["chars"]
+        counted.setdefault(r["lang"], Counter()).update(w.lower() for w in split(r["text"]))
+    common = {lang: sorted(c, key=lambda w: (-c[w], w))[: quality.WORD_BINS] for lang, c in counted.items()}
+    name = lambda lang: "n" if lang is None else f"s{lang}"
+    lists = quality.common_words(docs)
+    assert {r["key"]: r["common"] for r in lists.collect()} == {name(lang): words for lang, words in common.items()}
+    measured = {r["doc_id"]: r for r in quality.measure(docs, lists).collect()}
+    for r in docs.collect():
+        words, m = split(r["text"]), measured[r["doc_id"]]
+        text, chars = r["text"] or "", m["chars"]
         sets = [lambda c: "a" <= c <= "z", lambda c: "A" <= c <= "Z", lambda c: "0" <= c <= "9", lambda c: c in ".,;:!?'\"()-", lambda c: c in "#*$%&|<>@=+~^_/\\{}[]`", lambda c: ord(c) > 127 and unicodedata.category(c)[0] == "L"]
         assert chars == [len(text), len(text) - sum(map(len, words)), *(sum(map(f, text)) for f in sets)], text[:80]
-        assert sum(measured[r["doc_id"]]["words"][1:]) == sum(w.lower() in quality.COMMON_WORDS for w in words) and measured[r["doc_id"]]["words"][0] == len(words)
+        seen, own = Counter(w.lower() for w in words), common.get(r["lang"], [])
+        assert m["words"] == [len(words), *(seen[w] for w in own), *[0] * (quality.WORD_BINS - len(own))]
 
     def shares(counts):
         parts = [x / max(counts[0], 1) for x in counts[1:]]
         return [*parts, max(0.0, 1 - sum(parts))]
 
-    def distance(p, q):
+    def distance(own, other, bins):
+        if not other or not other[0]:
+            return 0.0
         half = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
-        return math.sqrt(max(0.0, sum((half(a, b) + half(b, a)) / 2 for a, b in zip(p, q))))
+        found = max(0.0, sum((half(a, b) + half(b, a)) / 2 for a, b in zip(shares(own), shares(other))))
+        return math.sqrt(max(0.0, found - (bins - 1) / (8 * math.log(2)) * (1 / max(own[0], 1) + 1 / other[0])))
 
     judged = [m for m in measured.values() if m["n_words"] >= quality.MIN_WORDS]
     total = lambda rows, c: [sum(x) for x in zip(*(m[c] for m in rows))]
     for r in quality.quality(docs).collect():
         m, far = measured[r["doc_id"]], {}
-        other = [x for x in judged if x["doc_id"] != r["doc_id"]]
-        own = [x for x in other if x["lang"] == m["lang"] and m["lang"] is not None]
-        reference = own if own and total(own, "words")[0] >= quality.MIN_REFERENCE else other
-        for c in ("chars", "words"):
-            far[c] = distance(shares(m[c]), shares(total(reference, c)))
+        others = [x for x in judged if x["doc_id"] != r["doc_id"] and x["key"] == m["key"]]
+        for c, bins in (("chars", len(quality.CLASSES) + 2), ("words", quality.WORD_BINS + 1)):
+            far[c] = distance(m[c], total(others, c), bins)
         assert abs(far["chars"] - r["char_distance"]) < 1e-9 and abs(far["words"] - r["word_distance"]) < 1e-9
         failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
         fits = far["chars"] <= quality.MAX_CHAR_DISTANCE and (m["n_words"] < quality.MIN_WORDS_HISTOGRAM or far["words"] <= quality.MAX_WORD_DISTANCE)
