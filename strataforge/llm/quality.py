@@ -14,11 +14,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataforge.llm.pii import once
 from strataforge.storage import keep
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: Classes of characters beside white space, the last of them letters outside ASCII: what each expression finds is taken out and the rest counted.
-CLASSES = tuple(f"[^{c}]+" for c in ("a-z", "A-Z", "0-9", ".,;:!?'\"()-", "#*$%&|<>@=+~^_/\\\\{}\\[\\]`")) + ("[\\P{L}A-Za-z]+",)
+#: Classes of characters beside white space and small letters, the last of them letters outside ASCII: what each expression finds is taken out and the rest counted.
+CLASSES = tuple(f"[^{c}]+" for c in ("A-Z", "0-9", ".,;:!?'\"()-", "#*$%&|<>@=+~^_/\\\\{}\\[\\]`")) + ("[\\P{L}A-Za-z]+",)
 #: Bins of the histogram of common words, one for each of a language's commonest words; and bits for a place in a text's words.
 WORD_BINS, PLACE_BITS = 40, 24
 #: Parts of a language's words that are ranked apart before the best of them are.
@@ -69,35 +70,46 @@ def _key(lang: Column) -> Column:
     return F.when(lang.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), lang))
 
 
-def _lower_words(text: Column) -> Column:
-    return F.transform(_words(F.coalesce(text, F.lit(""))), lambda w: F.lower(w))
-
-
 def common_words(docs: DataFrame) -> DataFrame:
-    """(key, common): the WORD_BINS commonest words of each language of docs (text, lang), in lower case, ties by the word."""
-    counts = docs.select(_key(F.col("lang")).alias("key"), F.explode(_lower_words(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("n"))
+    """(key, common, by_size, before): the WORD_BINS commonest words of each language of docs (text, lang), in lower case, ties by the word.
+
+    common has them by their bytes and then how common they are; by_size has those of 0, 1, 2, ... bytes apart, and
+    before how many are shorter: a word is looked for among few.
+    """
+    words = docs.select(_key(F.col("lang")).alias("key"), F.explode(F.split(F.lower("text"), SPACE)).alias("word")).filter("word != ''")
+    counts = words.groupBy("key", "word").agg(F.count("*").alias("n"))
     best = lambda t, *by: t.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= WORD_BINS)
     # a language's words are too many for one task, but not the best of each part of them
     few = best(best(counts.withColumn("part", F.pmod(F.xxhash64("word"), F.lit(RANK_PARTS))), "key", "part"), "key")
-    return few.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("common"))
+    listed = few.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.octet_length("word").alias("size"), "rank", "word"))), lambda x: x["word"]).alias("common"))
+    sizes = F.sequence(F.lit(0), F.octet_length(F.element_at("common", -1)))
+    of_size = F.transform(sizes, lambda n: F.filter("common", lambda w: F.octet_length(w) == n))
+    shorter = F.transform(sizes, lambda n: F.size(F.filter("common", lambda w: F.octet_length(w) < n)))
+    return listed.select("key", "common", of_size.alias("by_size"), shorter.alias("before"))
 
 
 def measure(docs: DataFrame, common: DataFrame) -> DataFrame:
     """doc_id, key and the counts of each document: the base ones, chars (by class) and words (by the language's common words, from common_words())."""
     texts = docs.select("doc_id", _key(F.col("lang")).alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(common, "key", "left")
+    # nearly all of a text is small letters and white space; the classes are counted on the rest
+    texts = texts.withColumn("rest", F.regexp_replace("text", "[a-z\\x20\\x09-\\x0D]+", ""))
     split = texts.withColumns({"words": _words(F.col("text")), "lines": F.filter(F.split("text", "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))})
     # a letter for each common word in the text: what taking a letter out makes it shorter by is the word's count
-    letter = lambda w: F.char((F.array_position("common", F.lower(w)) + 64).cast("int"))
-    marks = F.replace(F.array_join(F.transform("words", letter), ""), F.lit("@"), F.lit(""))
-    hashed = repeated_words(split.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "marks": F.when(F.col("common").isNull(), "").otherwise(marks)}))
+    place = lambda w: F.array_position(F.get("by_size", F.octet_length(w)), w)
+    letter = lambda w: F.when(place(w) > 0, F.char((F.get("before", F.octet_length(w)) + place(w) + 64).cast("int"))).otherwise("")
+    short = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: F.octet_length(w) < F.size("by_size"))
+    marks = F.array_join(F.transform(short, letter), "")
+    hashed = repeated_words(split.withColumns({"hashes": F.transform("words", lambda w: F.xxhash64(w)), "marks": F.coalesce(marks, F.lit(""))}))
     n_words, n_chars = F.size("words").cast("long"), F.length("text").cast("long")
     word_chars = F.length(F.array_join("words", "")).cast("long")
-    in_bin = lambda k: (F.length("marks") - F.length(F.replace("marks", F.lit(chr(65 + k)), F.lit("")))).cast("long")
-    count = lambda other: F.length(F.regexp_replace("text", other, "")).cast("long")
+    # in one lambda, so that the marks are made once
+    counts = once(F.col("marks"), lambda m: F.array(*((F.octet_length(m) - F.octet_length(F.replace(m, F.lit(chr(65 + k)), F.lit("")))).cast("long") for k in range(WORD_BINS))))
+    count = lambda other: F.length(F.regexp_replace("rest", other, "")).cast("long")
+    small = (word_chars - F.length("rest")).cast("long")
     return hashed.select(
         "doc_id", "key", n_words.alias("n_words"), word_chars.alias("word_chars"), count("[^#*$%&|<>]+").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.array(n_chars, n_chars - word_chars, *(count(c) for c in CLASSES)).alias("chars"), F.array(n_words, *(in_bin(k) for k in range(WORD_BINS))).alias("words"),
+        F.array(n_chars, n_chars - word_chars, small, *(count(c) for c in CLASSES)).alias("chars"), F.concat(F.array(n_words), counts).alias("words"),
     )
 
 
@@ -138,7 +150,7 @@ def quality(docs: DataFrame) -> DataFrame:
     """
     # a row a language, written first: Spark sees its size and broadcasts it if it is under its threshold
     found = keep(measure(docs, keep(common_words(docs), "common")), "measures")
-    widths = {"chars": len(CLASSES) + 2, "words": WORD_BINS + 1}
+    widths = {"chars": len(CLASSES) + 3, "words": WORD_BINS + 1}
     sums = [F.sum(F.get(c, F.lit(k))).alias(f"{c}_{k}") for c, n in widths.items() for k in range(n)]
     arrays = [F.array(*(F.coalesce(f"{c}_{k}", F.lit(0)) for k in range(n))).alias(f"{c}_of") for c, n in widths.items()]
     references = keep(found.filter(F.col("n_words") >= MIN_WORDS).groupBy("key").agg(*sums).select("key", *arrays), "references")

@@ -130,7 +130,7 @@ def test_quality_verdict_equals_brute_force(spark):
     counted = {}
     for r in docs.collect():
         counted.setdefault(r["lang"], Counter()).update(w.lower() for w in split(r["text"]))
-    common = {lang: sorted(c, key=lambda w: (-c[w], w))[: quality.WORD_BINS] for lang, c in counted.items()}
+    common = {lang: sorted(sorted(c, key=lambda w: (-c[w], w))[: quality.WORD_BINS], key=lambda w: len(w.encode())) for lang, c in counted.items()}
     name = lambda lang: "n" if lang is None else f"s{lang}"
     lists = quality.common_words(docs)
     assert {r["key"]: r["common"] for r in lists.collect()} == {name(lang): words for lang, words in common.items()}
@@ -159,7 +159,7 @@ def test_quality_verdict_equals_brute_force(spark):
     for r in quality.quality(docs).collect():
         m, far = measured[r["doc_id"]], {}
         others = [x for x in judged if x["doc_id"] != r["doc_id"] and x["key"] == m["key"]]
-        for c, bins in (("chars", len(quality.CLASSES) + 2), ("words", quality.WORD_BINS + 1)):
+        for c, bins in (("chars", len(quality.CLASSES) + 3), ("words", quality.WORD_BINS + 1)):
             far[c] = distance(m[c], total(others, c), bins)
         assert abs(far["chars"] - r["char_distance"]) < 1e-9 and abs(far["words"] - r["word_distance"]) < 1e-9
         failed = m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"]
