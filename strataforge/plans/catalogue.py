@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.operators import decode, graph, history, reports, sessions, snapshots, symbols, text
+from strataforge.operators import decode, graph, history, imports, nesting, reports, sessions, snapshots, symbols, text
 from strataforge.sources import files
 from strataforge.plans.standins import SELECTS, standin, with_standins
 from strataforge.storage import folder, table
@@ -411,6 +411,48 @@ _add(
     "i AS (SELECT path, any_value(l) AS l, greatest(min(n) - 2, 1) AS first, least(max(n) + 2, any_value(len(l))) AS last FROM (SELECT *, sum(apart) OVER (PARTITION BY path ORDER BY n) AS island FROM m) GROUP BY path, island) SELECT path, first, last, array_to_string(l[first:last], chr(10)) AS text FROM i",
 )
 
+# imports against the tree
+_hit = lambda *paths: "(" + " OR ".join(f"EXISTS (SELECT 1 FROM every e WHERE e.place = {p})" for p in paths) + ")"
+_part = lambda pattern: f"regexp_extract(name, '{pattern}', 1)"
+_slashed = lambda pattern: f"replace({_part(pattern)}, '.', '/')"
+_INSIDE = _part('"(.*)"')
+_INTERNAL = (
+    f"CASE language WHEN 'python' THEN EXISTS (SELECT 1 FROM every e WHERE e.is_dir AND e.place = {_part('^(?:from|import) ([^. ]+)')}) "
+    f"""WHEN 'go' THEN starts_with(name, '.') OR {_hit(_part('([^/"]+)"?$'))} WHEN 'typescript' THEN contains(name, '"./') OR {_hit(_INSIDE, _INSIDE + " || '.ts'")} WHEN 'javascript' THEN false """
+    f"""WHEN 'rust' THEN contains(name, 'crate::') WHEN 'cpp' THEN contains(name, '"') WHEN 'csharp' THEN NOT starts_with(name, 'using System') AND {_hit(_slashed('^using (.*);'))} """
+    f"""WHEN 'php' THEN CASE WHEN starts_with(name, 'use ') THEN NOT starts_with(name, 'use Symfony') AND {_hit(_part('^use (.*);'))} ELSE contains(name, '"./') OR {_hit(_INSIDE)} END """
+    f"""WHEN 'dart' THEN NOT contains(name, 'package:') AND {_hit(_INSIDE)} WHEN 'java' THEN {_hit(_slashed('^import (.*);') + " || '.java'")} WHEN 'kotlin' THEN {_hit(_slashed('^import (.*)$') + " || '.kt'")} """
+    f"""WHEN 'zig' THEN NOT contains(name, '"std') AND {_hit(_INSIDE)} WHEN 'elixir' THEN {_hit("'lib/my_app/' || lower(" + _part('^MyApp.(.*)$') + ") || '.ex'")} ELSE false END"""
+)
+_add(
+    "resolved_imports", lambda i, f: imports.resolved(i, imports.tree(f)).select("id", "language", "name", "external"), "import_rows tree_files",
+    f"WITH every AS MATERIALIZED (SELECT DISTINCT path AS place, false AS is_dir FROM tree_files UNION SELECT array_to_string(list_slice(p, 1, n), '/'), true FROM (SELECT p, unnest(range(1, len(p))) AS n FROM (SELECT string_split(path, '/') AS p FROM tree_files))) SELECT id, language, name, NOT ({_INTERNAL}) AS external FROM import_rows",
+)
+
+
+# symbols from the text of files that are made of parts: what comes back are the parts
+def _made(part: DataFrame, indented: bool) -> DataFrame:
+    """(path, content): a file for each 200th part, with a class that has a function for each of its parts."""
+    body, stop = (":", "") if indented else (" {", "\n  }")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"), F.col("p_partkey").cast("string"))
+    branches = F.repeat(F.lit("\n    if x: y('}')  # for" if indented else '\n    if (x) { y("}"); } // while {'), (F.col("p_size") % 3).cast("int"))
+    inner = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("\n    class " if indented else "\n    struct "), F.lit("In_"), name, F.lit(f"{body}\n      pass" if indented else f"{body}\n    }}"))).otherwise("")
+    text = F.concat(F.lit("  def " if indented else "  func "), name, F.lit(f"(a){body}"), branches, inner, F.lit("\n    pass" if indented else ""), F.lit(stop))
+    each = part.groupBy((F.col("p_partkey") % 200).alias("f")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", text.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    head = F.concat(F.lit("# class No:\nclass C" if indented else "// class No {\nclass C"), F.col("f").cast("string"), F.lit(f"{body}\n"))
+    return each.select(F.concat(F.lit("src/"), F.col("f").cast("string")).alias("path"), F.concat(head, "t", F.lit("" if indented else "\n}")).alias("content"))
+
+
+_NESTED = (
+    "WITH p AS (SELECT p_partkey % 200 AS f, replace(p_name, ' ', '_') || '_' || p_partkey AS name, p_size % 3 AS b, p_size % 5 = 0 AS deep, 2 + p_size % 3 + CASE WHEN p_size % 5 = 0 THEN 2 ELSE 0 END AS size, p_partkey FROM part), "
+    "q AS (SELECT *, 3 + coalesce(sum(size) OVER (PARTITION BY f ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM p) "
+    "SELECT 'src/' || f AS path, 'function' AS kind, name, CAST(first AS BIGINT) AS first, CAST(first + size - 1 AS BIGINT) AS last, 'C' || f AS owner, 'class' AS owner_kind, CAST(b AS BIGINT) AS branches FROM q "
+    "UNION ALL SELECT 'src/' || f, '{inner}', 'In_' || name, CAST(first + 1 + b AS BIGINT), CAST(first + 2 + b AS BIGINT), name, 'function', 0 FROM q WHERE deep UNION ALL SELECT 'src/' || f, 'class', 'C' || f, 2, CAST(max(first + size - 1) + {end} AS BIGINT), NULL, NULL, CAST(sum(b) AS BIGINT) FROM q GROUP BY f"
+)
+_whole_numbers = lambda t: t.select("path", "kind", "name", *(F.col(c).cast("long").alias(c) for c in ("first", "last")), "owner", "owner_kind", F.col("branches").cast("long").alias("branches"))
+_add("nested_in_braces", lambda p: _whole_numbers(nesting.nested(_made(p, False), False)), "part", _NESTED.format(inner="struct", end=1))
+_add("nested_by_indent", lambda p: _whole_numbers(nesting.nested(_made(p, True), True)), "part", _NESTED.format(inner="class", end=0))
+
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
     _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "a")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%a%'")

@@ -86,6 +86,18 @@ SELECTS["report_deps"] = (
     "SELECT id, source_function_id, file_id, dependency_type, name FROM (" + SELECTS["code_deps"] + ") AS d UNION ALL SELECT DISTINCT 'import:' || CAST(o_custkey % 200 AS STRING) || ':' || CAST(o_orderkey % 40 AS STRING), CAST(NULL AS BIGINT), o_custkey % 200, 'import', 'import mod' || CAST(o_orderkey % 40 AS STRING) FROM {orders} "
     "UNION ALL SELECT DISTINCT CAST(l_partkey AS STRING) || ':v' || CAST(l_suppkey % 320 AS STRING), l_partkey, l_partkey % 200, 'variable_reference', 'v' || CAST(l_suppkey % 320 AS STRING) FROM {lineitem}"
 )
+# import statements in all languages, of things that are in the tree and of others
+SELECTS["tree_files"] = (
+    "SELECT DISTINCT CASE p_partkey % 8 WHEN 0 THEN 'pkg' || CAST(p_size AS STRING) || '/mod.py' WHEN 1 THEN 'mod' || CAST(p_size AS STRING) || '.py' WHEN 2 THEN 'web/' || replace(p_name, ' ', '_') || '.ts' WHEN 3 THEN 'com/acme/' || replace(p_name, ' ', '_') || '.java' "
+    "WHEN 4 THEN 'lib/my_app/' || replace(p_name, ' ', '_') || '.ex' WHEN 5 THEN 'App/Models/' || replace(p_name, ' ', '_') || '/x.cs' WHEN 6 THEN 'org/' || replace(p_name, ' ', '_') || '.kt' ELSE replace(p_name, ' ', '_') || '/file.go' END AS path FROM {part}"
+)
+SELECTS["import_rows"] = (
+    "SELECT DISTINCT CAST(id AS STRING) || ':' || language || ':' || name AS id, language, name FROM (SELECT id, CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'python' WHEN 2 THEN 'go' WHEN 3 THEN 'go' WHEN 4 THEN 'typescript' WHEN 5 THEN 'javascript' WHEN 6 THEN 'rust' WHEN 7 THEN 'cpp' WHEN 8 THEN 'csharp' WHEN 9 THEN 'php' WHEN 10 THEN 'php' WHEN 11 THEN 'dart' WHEN 12 THEN 'java' WHEN 13 THEN 'kotlin' WHEN 14 THEN 'zig' WHEN 15 THEN 'elixir' ELSE 'cobol' END AS language, "
+    """CASE k WHEN 0 THEN 'from pkg' || n || '.mod import x' WHEN 1 THEN 'import mod' || n WHEN 2 THEN '"github.com/a/' || w || '"' WHEN 3 THEN './' || w WHEN 4 THEN CASE WHEN z THEN 'import {{ x }} from "./' || w || '";' ELSE 'import {{ x }} from "web/' || w || '";' END WHEN 5 THEN 'import "@' || w || '"' """
+    """WHEN 6 THEN CASE WHEN z THEN 'use crate::' || w ELSE 'use ' || w END WHEN 7 THEN CASE WHEN z THEN '#include "' || w || '.h"' ELSE '#include <' || w || '>' END WHEN 8 THEN CASE WHEN z THEN 'using System.' || w || ';' ELSE 'using App.Models.' || w || ';' END WHEN 9 THEN CASE WHEN z THEN 'require "./' || w || '";' ELSE 'include "' || w || '/file.go";' END """
+    """WHEN 10 THEN CASE WHEN z THEN 'use Symfony' || w || ';' ELSE 'use App;' END WHEN 11 THEN CASE WHEN z THEN 'import "package:' || w || '";' ELSE 'import "web/' || w || '.ts";' END WHEN 12 THEN 'import com.acme.' || w || ';' WHEN 13 THEN 'import org.' || w WHEN 14 THEN CASE WHEN z THEN '@import("std")' ELSE '@import("mod' || n || '.py")' END """
+    "WHEN 15 THEN 'MyApp.' || upper(substring(w, 1, 1)) || substring(w, 2) ELSE 'COPY ' || w END AS name FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 17 AS k, CAST(p_size AS STRING) AS n, CASE WHEN l_suppkey % 7 = 0 THEN 'absent' ELSE replace(p_name, ' ', '_') END AS w, l_suppkey % 2 = 0 AS z FROM {lineitem} JOIN {part} ON p_partkey = l_suppkey % 199 + 1) AS r) AS s"
+)
 # stored JSON, some of it cut off, without a required key or with others beside
 SELECTS["stored_functions"] = (
     """SELECT p_partkey AS id, p_partkey % 200 AS file_id, p_name AS name, CASE p_partkey % 9 WHEN 0 THEN '{{"start_line": 1, "start_col' WHEN 1 THEN '{{"start_line": 1}}' WHEN 2 THEN NULL WHEN 3 THEN '{{"start_line": ' || CAST(p_size AS STRING) || ', "start_column": 0, "end_line": 9, "end_column": 2, "start_byte": 7, "end_byte": 8, "extra": [1]}}' """
