@@ -47,7 +47,7 @@ _add("files_by_language", lambda f: symbols.files_by_language(f, "de").select("i
 _add("file_by_path", lambda f: symbols.file_by_path(f, "./src7/7.en").unionByName(symbols.file_by_path(f, "src3/3.en")).select("id", "path"), "files", "SELECT id, path FROM files WHERE path IN ('src7/7.en', 'src3/3.en')")
 _add("symbol_by_id", lambda f: _pick(symbols.by_id(f, 42)), "functions", f"SELECT {SYMBOL} FROM functions WHERE id = 42")
 _add("symbol_by_name", lambda f: _pick(symbols.by_name(f, "blue anvil")), "functions", f"SELECT {SYMBOL} FROM functions WHERE name = 'blue anvil'")
-_add("symbol_by_name_in_file", lambda f: _pick(symbols.by_name(f, "blue anvil", 3)), "functions", f"SELECT {SYMBOL} FROM functions WHERE name = 'blue anvil' AND file_id = 3")
+_add("symbol_by_name_in_file", lambda f: _pick(symbols.by_name(f, "blue anvil", 81)), "functions", f"SELECT {SYMBOL} FROM functions WHERE name = 'blue anvil' AND file_id = 81")
 _add("functions_top_level", lambda f: _pick(symbols.top_level(f)), "functions", f"SELECT {SYMBOL} FROM functions WHERE parent_id IS NULL")
 _add("classes_top_level", lambda f: _pick(symbols.top_level(f)), "classes", f"SELECT {SYMBOL} FROM classes WHERE parent_id IS NULL")
 _add("variables_top_level", lambda f: _pick(symbols.top_level(f, 8)), "variables", f"SELECT {SYMBOL} FROM variables WHERE parent_id IS NULL AND file_id = 8")
@@ -66,8 +66,8 @@ _add(
     f"SELECT rank, kind, id, name, description FROM (SELECT *, row_number() OVER (PARTITION BY rank, kind ORDER BY id) AS n FROM (SELECT *, CASE WHEN name = 'blue anvil' THEN 0 WHEN name ILIKE '%blue anvil%' THEN 1 WHEN description ILIKE '%blue anvil%' THEN 2 END AS rank FROM ({UNION})) WHERE rank IS NOT NULL) WHERE n <= 10 ORDER BY rank, name, kind_ord, id LIMIT 10",
 )
 _add(
-    "search_descriptions", lambda f, c, v: symbols.search_descriptions(_kinds(f, c, v), "mall", 20).select("kind", "id", "name"), "functions classes variables",
-    f"SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM ({UNION}) WHERE description ILIKE '%mall%') WHERE n <= 20 ORDER BY kind_ord, id LIMIT 20",
+    "search_descriptions", lambda f, c, v: symbols.search_descriptions(_kinds(f, c, v), "brand#2", 20).select("kind", "id", "name"), "functions classes variables",
+    f"SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM ({UNION}) WHERE description ILIKE '%brand#2%') WHERE n <= 20 ORDER BY kind_ord, id LIMIT 20",
 )
 _add("undocumented_symbols", lambda f, c, v: symbols.undocumented(_kinds(f, c, v)), "functions classes variables", f"SELECT kind, name, count(*) AS n FROM ({UNION}) WHERE coalesce(description, '') = '' GROUP BY kind, name")
 _add(
@@ -176,7 +176,7 @@ _add(
 )
 # sessions
 _add("list_chats", sessions.chats_with_user, "messages", "SELECT DISTINCT session_id FROM messages WHERE role = 'user'")
-_add("purged_chats", lambda m: sessions.chats_without_user(m.select("session_id").distinct(), m), "messages", "SELECT session_id FROM messages GROUP BY session_id HAVING count(*) FILTER (role = 'user') = 0")
+_add("purged_chats", lambda m: sessions.chats_without_user(m.select("session_id").distinct(), m), "half_messages", "SELECT session_id FROM half_messages GROUP BY session_id HAVING count(*) FILTER (role = 'user') = 0")
 _add("chat_title", lambda m: m.select("session_id", "turn", sessions.title(F.col("text")).alias("title")), "messages", r"SELECT session_id, turn, CASE WHEN text = '' THEN 'Untitled' WHEN length(t) > 50 THEN t[1:50] || '...' ELSE t END AS title FROM (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM messages)")
 _add(
     "session_finished", sessions.session_finished, "turns redirects",
@@ -455,7 +455,7 @@ _add("nested_by_indent", lambda p: _whole_numbers(nesting.nested(_made(p, True),
 
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
-    _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "a")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%a%'")
+    _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "r")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%r%'")
     _add(f"{_kind}_by_id", lambda t: _pick(symbols.by_id(t, 3)), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE id = 3")
     _add(f"{_kind}_with_path", lambda t, a: symbols.with_path(t, a).select("id", "name", "file_path"), f"{_kind} files", f"SELECT t.id, t.name, g.path AS file_path FROM {_kind} t JOIN files g ON g.id = t.file_id")
     _add(

@@ -48,6 +48,7 @@ SELECTS = {
     "list_edits": "SELECT user_id AS list_id, event_id AS seq, CASE event_type WHEN 'error' THEN 'cancel' WHEN 'view' THEN 'open' ELSE 'insert' END AS op, 'event ' || CAST(event_id AS STRING) AS goal, CASE WHEN event_type = 'signup' THEN NULL ELSE event_id * 7 % 45 - 1 END AS after FROM {events}",
     "session_log": "SELECT event_id AS seq, user_id AS id, event_type = 'error' AS deleted, user_id % 20 AS chat_id, CASE WHEN event_type = 'signup' THEN user_id + 1 + event_id % 5 ELSE NULL END AS redirect, props AS title FROM {events}",
     "chat_deletions": "SELECT user_id % 20 AS chat_id, event_id AS seq FROM {events} WHERE event_type = 'purchase' AND value > 100",
+    "half_messages": "SELECT conv_id AS session_id, turn, CASE WHEN conv_id % 9 = 4 AND role = 'user' THEN 'system' ELSE role END AS role, text FROM {conversations}",
     "turns": "SELECT conv_id AS session_id, turn, role, CASE WHEN role = 'assistant' AND length(text) % 3 = 0 THEN 2 ELSE 0 END AS n_calls FROM {conversations}",
     "redirects": "SELECT conv_id AS id, CASE WHEN conv_id % 4 = 1 THEN conv_id + 1 WHEN conv_id % 7 = 2 THEN conv_id + 5 ELSE NULL END AS next FROM {conversations} GROUP BY conv_id",
     "messages": "SELECT conv_id AS session_id, turn, role, text FROM {conversations}",
