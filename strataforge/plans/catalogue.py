@@ -455,7 +455,8 @@ _add("nested_by_indent", lambda p: _whole_numbers(nesting.nested(_made(p, True),
 
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
-    _add(f"{_kind}_by_name", lambda t: _pick(symbols.search(t, "r")), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%r%'")
+    _letter = "a" if _kind == "type_aliases" else "r"
+    _add(f"{_kind}_by_name", lambda t, x=_letter: _pick(symbols.search(t, x)), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE name ILIKE '%{_letter}%'")
     _add(f"{_kind}_by_id", lambda t: _pick(symbols.by_id(t, 3)), _kind, f"SELECT {SYMBOL} FROM {_kind} WHERE id = 3")
     _add(f"{_kind}_with_path", lambda t, a: symbols.with_path(t, a).select("id", "name", "file_path"), f"{_kind} files", f"SELECT t.id, t.name, g.path AS file_path FROM {_kind} t JOIN files g ON g.id = t.file_id")
     _add(
