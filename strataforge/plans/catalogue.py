@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataforge.operators import decode, graph, history, imports, nesting, reports, sessions, snapshots, symbols, text
+from strataforge.operators import decode, graph, history, imports, nesting, reports, sessions, snapshots, store, symbols, text
 from strataforge.sources import files
 from strataforge.plans.standins import SELECTS, standin, with_standins
 from strataforge.storage import folder, table
@@ -453,6 +453,38 @@ _whole_numbers = lambda t: t.select("path", "kind", "name", *(F.col(c).cast("lon
 _add("nested_in_braces", lambda p: _whole_numbers(nesting.nested(_made(p, False), False)), "part", _NESTED.format(inner="struct", end=1))
 _add("nested_by_indent", lambda p: _whole_numbers(nesting.nested(_made(p, True), True)), "part", _NESTED.format(inner="class", end=0))
 
+# the store's tables from its log
+def _logged(t: DataFrame) -> DataFrame:
+    said = {"role": "role", "title": "title", "redirect_session_id": "redirect", "effort": "effort", "tool_calls": "tool_calls"}
+    fields = F.map_filter(F.create_map(*(x for k, c in said.items() for x in (F.lit(k), F.col(c)))), lambda k, v: v.isNotNull())
+    return t.select("seq", "op", "entity", "id", "parent", fields.alias("fields"))
+
+
+_half = lambda t: t.agg(F.floor(F.max("seq") / 2)).first()[0] or 0
+_ALIVE = (
+    "l AS (SELECT * FROM store_operations WHERE seq <= (SELECT max(seq) // 2 FROM store_operations)), made AS (SELECT entity, id, parent, seq FROM l WHERE op = 'create'), gone AS (SELECT entity, id FROM l JOIN made m USING (entity, id) WHERE op = 'delete' AND l.seq > m.seq), "
+    "c AS (SELECT * FROM made WHERE entity = 'chats' AND id NOT IN (SELECT id FROM gone WHERE entity = 'chats')), s AS (SELECT * FROM made WHERE entity = 'sessions' AND id NOT IN (SELECT id FROM gone WHERE entity = 'sessions') AND parent IN (SELECT id FROM c)), m AS (SELECT * FROM made WHERE entity = 'messages' AND parent IN (SELECT id FROM s)) "
+)
+_said = lambda f: f"arg_max(l.{f}, l.seq) FILTER (l.{f} IS NOT NULL) AS {f}"
+_ROWS = "(SELECT x.id, x.parent, x.seq, max(l.seq) AS last, {} FROM {} x JOIN l ON l.entity = x.entity AND l.id = x.id AND l.op <> 'delete' AND l.seq >= x.seq GROUP BY ALL)"
+_add(
+    "store_chats", lambda t: store.table(_logged(t), "chats", _half(t)).select("id", "role", "title", "created_at", "updated_at"), "store_operations",
+    f"WITH {_ALIVE} SELECT r.id, role, coalesce(title, role) AS title, r.seq AS created_at, greatest(last, coalesce((SELECT max(k.seq) FROM made k JOIN made z ON z.entity = 'sessions' AND z.id = k.parent WHERE k.entity = 'messages' AND z.parent = r.id AND NOT EXISTS (SELECT 1 FROM l d WHERE d.op = 'delete' AND d.entity = 'sessions' AND d.id = z.id AND d.seq BETWEEN z.seq AND k.seq)), 0)) AS updated_at FROM {_ROWS.format(_said('role') + ', ' + _said('title'), 'c')} r",
+)
+_add(
+    "store_sessions", lambda t: store.table(_logged(t), "sessions", _half(t)).select("id", "parent", F.col("redirect_session_id").alias("redirect"), "effort", "depth", "created_at", "updated_at"), "store_operations",
+    f"WITH {_ALIVE} SELECT r.id, r.parent, redirect, effort, '0' AS depth, r.seq AS created_at, greatest(last, coalesce((SELECT max(k.seq) FROM made k WHERE k.entity = 'messages' AND k.parent = r.id), 0)) AS updated_at FROM {_ROWS.format(_said('redirect') + ', ' + _said('effort'), 's')} r",
+)
+_add("store_messages", lambda t: store.table(_logged(t), "messages", _half(t)).select("id", "parent", "role", "tool_calls", "updated_at"), "store_operations", f"WITH {_ALIVE} SELECT r.id, r.parent, role, tool_calls, last AS updated_at FROM {_ROWS.format(_said('role') + ', ' + _said('tool_calls'), 'm')} r")
+_add(
+    "store_dangling", lambda t: store.dangling(store.table(_logged(t), "messages", _half(t))), "store_operations",
+    f"WITH {_ALIVE} SELECT session_id, role = 'tool' OR (role = 'assistant' AND calls) AS dangling FROM (SELECT r.parent AS session_id, arg_max(role, r.id) AS role, arg_max(tool_calls IS NOT NULL, r.id) AS calls FROM {_ROWS.format(_said('role') + ', ' + _said('tool_calls'), 'm')} r GROUP BY r.parent)",
+)
+_add(
+    "store_active_sessions", lambda t: store.active_sessions(_logged(t), _half(t)), "store_operations",
+    f"WITH {_ALIVE}, r AS MATERIALIZED {_ROWS.format(_said('redirect'), 's')}, w AS (SELECT parent AS chat_id, max(id) AS id, 0 AS hop FROM r GROUP BY parent UNION ALL SELECT w.chat_id, CAST(r.redirect AS BIGINT), hop + 1 FROM w JOIN r ON r.id = w.id WHERE r.redirect IS NOT NULL) SELECT chat_id, arg_max(id, hop) AS session_id FROM w GROUP BY chat_id",
+)
+
 # the other kinds of symbols
 for _kind in ("type_aliases", "structs", "interfaces", "enums", "namespaces"):
     _letter = "a" if _kind == "type_aliases" else "r"

@@ -99,6 +99,15 @@ SELECTS["import_rows"] = (
     """WHEN 10 THEN CASE WHEN z THEN 'use Symfony' || w || ';' ELSE 'use App;' END WHEN 11 THEN CASE WHEN z THEN 'import "package:' || w || '";' ELSE 'import "web/' || w || '.ts";' END WHEN 12 THEN 'import com.acme.' || w || ';' WHEN 13 THEN 'import org.' || w WHEN 14 THEN CASE WHEN z THEN '@import("std")' ELSE '@import("mod' || n || '.py")' END """
     "WHEN 15 THEN 'MyApp.' || upper(substring(w, 1, 1)) || substring(w, 2) ELSE 'COPY ' || w END AS name FROM (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 17 AS k, CAST(p_size AS STRING) AS n, CASE WHEN l_suppkey % 7 = 0 THEN 'absent' ELSE replace(p_name, ' ', '_') END AS w, l_suppkey % 2 = 0 AS z FROM {lineitem} JOIN {part} ON p_partkey = l_suppkey % 199 + 1) AS r) AS s"
 )
+# what was written to the store: chats, sessions below them and messages below these
+SELECTS["store_operations"] = (
+    "SELECT seq, CASE WHEN k < 6 THEN 'create' WHEN k = 8 THEN 'delete' ELSE 'update' END AS op, CASE WHEN k = 0 OR k = 6 OR (k = 8 AND event_type = 'error') THEN 'chats' WHEN k BETWEEN 3 AND 5 THEN 'messages' ELSE 'sessions' END AS entity, "
+    "CASE WHEN k < 6 THEN seq WHEN k = 6 THEN tens - 10 * (user_id % 7) WHEN k = 8 AND event_type = 'error' THEN tens - 10 * (user_id % 9) WHEN k = 8 THEN tens - 10 * (user_id % 8) + 2 ELSE tens - 10 * (user_id % 6) + 1 + user_id % 2 END AS id, "
+    "CASE WHEN k IN (1, 2) THEN tens - 10 * (user_id % 5) WHEN k BETWEEN 3 AND 5 THEN tens - 10 * (user_id % 4) + 1 + seq % 2 ELSE NULL END AS parent, "
+    "CASE k WHEN 0 THEN event_type WHEN 3 THEN 'user' WHEN 4 THEN 'assistant' WHEN 5 THEN CASE WHEN user_id % 3 = 0 THEN 'tool' ELSE 'assistant' END ELSE NULL END AS role, CASE WHEN k = 6 THEN props ELSE NULL END AS title, "
+    "CASE WHEN k = 7 AND user_id % 3 > 0 THEN CAST(tens - 10 * (user_id % 6) + 1 + user_id % 2 + 10 * (user_id % 3) AS STRING) ELSE NULL END AS redirect, CASE WHEN k = 9 OR k = 2 THEN CAST(user_id % 5 AS STRING) ELSE NULL END AS effort, "
+    "CASE WHEN k = 5 AND user_id % 4 = 0 THEN props ELSE NULL END AS tool_calls FROM (SELECT event_id AS seq, event_id % 10 AS k, event_id - event_id % 10 AS tens, user_id, event_type, props FROM {events}) AS e"
+)
 # stored JSON, some of it cut off, without a required key or with others beside
 SELECTS["stored_functions"] = (
     """SELECT p_partkey AS id, p_partkey % 200 AS file_id, p_name AS name, CASE p_partkey % 9 WHEN 0 THEN '{{"start_line": 1, "start_col' WHEN 1 THEN '{{"start_line": 1}}' WHEN 2 THEN NULL WHEN 3 THEN '{{"start_line": ' || CAST(p_size AS STRING) || ', "start_column": 0, "end_line": 9, "end_column": 2, "start_byte": 7, "end_byte": 8, "extra": [1]}}' """
