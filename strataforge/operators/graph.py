@@ -63,14 +63,15 @@ def call_tree(edges: DataFrame, roots: DataFrame, max_depth: int = 5, exclude: t
     ways = keep(entries.groupBy("entry").agg((max_depth - F.min("at")).alias("left")).select("entry", "left", F.col("entry").alias("node"), F.array("entry").alias("way")), "ways")
     circles = []
     for length in range(1, max_depth + 1):
-        step = ways.filter(F.col("left") >= length).join(inside, ways.node == inside.source).select("entry", "left", F.col("target").alias("node"), "way")
-        again = F.array_contains("way", F.col("node"))
-        step = keep(step.withColumn("again", again), "steps")
-        circles.append(step.filter("again").select("entry", "node").distinct().withColumn("length", F.lit(length)))
-        # of paths over the same nodes to the same end one is enough
-        ways = step.filter("not again").select("entry", "left", "node", F.array_sort(F.concat("way", F.array("node"))).alias("way")).distinct()
-        if step.isEmpty():
+        # a call back to the path is looked up, so that the last step makes no new paths
+        back = ways.select("entry", F.col("node").alias("source"), F.explode("way").alias("target")).join(inside, ["source", "target"])
+        circles.append(back.select("entry", F.col("target").alias("node")).distinct().withColumn("length", F.lit(length)))
+        longer = ways.filter(F.col("left") > length)
+        if length == max_depth or longer.isEmpty():
             break
+        step = longer.join(inside, longer.node == inside.source).select("entry", "left", F.col("target").alias("node"), "way").filter(~F.array_contains("way", F.col("node")))
+        # of paths over the same nodes to the same end one is enough
+        ways = keep(step.select("entry", "left", "node", F.array_sort(F.concat("way", F.array("node"))).alias("way")).distinct(), "ways")
     closed = circles[0]
     for c in circles[1:]:
         closed = closed.unionByName(c)
