@@ -201,3 +201,21 @@ def test_stream_parses_each_version_once(spark, tmp_path):
         follow(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 2 and latest(out).select(F.col("functions")[0]["name"]).first()[0] == "g"
+
+
+def test_what_chains_did_moves_only_their_members(spark):
+    """Members move once, to their start; sessions' rows come to them, and operations are told in order whatever their number."""
+    members = spark.createDataFrame([(s, m, h) for s in range(30) for h, m in enumerate(range(s, 30))], "start long, id long, hop int")
+    for kinds in (3, 70):
+        done = [(s, f"f{(s + k) % 4}", f"op{k:02}" if k else None) for s in range(5, 40) for k in range(kinds)]
+        found = sessions.files_of_chain(members, spark.createDataFrame(done * 2, "session_id long, file_path string, operation string"))
+        want = {}
+        for s in range(30):
+            for at, path, operation in done:
+                if s <= at < 30:
+                    want.setdefault((s, path), set()).update([operation] if operation else [])
+        assert {(r["start"], r["file_path"]): r["operations"] for r in found.collect()} == {k: ",".join(sorted(v)) for k, v in want.items()}
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
+    sums = sessions.by_chain(members, spark.range(50).selectExpr("id AS session_id", "1 AS n")).groupBy("start").agg({"n": "sum"})
+    assert {r[0]: r[1] for r in sums.collect()} == {s: 30 - s for s in range(30)}
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
