@@ -74,3 +74,25 @@ def test_windows_that_meet_are_one(spark):
     got = sorted((r["first"], r["last"], r["text"]) for r in text.grep_context(files, "^x$", 2).collect())
     want = [(1, 6), (8, 12), (18, 20)]
     assert got == [(a, b, "\n".join(lines[a - 1 : b])) for a, b in want]
+
+
+def test_a_files_texts_are_no_more_than_its_symbols(spark, monkeypatch):
+    """What one function depends on is one text before the file's texts come together."""
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    functions = spark.range(1, 101).selectExpr("id", "1L AS file_id", "concat('f', id) AS name", "CAST(NULL AS BIGINT) AS parent_id", "CAST(NULL AS STRING) AS parent_type", "CAST(array() AS array<struct<name:string,type:string>>) AS parameters", "CAST(NULL AS STRING) AS description")
+    classes = functions.filter("false").selectExpr("id", "file_id", "name", "parent_id", "'' AS namespace", "description")
+    variables = functions.filter("false").selectExpr("id", "file_id", "name", "parent_id", "parent_type", "'' AS field_type", "description")
+    deps = functions.crossJoin(spark.range(1, 31).withColumnRenamed("id", "k")).selectExpr("id * 100 + k AS id", "file_id", "'function_call' AS dependency_type", "concat('f', k) AS name", "id AS source_function_id")
+    seen, keep = {}, reports.keep
+
+    def counted(df, name):
+        out = keep(df, name)
+        seen[name] = out.count()
+        return out
+
+    monkeypatch.setattr(reports, "keep", counted)
+    graphs = reports.dependency_graphs(files, functions, classes, variables, deps, functions.filter("false").select("id", "file_id", "name"))
+    assert seen["dependencies"] == 100
+    report = graphs.first()["report"].split("\n")
+    assert len(report) == 1 + 100 * 32 and report[1:4] == ['  - function f1() in file "a.py"', "     depending on:", '       - function f1() in file "a.py"']
+    assert "SortMergeJoin" not in graphs._jdf.queryExecution().executedPlan().toString().split("ObjectHashAggregate")[0]
