@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from strataforge.operators import decode, reports, symbols, text
 
 
@@ -96,3 +98,36 @@ def test_a_files_texts_are_no_more_than_its_symbols(spark, monkeypatch):
     report = graphs.first()["report"].split("\n")
     assert len(report) == 1 + 100 * 32 and report[1:4] == ['  - function f1() in file "a.py"', "     depending on:", '       - function f1() in file "a.py"']
     assert "SortMergeJoin" not in graphs._jdf.queryExecution().executedPlan().toString().split("ObjectHashAggregate")[0]
+
+
+def _above_the_aggregate(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].split("ObjectHashAggregate")[0]
+
+
+def test_a_report_is_in_one_row_only(spark):
+    """Where a filter or join stood behind the aggregate, a long report was copied for it."""
+    from strataforge.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    graphs = catalogue.queries()["dependency_graphs"](spark, data)
+    assert not [x for x in ("Filter", "Project", "Join") if x in _above_the_aggregate(graphs)]
+    digests = catalogue.queries()["explore_structures"](spark, data)
+    assert not [x for x in ("Filter", "Join") if x in _above_the_aggregate(digests)]
+
+
+@pytest.mark.parametrize("long", [32_000_000, 40])
+def test_sources_as_lines_equal_sources_joined(spark, monkeypatch, long):
+    monkeypatch.setattr(reports, "LONG", long)
+    files = spark.createDataFrame([(1, "a.py", "l1\nl2\nl3"), (2, "b.py", None), (3, "c.py", "x"), (4, "d.py", "y")], "id long, path string, content string")
+    functions = spark.createDataFrame(
+        [(9, 1, "f", None, None, "", 1, 1), (10, 1, "f", None, None, "d", 2, 3), (-5, 1, "f", None, None, None, 3, 3), (11, 2, "g", None, None, None, 1, 1), (12, 1, "m", 1, "class", None, 1, 1)],
+        "id long, file_id long, name string, parent_id long, parent_type string, description string, start_line int, end_line int",
+    ).selectExpr("*", "CAST(array() AS array<struct<name:string,type:string>>) AS parameters")
+    classes = spark.createDataFrame([(1, 1, "C", None, None, "c", 1, 2), (2, 3, "D", None, "n", None, 1, 1)], "id long, file_id long, name string, parent_id long, namespace string, description string, start_line int, end_line int")
+    none = functions.filter("false")
+    variables = none.selectExpr("id", "file_id", "name", "parent_id", "parent_type", "'' AS field_type", "description")
+    tables = files, functions, classes, variables, none.selectExpr("id", "file_id", "'' AS dependency_type", "name", "id AS source_function_id"), none.select("id", "file_id", "name")
+    told = lambda df: {r["file_id"]: (r["path"], r["report"]) for r in df.collect()}
+    got = told(reports.explored(*tables))
+    assert len(got) == 4 and got == told(reports.structures(files, reports.dependency_graphs(*tables), functions, classes))
+    assert got[1][1].index("### f\nl3") < got[1][1].index("### f\nl1") < got[1][1].index("### f\n# Description: d")
